@@ -49,15 +49,15 @@ def requirements(dependencies: DataFrame) -> DataFrame:
 
 
 def need_sets(required: DataFrame) -> DataFrame:
-    """Distinct requirement sets as (need_id, key, n_daily, n_monthly), one row per key of each set."""
+    """Distinct requirement sets as (need_id, key, key_no, n_daily, n_monthly), one row per key of a set."""
     def side(frequency: str):
         return F.size(F.filter("need", lambda key: key["freq"] == frequency))
 
     return (
         required.groupBy("need_id").agg(F.first("need").alias("need"))  # equal for equal need_id
         .select("need_id", side(DAILY).alias("n_daily"), side(MONTHLY).alias("n_monthly"),
-                F.explode("need").alias("key"))
-        .select("need_id", "key.*", "n_daily", "n_monthly")
+                F.posexplode("need").alias("key_no", "key"))
+        .select("need_id", "key.*", "key_no", "n_daily", "n_monthly")
     )
 
 

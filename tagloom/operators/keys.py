@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tagloom.schemas import KEY
 
-MAX_HOT = 200  # only that many keys can hold 1/200 of the rows or more
-HOT_ROWS = 500_000  # rows of one key that a task can well take
+MAX_HOT = 1000  # only that many keys can hold 1/1000 of the rows or more
+HOT_ROWS = 5_000  # partners of one key that a task should combine with all rows of the other side
 MAX_SLICES = 512
 
 
@@ -22,10 +22,10 @@ def key_join(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[s
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with so many rows that one task should not take them all, and the slices to cut each into.
+    """Keys with many rows, and the slices to cut the rows they meet into.
 
-    The counts are partial aggregates. At most the 200 biggest keys are returned whatever the input
-    size, which makes the result safe to broadcast; any further key holds under 1/200 of the rows and
+    The counts are partial aggregates. At most the 1000 biggest keys are returned whatever the input
+    size, which makes the result safe to broadcast; any further key holds under 1/1000 of the rows and
     goes through the join unsliced.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -37,12 +37,15 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
 
 def split_join(big: DataFrame, other: DataFrame, keys: list[str], spread: list[str],
                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Inner equi-join in which rows of a hot key on the ``big`` side are spread over many tasks.
+    """Inner equi-join for a many-to-many match, where both sides may have many rows of one key.
 
-    Hot keys are measured, not guessed; the ``other`` side is repeated once per slice for these keys
-    only, and the slice number joins the key. Results equal the plain join.
+    A join task that gets a key with very many bytes on the ``big`` side is split by Spark itself at
+    run time. What Spark does not see is a key whose rows are few bytes but whose product is huge. So
+    the rows per key of the smaller ``other`` side are counted, and where they are many, the ``big``
+    rows of that key are spread over slices by a hash of ``spread`` and the ``other`` rows are repeated
+    once per slice. Results equal the plain join, and the ``big`` side is read once.
     """
-    hot = F.broadcast(hot_keys(big, keys, hot_rows))
+    hot = F.broadcast(hot_keys(other, keys, hot_rows))
     left = key_join(big, hot, "left", keys).withColumn(
         "_slice", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")), F.lit(0)).cast("int")
     ).drop("_slices")

@@ -141,8 +141,8 @@ def shown() -> Column:
 def route(messages: DataFrame, dependencies: DataFrame) -> DataFrame:
     """One row per message and tag that needs it.
 
-    A table may send a third of all messages and be needed by a third of all tags; its messages are cut
-    into slices so that no task has to produce the whole product for that key.
+    A table may be needed by a third of all tags; its messages are cut into slices so that no task has
+    to produce the whole product for that key.
     """
     return split_join(messages, dependencies, KEY, ["event_id"])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # every date in the data model is a calendar day in one zone
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split skewed joins even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # rows handed to Python carry arrays, so few at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # keyed streaming state lives on local disk of the executors plus the checkpoint, not on the heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,10 +48,26 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; without that setting (tests) a folder under the
-    session's warehouse location is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session may go without; it gets a
+    folder of its own, once.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return os.path.join(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "_shared")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        named = tempfile.mkdtemp(prefix="tagloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stable(frame: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends here, the loss of executors costs
+    nothing that was done before, and readers prune its columns."""
+    path = fresh_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
