@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,44 +20,37 @@ def to_text(row: Column) -> Column:
     return F.to_json(row, {"ignoreNullFields": "false"})
 
 
-def _top_level(value: Column) -> Column:
-    """Top-level members of a JSON object as raw text: a member that is missing is missing in the map,
-    one that is null maps to null."""
-    return F.from_json(value, T.MapType(T.StringType(), T.StringType()))
+def _read(rows: DataFrame, value: str, schema: T.StructType, optional: list[str], shape: Column) -> DataFrame:
+    """Add the struct ``row`` read from a JSON text, null where the text is not acceptable.
 
-
-def _read(value: Column, schema: T.StructType) -> Column:
-    return F.from_json(value, schema)
-
-
-def _strict(parsed: Column, members: Column, schema: T.StructType, optional: list[str]) -> Column:
-    """Every member is present; those that are not optional hold a value of their type; an optional one
-    is null or of its type."""
+    Every member must be present; those not optional must hold a value of their type, an optional one
+    null or a value of its type; and ``shape`` must hold. The text is also read as a plain map, in which
+    a missing member is missing and a null one is null.
+    """
+    parts = F.struct(
+        F.from_json(value, schema).alias("row"),
+        F.from_json(value, T.MapType(T.StringType(), T.StringType())).alias("members"),
+    )
+    wide = rows.select("*", F.inline(F.array(parts)))  # a generator, so the text is parsed only here
+    row, members = F.col("row"), F.col("members")
     present = [F.map_contains_key(members, name) for name in schema.fieldNames()]
-    valued = [parsed[name].isNotNull() for name in schema.fieldNames() if name not in optional]
-    typed = [parsed[name].isNotNull() == members[name].isNotNull() for name in optional]
-    return F.coalesce(_all(present + valued + typed), F.lit(False))
+    valued = [row[name].isNotNull() for name in schema.fieldNames() if name not in optional]
+    typed = [row[name].isNotNull() == members[name].isNotNull() for name in optional]
+    return wide.withColumn("row", F.when(_all(present + valued + typed) & shape, row)).drop("members")
 
 
-def read_dictionary(value: Column) -> Column:
-    """JSON text to a dictionary struct, null where the text is not acceptable.
-
-    ``started`` and ``traced`` must be both numbers or both null, ``disable_flag`` a boolean or null.
-    """
-    parsed, members = _read(value, DICTIONARY), _top_level(value)
-    window = parsed["started"].isNull() == parsed["traced"].isNull()
-    return F.when(_strict(parsed, members, DICTIONARY, OPTIONAL_FIELDS) & window, parsed)
+def read_dictionary(rows: DataFrame, value: str = "value") -> DataFrame:
+    """JSON text to dictionary rows: ``started`` and ``traced`` must be both numbers or both null,
+    ``disable_flag`` a boolean or null."""
+    both = F.col("row.started").isNull() == F.col("row.traced").isNull()
+    return _read(rows, value, DICTIONARY, OPTIONAL_FIELDS, both)
 
 
-def read_composed(value: Column) -> Column:
-    """JSON text to a composed run, null where the text is not acceptable.
-
-    Either all of started, traced, start_date and end_date are set, or none of them.
-    """
+def read_composed(rows: DataFrame, value: str = "value") -> DataFrame:
+    """JSON text to composed runs: either all of started, traced, start_date and end_date, or none."""
     window = ["started", "traced", "start_date", "end_date"]
-    parsed, members = _read(value, COMPOSED), _top_level(value)
-    n_set = reduce(lambda a, b: a + b, [parsed[name].isNotNull().cast("int") for name in window])
-    return F.when(_strict(parsed, members, COMPOSED, window) & n_set.isin(0, 4), parsed)
+    n_set = reduce(lambda a, b: a + b, [F.col(f"row.{name}").isNotNull().cast("int") for name in window])
+    return _read(rows, value, COMPOSED, window, n_set.isin(0, 4))
 
 
 def is_complete(columns=DICTIONARY.fieldNames(), optional=OPTIONAL_FIELDS) -> Column:

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tagloom.schemas import FINISH_MESSAGE, PRODUCER_NAME, START_MESSAGE
 
-from tagloom.schemas import FINISH_MESSAGE, FRONTIER, PRODUCER_NAME, START_MESSAGE
 
+def expand(rows: DataFrame, value: str, schema: T.StructType) -> DataFrame:
+    """Add the fields of a JSON text as columns; all null where the text is not JSON.
 
-def parse(value: Column, schema) -> Column:
-    """JSON text to a struct; null unless every field is there with its type."""
-    parsed = F.from_json(value, schema)
-    complete = F.lit(True)
-    for name in schema.fieldNames():
-        complete = complete & parsed[name].isNotNull()
-    return F.when(complete, parsed)
+    Goes through a generator so that the text is parsed once per row; as plain field accesses each field
+    would be parsed for itself.
+    """
+    return rows.select("*", F.inline(F.array(F.from_json(value, schema))))
 
 
-def parse_frontier(value: Column) -> Column:
-    return parse(value, FRONTIER)
+def is_complete(schema: T.StructType) -> Column:
+    """Every field is there with its type."""
+    return reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in schema.fieldNames()])
 
 
 def need_message(key: Column) -> Column:

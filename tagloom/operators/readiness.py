@@ -99,12 +99,13 @@ def ready_tags(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = c
 
 def flags_at(moment: Column, dependencies: DataFrame, messages: DataFrame,
              schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
-    """State at a moment: (tag_id, key, satisfied, pvalue, first_ts) for the cycles the moment falls in."""
+    """State at a moment, for the cycles it falls in: (tag_id, key, satisfied, first_ts, pvalue, finish_time)
+    with the last finish time seen."""
     present = (
         counted(messages.filter(F.col("ts") <= moment), schedule)
         .filter(cal.cycle(F.col("freq"), F.col("ts"), schedule) == cal.cycle(F.col("freq"), moment, schedule))
         .groupBy(*KEY)
-        .agg(F.min("ts").alias("first_ts"), F.max("pvalue").alias("pvalue"))
+        .agg(F.min("ts").alias("first_ts"), F.max("pvalue").alias("pvalue"), F.max("finish_time").alias("finish_time"))
     )
     return key_join(dependencies, present, "left").withColumn("satisfied", F.col("first_ts").isNotNull())
 
@@ -194,6 +195,23 @@ def unfinished(messages: DataFrame, required: DataFrame, needs: DataFrame, sched
     return required.select("tag_id", "need_id").join(listed, "need_id").select("tag_id", "report_day", "missing")
 
 
+def received_until_ready(messages: DataFrame, ready: DataFrame, needs: DataFrame,
+                         schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
+    """(need_id, cycle, message) of all messages held when a set became ready, as rows.
+
+    A message that came several times is held several times, so this is no list of bounded length.
+    ``ready`` has ``need_id``, ``cycle`` and ``ready_ts``.
+    """
+    both = F.array(F.struct(F.lit(DAILY).alias("freq"), cal.day_text(cal.cycle_day(F.col("ready_ts"), schedule)).alias("held")),
+                   F.struct(F.lit(MONTHLY).alias("freq"), cal.cycle_month(F.col("ready_ts"), schedule).alias("held")))
+    spans = ready.withColumn("s", F.explode(both)).select("need_id", "cycle", "ready_ts", "s.freq", "s.held")
+    wanted = spans.join(needs.select("need_id", *KEY), ["need_id", "freq"])
+    held = counted(messages, schedule).withColumn("held", cal.cycle(F.col("freq"), F.col("ts"), schedule))
+    return key_join(held, wanted, "inner", [*KEY, "held"]).filter(F.col("ts") <= F.col("ready_ts")).select(
+        "need_id", "cycle", "event_id", *KEY, "pvalue", "finish_time"
+    )
+
+
 def monthly_once(starts: DataFrame, finishes: DataFrame) -> DataFrame:
     """Starts of monthly tags that the once-per-month guard lets through.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
-from tagloom.functions.messages import parse_frontier
+from tagloom.functions.messages import expand, is_complete
 from tagloom.operators.keys import key_join, split_join
-from tagloom.schemas import DAILY, FINISH_TOPIC, FRONTIER_TOPICS, KEY, MONTHLY
+from tagloom.schemas import DAILY, FINISH_TOPIC, FRONTIER, FRONTIER_TOPICS, KEY, MONTHLY
 
 TAG_MESSAGE = ["event_id", "ts", "topic", *KEY, "pvalue", "finish_time"]
 
@@ -18,11 +18,14 @@ def on_frontier(raw: DataFrame, topics=FRONTIER_TOPICS, excluded=(FINISH_TOPIC,)
     return raw.filter(F.col("topic").isin(*[t for t in topics if t not in excluded]))
 
 
+def _dbt() -> Column:
+    return F.concat("db", F.lit("."), "table")
+
+
 def parsed(raw: DataFrame) -> DataFrame:
     """Frontier messages with their fields; those that are not valid JSON are left out."""
-    return raw.withColumn("body", parse_frontier(F.col("value"))).filter(F.col("body").isNotNull()).select(
-        "event_id", "ts", "topic", "body.*", F.concat("body.db", F.lit("."), "body.table").alias("dbt")
-    )
+    fields = expand(raw, "value", FRONTIER).filter(is_complete(FRONTIER))
+    return fields.select("event_id", "ts", "topic", *FRONTIER.fieldNames(), _dbt().alias("dbt"))
 
 
 def with_frequency(messages: DataFrame, frequencies: DataFrame, how: str = "inner") -> DataFrame:
@@ -77,13 +80,9 @@ def tag_messages(raw: DataFrame, frequencies: DataFrame, schedule: cal.Schedule
 
 def quarantine(raw: DataFrame, frequencies: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """Every frontier message that the normal path drops, with the reason."""
-    body = on_frontier(raw).withColumn("body", parse_frontier(F.col("value")))
-    known = (
-        body.select("event_id", "value", "body.*", F.col("body").isNull().alias("bad_json"),
-                    F.concat("body.db", F.lit("."), "body.table").alias("dbt"))
-        .join(frequencies, "dbt", "left")
-    )
-    reason = F.when(F.col("bad_json"), "bad_json").otherwise(rejection(schedule))
+    fields = expand(on_frontier(raw).select("event_id", "value"), "value", FRONTIER)
+    known = fields.withColumn("dbt", _dbt()).join(frequencies, "dbt", "left")
+    reason = F.when(~is_complete(FRONTIER), "bad_json").otherwise(rejection(schedule))
     return known.select("event_id", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 

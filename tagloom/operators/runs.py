@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import calendar as cal
 from tagloom.functions import messages as msg
 from tagloom.functions import text
+from tagloom.operators.keys import key_join
 from tagloom.schemas import (
     ATTEMPTS, COMPOSED_FIELDS, DAILY, DEBOUNCE_SECONDS, FINISH, KEY, MONTHLY, NON_FINISH, START,
 )
@@ -112,3 +113,116 @@ def retry_accounting(reports: DataFrame, slice_width: int = 100_000) -> DataFram
         .select("tag_id", "seq", "attempt",
                 F.when(F.col("attempt") == ATTEMPTS, "give_up").otherwise("retry").alias("action"))
     )
+
+
+def give_ups(reports: DataFrame, slice_width: int = 100_000) -> DataFrame:
+    """The failed attempts after which a tag is given up for this cycle."""
+    return retry_accounting(reports, slice_width).filter(F.col("action") == "give_up")
+
+
+def schedule_batches(requests: DataFrame, key: str, gap_seconds: int = DEBOUNCE_SECONDS,
+                     slice_seconds: int = 600) -> DataFrame:
+    """Requests submitted together: a batch closes when no request came for the gap.
+
+    There are few keys, so a key's requests are cut into slices of time. Sessions inside a slice that
+    touch neither its first nor its last request are final; only the two outer ones of each slice are
+    looked at again across slices.
+    """
+    gap, width = gap_seconds * 1_000_000, slice_seconds * 1_000_000
+    rows = requests.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
+        "slice", F.floor(F.col("us") / width))
+    inside = Window.partitionBy(key, "slice").orderBy("us")
+    opens = (F.col("us") - F.lag("us").over(inside) >= gap).cast("int")
+    sessions = (
+        rows.withColumn("opens", F.coalesce(opens, F.lit(0)))
+        .withColumn("session", F.sum("opens").over(inside))
+        .groupBy(key, "slice", "session")
+        .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+    )
+    last = F.max("session").over(Window.partitionBy(key, "slice"))
+    sessions = sessions.withColumn("inner", (F.col("session") > 0) & (F.col("session") < last))
+    final = sessions.filter("inner").select(key, "first_us", "last_us", "n")
+    across = Window.partitionBy(key).orderBy("first_us")
+    apart = (F.col("first_us") - F.lag("last_us").over(across) >= gap).cast("int")
+    merged = (
+        sessions.filter(~F.col("inner"))
+        .withColumn("opens", F.coalesce(apart, F.lit(0)))
+        .withColumn("batch", F.sum("opens").over(across))
+        .groupBy(key, "batch")
+        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n"))
+        .drop("batch")
+    )
+    return final.unionByName(merged).withColumn("submit_us", F.col("last_us") + gap)
+
+
+def ignored_while_running(messages: DataFrame, dependencies: DataFrame, runs: DataFrame,
+                          bucket_seconds: int = 600) -> DataFrame:
+    """(event_id, tag_id) of messages that arrive while the tag is running and so are not counted.
+
+    ``runs`` has ``start_time`` and ``finish_time`` in epoch seconds. Each run is placed into the time
+    buckets it touches, which makes the interval condition an equi-join on key and bucket; messages are
+    never routed to tags that are idle.
+    """
+    span = F.sequence(F.floor(F.col("start_time") / bucket_seconds), F.floor(F.col("finish_time") / bucket_seconds))
+    busy = runs.select("tag_id", "start_time", "finish_time", F.explode(span).alias("bucket")).join(
+        dependencies.select("tag_id", *KEY), "tag_id")
+    arrived = messages.select("event_id", "ts", *KEY).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
+        "bucket", F.floor(F.col("us") / (bucket_seconds * 1_000_000)))
+    met = key_join(arrived, busy, "inner", [*KEY, "bucket"])
+    within = (F.col("us") >= F.col("start_time") * 1_000_000) & (F.col("us") < F.col("finish_time") * 1_000_000)
+    return met.filter(within).select("event_id", "tag_id").distinct()
+
+
+def reset_after_success(reports: DataFrame, dependencies: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
+    """What each success clears: (tag_id, seq, key, cleared, remembered).
+
+    A daily tag with both sides keeps its monthly flags; any other tag loses all. A monthly tag
+    remembers the month it ran for.
+    """
+    both = dependencies.groupBy("tag_id").agg((F.countDistinct("freq") == 2).alias("both"))
+    month = cal.last_month(F.to_date(F.timestamp_seconds("finish_time")), schedule)
+    done = reports.filter(F.col("status") == FINISH).select("tag_id", "seq", month.alias("month"))
+    cleared = ~((F.col("update_frequency") == DAILY) & F.col("both") & (F.col("freq") == MONTHLY))
+    return done.join(dependencies, "tag_id").join(both, "tag_id").select(
+        "tag_id", "seq", *KEY, cleared.alias("cleared"),
+        F.when(F.col("update_frequency") == MONTHLY, F.col("month")).alias("remembered"),
+    )
+
+
+def reset_after_give_up(reports: DataFrame, dependencies: DataFrame, slice_width: int = 100_000) -> DataFrame:
+    """What each give-up clears: the daily flags; monthly flags and the remembered month stay."""
+    return give_ups(reports, slice_width).select("tag_id", "seq").join(dependencies, "tag_id").select(
+        "tag_id", "seq", *KEY, (F.col("freq") == DAILY).alias("cleared")
+    )
+
+
+def start_messages(reports: DataFrame, required: DataFrame) -> DataFrame:
+    """A start message per started run, with the keys its tag needs (a tag that needs nothing has none)."""
+    started = reports.filter(F.col("status") == START).join(required.select("tag_id", "need"), "tag_id")
+    message = msg.start_message(F.col("tag_id"), F.col("start_time"), F.col("need"))
+    return started.select("tag_id", "seq", message.alias("message"))
+
+
+def received_lists(flags: DataFrame, topic: Column) -> DataFrame:
+    """Per tag the messages behind its true flags, one per key (never more than its SQL has references)."""
+    entry = F.struct(
+        topic.alias("kafkaTopic"), F.col("freq").alias("update_frequency"), F.col("dbt").alias("value"),
+        F.col("part").alias("partition_fields"), F.col("pvalue").alias("partition_values"), "finish_time",
+    )
+    return flags.filter("satisfied").groupBy("tag_id").agg(F.sort_array(F.collect_set(entry)).alias("received"))
+
+
+def finish_messages(reports: DataFrame, registered: DataFrame, received: DataFrame,
+                    slice_width: int = 100_000) -> DataFrame:
+    """A finish message per success and per give-up. ``registered`` gives each tag's frequency."""
+    failed = give_ups(reports, slice_width).select("tag_id", "seq")
+    ended = (
+        reports.filter(F.col("status") == FINISH).withColumn("is_success", F.lit(True))
+        .unionByName(reports.join(failed, ["tag_id", "seq"], "left_semi").withColumn("is_success", F.lit(False)))
+    )
+    rows = ended.join(registered.select("tag_id", "update_frequency"), "tag_id").join(received, "tag_id", "left")
+    nothing = F.array().cast(received.schema["received"].dataType)
+    message = msg.finish_message(
+        F.col("tag_id"), F.col("update_frequency"), cal.day_text(F.to_date(F.timestamp_seconds("finish_time"))),
+        F.col("start_time"), F.col("finish_time"), F.col("is_success"), F.coalesce("received", nothing))
+    return rows.select("tag_id", "seq", message.alias("message"))

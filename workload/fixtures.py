@@ -141,3 +141,47 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
             case c_custkey % 4 when 0 then 'ats' when 1 then null when 2 then 'CRM' else 'ATS' end as system_name,
             array(concat('C', c_custkey)) as tickets
         from {c}""", c=feed)
+
+
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """History dictionary: the change feed's payloads as stored rows."""
+    return changes(spark, sf).withColumn("tag_id", F.col("target_id")).drop("target_id")
+
+
+def dictionary_text(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 as JSON, some rows broken: members left out, half a window, an absent flag."""
+    return stored_dictionary(spark, sf).selectExpr("row_seq", """
+        case when row_seq % 31 = 0 then to_json(s) else to_json(s, map('ignoreNullFields', 'false')) end as value
+        """.replace("to_json(s", """to_json(named_struct(
+            'tag_id', tag_id, 'source_type', source_type, 'source_item', source_item,
+            'tag_type', coalesce(tag_type, array()), 'tag_name', tag_name, 'sql', sql,
+            'update_frequency', update_frequency, 'started', started,
+            'traced', if(row_seq % 37 = 0, null, traced), 'description', description,
+            'create_time', create_time, 'update_time', update_time, 'disable_flag', disable_flag,
+            'score_method', score_method, 'attribute', attribute, 'creator', creator,
+            'is_focus', if(row_seq % 41 = 0, null, is_focus), 'system_name', system_name,
+            'tickets', coalesce(tickets, array()))"""))
+
+
+def nation_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """F5 with the entity's nation, for tags that run their own SQL."""
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("nation"))
+    return facts(spark, sf).join(customers, "entity_id")
+
+
+def nation_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """one tag per nation with runnable SQL over ``tag_facts``; some name a column that is not there."""
+    return spark.sql("""
+        select cast(n_nationkey as bigint) as row_seq, concat('NATION_', n_nationkey) as tag_id,
+            n_name as source_type, 'nation' as source_item, array(named_struct('type_L1', 'nation', 'type_L2', n_name)) as tag_type,
+            n_name as tag_name,
+            concat('select entity_id, ',
+                if(n_nationkey % 7 = 3, 'sum(no_such_column)', if(n_nationkey % 2 = 0, 'sum(amount)', 'count(1)')),
+                ' as score from tag_facts where nation = ', n_nationkey,
+                ' and day between date ''$start_date'' and date ''$end_date'' group by entity_id') as sql,
+            if(n_nationkey % 3 = 0, 'M', 'D') as update_frequency,
+            -(1 + n_nationkey % 6) as started, 1 + n_nationkey % 3 as traced,
+            n_name as description, '2018-01-01' as create_time, '2018-09-22' as update_time, false as disable_flag,
+            'sum' as score_method, 'nation' as attribute, 'fixture' as creator, false as is_focus,
+            'ATS' as system_name, array('N') as tickets
+        from {n}""", n=table(spark, sf, "nation"))
