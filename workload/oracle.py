@@ -558,11 +558,12 @@ _cte("u_first", """
 select tag_id, cycle, case when next_pos > last_waiting then next_pos else last_waiting + 0.5 end pos, done, last_waiting from (
   select n.tag_id, n.cycle, n.next_pos, w.last_waiting, w.done from u_next n join (
     select tag_id, cycle, coalesce(max(pos) filter (waiting), 0) last_waiting, any_value(done) done from u_events group by all) w
-  using (tag_id, cycle) where n.pos = 0)""")
+  using (tag_id, cycle) where n.pos = 0)
+where next_pos > last_waiting or strftime(done.ts, '%Y-%m-%d') = cycle""")
 _ROUNDS = f"""
 select tag_id, update_frequency, cycle, event_id, epoch_us(ts) ready_us from (
-  select c.tag_id, n.update_frequency, c.cycle, coalesce(e.event_id, done.id) event_id, coalesce(e.ts, done.ts) ts,
-    {last_month('cast(coalesce(e.ts, done.ts) as date)')} as month
+  select c.tag_id, n.update_frequency, c.cycle, coalesce(e.event_id, c.done.id) event_id, coalesce(e.ts, c.done.ts) ts,
+    {last_month('cast(coalesce(e.ts, c.done.ts) as date)')} as month
   from u_chain c join need_n n using (tag_id) left join u_events e on e.tag_id=c.tag_id and e.cycle=c.cycle and e.pos=c.pos)
 qualify update_frequency='D' or row_number() over (partition by tag_id, month order by ts, event_id) = 1"""
 _CHAIN = """u_chain as (
