@@ -41,11 +41,13 @@ def as_of(ts: Column, fixed: str | None = None) -> Column:
 
 
 def day_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    """``yyyy-MM-dd``; a cast costs a fraction of the pattern formatter."""
+    return day.cast("string")
 
 
 def month_text(day: Column) -> Column:
-    return F.date_format(day, "yyyyMM")
+    """``yyyyMM``, from the day's text for the same reason."""
+    return F.replace(F.substring(day.cast("string"), 1, 7), F.lit("-"), F.lit(""))
 
 
 def day_of_month(day: Column, number: Column) -> Column:
@@ -73,13 +75,18 @@ def is_month_text(value: Column) -> Column:
     return F.coalesce(value.rlike(MONTH_TEXT), F.lit(False))
 
 
+def _month_first(value: Column) -> Column:
+    """First day of a valid month text."""
+    return F.make_date(F.substring(value, 1, 4).try_cast("int"), F.substring(value, 5, 2).try_cast("int"), F.lit(1))
+
+
 def month_to_date(value: Column, day: Column, schedule: Schedule = DEFAULT) -> Column:
     """Day a monthly partition value stands for on the as-of day; null for a month still to come."""
     present = month_text(daily_date(day, schedule))
     return (
         F.when(~is_month_text(value), F.lit(None).cast("date"))
         .when(value == present, daily_date(day, schedule))
-        .when(value < present, F.last_day(F.try_to_date(F.concat(value, F.lit("01")), "yyyyMMdd")))
+        .when(value < present, F.last_day(_month_first(value)))
     )
 
 
@@ -101,7 +108,7 @@ def is_reset_day(day: Column, schedule: Schedule = DEFAULT) -> Column:
 
 def cycle_day(ts: Column, schedule: Schedule = DEFAULT) -> Column:
     """Day whose cutoff opened the cycle a moment falls in."""
-    return F.to_date(ts - schedule.cutoff_interval)
+    return F.to_date(ts if schedule.cutoff == "00:00:00" else ts - schedule.cutoff_interval)
 
 
 def cycle_close(ts: Column, schedule: Schedule = DEFAULT) -> Column:

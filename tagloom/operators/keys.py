@@ -36,20 +36,22 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
 
 
 def split_join(big: DataFrame, other: DataFrame, keys: list[str], spread: list[str],
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               counted: DataFrame | None = None, at_least: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner equi-join for a many-to-many match, where both sides may have many rows of one key.
 
-    A join task that gets a key with very many bytes on the ``big`` side is split by Spark itself at
-    run time. What Spark does not see is a key whose rows are few bytes but whose product is huge. So
-    the rows per key of the smaller ``other`` side are counted, and where they are many, the ``big``
-    rows of that key are spread over slices by a hash of ``spread`` and the ``other`` rows are repeated
-    once per slice. Results equal the plain join, and the ``big`` side is read once.
+    A join task that gets a key with very many bytes is split by Spark itself at run time. What Spark
+    does not see is a key whose rows are few bytes but whose product is huge. So the rows per key of
+    ``counted`` (a small frame: the ``other`` side, unless ``big`` is named) are counted, and where they
+    are many, the ``big`` rows of that key are spread over slices by a hash of ``spread`` and the
+    ``other`` rows are repeated once per slice. ``at_least`` cuts every key, for frames that are known to
+    have very few keys. Results equal the plain join.
     """
-    hot = F.broadcast(hot_keys(other, keys, hot_rows))
+    hot = F.broadcast(hot_keys(other if counted is None else counted, keys, hot_rows))
+    slices = F.greatest(F.coalesce(F.col("_slices"), F.lit(1)), F.lit(at_least))
     left = key_join(big, hot, "left", keys).withColumn(
-        "_slice", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_slices")), F.lit(0)).cast("int")
+        "_slice", F.pmod(F.xxhash64(*spread), slices).cast("int")
     ).drop("_slices")
     right = key_join(other, hot, "left", keys).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1))
+        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     ).drop("_slices")
     return key_join(left, right, "inner", keys + ["_slice"]).drop("_slice")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
-from tagloom.operators.keys import key_join
+from tagloom.operators.keys import key_join, split_join
 from tagloom.operators.routing import counted
 from tagloom.schemas import DAILY, KEY, MONTHLY
 
@@ -30,14 +30,15 @@ def first_arrivals(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
 
 def received(arrivals: DataFrame, dependencies: DataFrame) -> DataFrame:
     """First arrival per (tag, key, cycle)."""
-    return key_join(dependencies, arrivals).select("tag_id", *KEY, "cycle", "first_ts")
+    return split_join(dependencies, arrivals, KEY, ["tag_id"], counted=dependencies).select(
+        "tag_id", *KEY, "cycle", "first_ts")
 
 
 def sides(arrivals: DataFrame, needs: DataFrame) -> DataFrame:
     """(need_id, freq, cycle) in which one whole side of a requirement set has arrived, and when."""
     needed = F.when(F.col("freq") == DAILY, F.col("n_daily")).otherwise(F.col("n_monthly"))
     return (
-        key_join(needs, arrivals)
+        split_join(needs, arrivals, KEY, ["need_id"], counted=needs)
         .groupBy("need_id", "freq", "cycle", "n_daily", "n_monthly")
         .agg(F.count(F.lit(1)).alias("n"), F.max("first_ts").alias("done_ts"))
         .filter(F.col("n") == needed)
@@ -92,7 +93,8 @@ def ready_tags(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = c
     first = F.array(F.array_min("all")) if guard else F.col("all")
     rows = F.explode(F.concat(as_rows(DAILY, F.col("all")), as_rows(MONTHLY, first))).alias("r")
     timed = per_month.select("need_id", "target_month", rows).select("need_id", "target_month", "r.*")
-    return required.drop("need").join(timed, ["need_id", "update_frequency"]).select(
+    tags = required.select("tag_id", "update_frequency", "need_id")
+    return split_join(tags, timed, ["need_id", "update_frequency"], ["tag_id"], counted=tags).select(
         "tag_id", "update_frequency", "cycle", "ready_ts", "target_month"
     )
 
@@ -207,7 +209,7 @@ def received_until_ready(messages: DataFrame, ready: DataFrame, needs: DataFrame
     spans = ready.withColumn("s", F.explode(both)).select("need_id", "cycle", "ready_ts", "s.freq", "s.held")
     wanted = spans.join(needs.select("need_id", *KEY), ["need_id", "freq"])
     held = counted(messages, schedule).withColumn("held", cal.cycle(F.col("freq"), F.col("ts"), schedule))
-    return key_join(held, wanted, "inner", [*KEY, "held"]).filter(F.col("ts") <= F.col("ready_ts")).select(
+    return split_join(held, wanted, [*KEY, "held"], ["event_id"]).filter(F.col("ts") <= F.col("ready_ts")).select(
         "need_id", "cycle", "event_id", *KEY, "pvalue", "finish_time"
     )
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
@@ -25,7 +25,8 @@ from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import stable
 
 SLICE_ROWS = 10_000  # messages a slice of time should hold at most
-DAY_US = 86_400_000_000
+STEP_US = 10_000_000
+DAY_STEPS = 8_640
 
 # one row per slice; what the Python side reads and writes, a batch of slices at a time
 SOLVED = """need_id string, cycle string, slice long, n_keys int,
@@ -110,14 +111,20 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sliced(events: DataFrame, slice_rows: int) -> DataFrame:
-    """Number the slices: days, cut finer the more messages a day has."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = events.withColumn("day", F.floor(us / DAY_US))
-    # one row per day of the log
-    cuts = timed.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("cuts"))
-    width = F.ceil(F.lit(DAY_US) / F.col("cuts"))
-    number = F.col("day") * 1_000_000_000 + F.floor(F.pmod(us, F.lit(DAY_US)) / width)
-    return timed.join(cuts, "day").withColumn("slice", number.cast("long")).drop("day", "cuts")
+    """Number the slices: a new one with each day and whenever ``slice_rows`` messages have come since.
+
+    Cut between steps of ten seconds, from the number of messages per step; a day has 8,640 steps.
+    """
+    step = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / STEP_US)
+    timed = events.withColumn("step", step)
+    day = F.floor(F.col("step") / DAY_STEPS)
+    before = Window.partitionBy("day").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = (
+        timed.groupBy("step").agg(F.count(F.lit(1)).alias("n")).withColumn("day", day)
+        .withColumn("number", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows))
+        .select("step", (F.col("day") * 1_000_000_000 + F.col("number")).alias("slice"))
+    )
+    return timed.join(steps, "step").drop("step")
 
 
 def need_rounds(messages: DataFrame, needs: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
@@ -207,6 +214,7 @@ def tag_rounds(messages: DataFrame, required: DataFrame, needs: DataFrame,
         .agg(F.min(F.struct("ready_ts", "event_id", "cycle")).alias("first"))
         .select("need_id", "first.cycle", "first.ready_ts", "first.event_id", F.lit(MONTHLY).alias("update_frequency"))
     )
-    return split_join(daily.unionByName(once), required.drop("need"), ["need_id", "update_frequency"], ["event_id"]).select(
+    tags = required.select("tag_id", "update_frequency", "need_id")
+    return split_join(daily.unionByName(once), tags, ["need_id", "update_frequency"], ["event_id"]).select(
         "tag_id", "update_frequency", "cycle", "ready_ts", "event_id"
     )

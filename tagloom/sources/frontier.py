@@ -14,11 +14,13 @@ from tagloom.schemas import FRONTIER_TOPICS
 LOG_SCHEMA = "event_id long, ts timestamp_ntz, topic string, value string"
 
 
-def kafka_options(servers: str, topics=FRONTIER_TOPICS) -> dict[str, str]:
+def kafka_options(servers: str, topics=FRONTIER_TOPICS, per_trigger: int = 5_000_000) -> dict[str, str]:
+    """Subscription from the earliest offset; a micro-batch takes a bounded number of messages."""
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": ",".join(topics),
         "startingOffsets": "earliest",
+        "maxOffsetsPerTrigger": str(per_trigger),
     }
 
 
