@@ -147,13 +147,18 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return tagged.groupBy("tag_id", *KEY).agg(change)
 
 
+def _one_per_tag(batch: DataFrame, pick) -> DataFrame:
+    """The id stays the grouping column, so that what follows per tag needs no other exchange."""
+    rest = [c for c in batch.columns if c != "tag_id"]
+    row = pick(F.struct(*rest), "row_seq").alias("row")
+    return batch.groupBy("tag_id").agg(row).select(*["tag_id" if c == "tag_id" else f"row.{c}" for c in batch.columns])
+
+
 def first_per_tag(batch: DataFrame) -> DataFrame:
     """Of several definitions of one tag the first by ``row_seq``."""
-    row = F.min_by(F.struct(*batch.columns), "row_seq").alias("row")
-    return batch.groupBy("tag_id").agg(row).select("row.*")
+    return _one_per_tag(batch, F.min_by)
 
 
 def last_per_tag(batch: DataFrame) -> DataFrame:
     """Of several definitions of one tag the last by ``row_seq``."""
-    row = F.max_by(F.struct(*batch.columns), "row_seq").alias("row")
-    return batch.groupBy("tag_id").agg(row).select("row.*")
+    return _one_per_tag(batch, F.max_by)

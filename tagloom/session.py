@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,11 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return tune(spark)
 
 
+@cache
+def _local_dir(application_id: str) -> str:
+    return tempfile.mkdtemp(prefix="tagloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, for written tables and checkpoints.
 
@@ -53,12 +59,11 @@ def shared_dir(spark: SparkSession) -> str:
     folder of its own, once.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="tagloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
