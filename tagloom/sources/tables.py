@@ -26,8 +26,13 @@ def read_dictionary(spark: SparkSession, source: str, fmt: str = "parquet", **op
 
 
 def read_mapping(spark: SparkSession, source: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Mapping rows; a text format without types gets them from the schema."""
-    return read(spark, source, fmt, MAPPING if fmt in ("json", "csv") else None, **options)
+    """Mapping rows; a text format without types gets them from the schema.
+
+    CSV has no way to tell an empty text from an absent one, and in the mapping an empty indicator is the
+    normal case, so there they are read as empty.
+    """
+    rows = read(spark, source, fmt, MAPPING if fmt in ("json", "csv") else None, **options)
+    return rows.fillna("") if fmt == "csv" else rows
 
 
 def save_version(table: DataFrame, base: str, version: int) -> str:
