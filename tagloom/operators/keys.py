@@ -43,14 +43,20 @@ def split_join(big: DataFrame, other: DataFrame, keys: list[str], spread: list[s
     does not see is a key whose rows are few bytes but whose product is huge. So the rows per key of
     ``counted`` (a small frame: the ``other`` side, unless ``big`` is named) are counted, and where they
     are many, the ``big`` rows of that key are spread over slices by a hash of ``spread`` and the
-    ``other`` rows are repeated once per slice. ``at_least`` cuts every key, for frames that are known to
-    have very few keys. Results equal the plain join.
+    ``other`` rows are repeated once per slice. Results equal the plain join.
+
+    ``at_least`` is for frames that are known to have very few keys and a product much bigger than they
+    are: it cuts every key, and fixes the number of partitions, which Spark would otherwise shrink to fit
+    the small input.
     """
     hot = F.broadcast(hot_keys(other if counted is None else counted, keys, hot_rows))
     slices = F.greatest(F.coalesce(F.col("_slices"), F.lit(1)), F.lit(at_least))
     left = key_join(big, hot, "left", keys).withColumn(
         "_slice", F.pmod(F.xxhash64(*spread), slices).cast("int")
     ).drop("_slices")
+    if at_least > 1:
+        partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left = left.repartition(partitions, *keys, "_slice")
     right = key_join(other, hot, "left", keys).withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
     ).drop("_slices")

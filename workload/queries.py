@@ -578,9 +578,15 @@ def monthly_once_guard(x):
     return rd.monthly_once(rows.filter(F.col("status") == "Start").drop("status"), rows.filter(F.col("status") == FINISH))
 
 
+def _tag_tables(x):
+    """Requirements as written tables: what a standing job keeps beside its stream."""
+    required = stable(x.required)
+    return required.drop("need"), stable(dp.need_sets(required))
+
+
 @query
 def readiness_rounds(x):
-    rows = rounds.tag_rounds(x.messages, stable(x.required), stable(x.needs))
+    rows = rounds.tag_rounds(x.messages, *_tag_tables(x))
     return rows.select("tag_id", "update_frequency", "cycle", "event_id", us("ready_ts").alias("ready_us"))
 
 
@@ -588,8 +594,8 @@ def readiness_rounds(x):
 def readiness_stream(x):
     path = fresh_dir(x.spark, "log")
     x.frontier.write.parquet(path)
-    out = sr.drain(sr.readiness_stream(
-        frontier.stream_log(x.spark, path), stable(x.frequencies), stable(x.needs), stable(x.required.drop("need"))))
+    required, needs = _tag_tables(x)
+    out = sr.drain(sr.readiness_stream(frontier.stream_log(x.spark, path), stable(x.frequencies), needs, required))
     return out.select("tag_id", "update_frequency", "cycle", "event_id", us("ready_ts").alias("ready_us"))
 
 
@@ -599,7 +605,7 @@ def transition_log(x):
     path, reports_path = fresh_dir(x.spark, "log"), fresh_dir(x.spark, "reports")
     x.frontier.write.parquet(path)
     x.recent_reports.write.parquet(reports_path)
-    needs, required = stable(x.needs), stable(x.required.drop("need"))
+    required, needs = _tag_tables(x)
     messages = rt.tag_messages(frontier.stream_log(x.spark, path), stable(x.frequencies))
     schema = x.recent_reports.schema
     reports = x.spark.readStream.schema(schema).parquet(reports_path).withColumnRenamed("tag_id", "unit")
