@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
 from tagloom.operators.keys import key_join, split_join
-from tagloom.operators.routing import counted
+from tagloom.operators.routing import counted, miss_reason
 from tagloom.schemas import DAILY, KEY, MONTHLY
+from tagloom.session import stable
 
 
 def first_arrivals(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
@@ -155,12 +156,12 @@ def active(moment: Column, messages: DataFrame, dependencies: DataFrame,
            schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """Tags awake at a moment: woken by any message since the last cutoff, or kept awake over it by a
     monthly flag of the present monthly cycle."""
-    seen = messages.filter(F.col("ts") <= moment)
-    today = seen.filter(cal.cycle_day(F.col("ts"), schedule) == cal.cycle_day(moment, schedule))
-    held = counted(seen.filter(F.col("freq") == MONTHLY), schedule).filter(
-        cal.cycle_month(F.col("ts"), schedule) == cal.cycle_month(moment, schedule)
+    today = cal.cycle_day(F.col("ts"), schedule) == cal.cycle_day(moment, schedule)
+    held = (
+        (F.col("freq") == MONTHLY) & miss_reason(schedule).isNull()
+        & (cal.cycle_month(F.col("ts"), schedule) == cal.cycle_month(moment, schedule))
     )
-    keys = today.select(*KEY).unionByName(held.select(*KEY)).distinct()
+    keys = messages.filter((F.col("ts") <= moment) & (today | held)).select(*KEY).distinct()
     return key_join(dependencies, keys, "left_semi").select("tag_id").distinct()
 
 
@@ -172,24 +173,30 @@ def unfinished(messages: DataFrame, required: DataFrame, needs: DataFrame, sched
     had arrived in the cycle by the report time.
     """
     lead = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lead_minutes), F.lit(0))
-    # last report time that the data reaches
-    last = messages.agg(F.max("ts").alias("ts")).select(F.to_date("ts").alias("day")).scalar()
+    # one pass over the log; the rest works on this table of one row per key and cycle
+    seen = stable(
+        messages.withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule)).groupBy(*KEY, "cycle").agg(
+            F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+            F.min(F.when(miss_reason(schedule).isNull(), F.col("ts"))).alias("first_ts"))
+    )
+    last = seen.agg(F.to_date(F.max("last_seen"))).scalar()
 
     def report_ts(day: Column) -> Column:
         return day.cast("timestamp_ntz") + schedule.cutoff_interval - lead
 
     woken = (
-        key_join(needs, messages.groupBy(*KEY).agg(F.min("ts").alias("first_ts")))
-        .groupBy("need_id").agg(F.min("first_ts").alias("first_ts"))
+        key_join(needs, seen.groupBy(*KEY).agg(F.min("first_seen").alias("at")))
+        .groupBy("need_id").agg(F.min("at").alias("at"))
     )
-    first_day = F.date_add(F.to_date("first_ts"), F.when(F.col("first_ts") <= report_ts(F.to_date("first_ts")), 0).otherwise(1))
+    first_day = F.date_add(F.to_date("at"), F.when(F.col("at") <= report_ts(F.to_date("at")), 0).otherwise(1))
     days = woken.withColumn("first_day", first_day).filter(F.col("first_day") <= last).select(
         "need_id", F.explode(F.sequence("first_day", last)).alias("report_day")
     )
     wanted = needs.join(days, "need_id").withColumn("report_ts", report_ts(F.col("report_day"))).withColumn(
         "cycle", cal.cycle(F.col("freq"), F.col("report_ts"), schedule)
     )
-    state = key_join(wanted, first_arrivals(messages, schedule), "left", [*KEY, "cycle"])
+    arrived = seen.filter(F.col("first_ts").isNotNull()).select(*KEY, "cycle", "first_ts")
+    state = key_join(wanted, arrived, "left", [*KEY, "cycle"])
     missing = state.filter(F.col("first_ts").isNull() | (F.col("first_ts") > F.col("report_ts")))
     listed = missing.groupBy("need_id", "report_day").agg(  # at most the keys of one tag's SQL text
         F.array_join(F.sort_array(F.collect_set("dbt")), ",").alias("missing")

@@ -131,9 +131,9 @@ def need_rounds(messages: DataFrame, needs: DataFrame, schedule: cal.Schedule =
                 slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(need_id, cycle, ready_ts, event_id) of every round, for sets that start over after each run."""
     # the messages that count are few beside the log; they are read several times below
-    hits = stable(_sliced(
+    hits = _sliced(stable(
         counted(messages, schedule).select("event_id", "ts", *KEY)
-        .withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule)), slice_rows))
+        .withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule))), slice_rows)
     # the side of a set that is collected again and again: its daily keys, or its monthly ones if it has no others
     mixed = (F.col("n_daily") > 0) & (F.col("n_monthly") > 0)
     round_keys = needs.filter((F.col("freq") == DAILY) | (F.col("n_daily") == 0)).withColumn(

@@ -547,8 +547,9 @@ def receive_message(x):
 
 @query
 def receive_messages(x):
-    ready = rd.ready_needs(x.arrivals, x.needs)
-    held = rd.received_until_ready(x.messages, ready, x.needs)
+    hits = stable(rt.counted(x.messages))
+    ready = rd.ready_needs(rd.first_arrivals(hits), x.needs)
+    held = rd.received_until_ready(hits, ready, x.needs)
     tags = x.required.select("tag_id", "need_id")
     return held.join(tags, "need_id").select("tag_id", "cycle", "event_id", *KEY, "pvalue", "finish_time")
 
