@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.functions import calendar as cal
 from tagloom.operators.keys import split_join
-from tagloom.operators.routing import miss_reason, tag_messages
+from tagloom.operators.routing import counted, miss_reason, tag_messages
 from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import fresh_dir
 from tagloom.streaming.machine import Event, Tag, advance
@@ -107,9 +107,11 @@ def readiness_stream(log: DataFrame, frequencies: DataFrame, needs: DataFrame, r
                      schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """Ready tags from a message stream: (tag_id, update_frequency, cycle, ready_ts, event_id).
 
-    The mapping, the requirement sets and the tags are tables, read anew in every micro-batch.
+    The mapping, the requirement sets and the tags are tables, read anew in every micro-batch. Messages that
+    do not count can only wake a tag, which nobody sees here, so they are dropped before the fan-out.
     """
-    events = message_events(tag_messages(log, frequencies, schedule), need_units(needs), schedule)
+    hits = counted(tag_messages(log, frequencies, schedule), schedule)
+    events = message_events(hits, need_units(needs), schedule)
     ready = transitions(events, instant=True).filter(F.col("reason") == "ready")
     tags = required.select("tag_id", "update_frequency", F.concat_ws(":", "update_frequency", "need_id").alias("unit"))
     return ready.join(tags, "unit").select(

@@ -6,7 +6,7 @@ from tests.conftest import SMALL
 from workload import fixtures as fx
 from workload.queries import REGISTRY
 
-PYTHON_ALLOWED = {"readiness_rounds", "readiness_stream", "transition_log"}
+PYTHON_ALLOWED = {"readiness_rounds", "readiness_stream", "status_stream", "transition_log"}
 EAGER = {"frontier_source", "composed_run_sink", "start_message_sink", "finish_message_sink", "run_ready_tags", "run_ready_tags_report"}
 
 

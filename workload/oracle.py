@@ -575,6 +575,15 @@ _head = _sql("select 1 from u_first, u_next, need_n, u_events", recursive=True)
 _rounds_sql = _head[: _head.rindex("\nselect 1 from")] + ",\n" + _CHAIN + _ROUNDS
 ORACLE["readiness_rounds"] = _rounds_sql
 ORACLE["readiness_stream"] = _rounds_sql
+_oracle("status_stream", f"""
+select tag_id, update_frequency, cycle, event_id, status,
+  case when status='dated' then replace(replace(raw, '$start_date', {iso('s')}), '$end_date', {iso('e')})
+       when status='plain' then raw end sql,
+  case when status='dated' then {iso('s')} end start_date, case when status='dated' then {iso('e')} end end_date
+from (select *, {w_end('update_frequency', 's', 'traced')} e from (
+  select r.*, d.sql raw, started, traced, {w_start('r.update_frequency', 'cast(make_timestamp(ready_us) as date)', 'started')} s,
+    case when not contains(d.sql, '$') then 'plain' when started is null or traced is null then 'error' else 'dated' end status
+  from ({_rounds_sql}) r join ({_sql("select tag_id, sql, started, traced from dict")}) d using (tag_id)))""")
 
 _oracle("run_ready_tags", f"""select entity_id, tag_id, round(score, 2) score, start_date, end_date, '{DAY}' execute_date from (
   select o_custkey entity_id, tag_id, case when k%2=0 then cast(sum(cast(o_totalprice as decimal(18,2))) as double)
@@ -583,8 +592,9 @@ _oracle("run_ready_tags", f"""select entity_id, tag_id, round(score, 2) score, s
     select n_nationkey k, 'NATION_' || n_nationkey tag_id, case when n_nationkey%3=0 then 'M' else 'D' end f from nation where n_nationkey%7<>3)))
   join customer on c_nationkey=k join orders on o_custkey=c_custkey and cast(o_orderdate as date) between s and e
   group by o_custkey, tag_id, k, s, e)""")
-_oracle("run_ready_tags_report", """select 'NATION_' || n_nationkey tag_id,
-  case when n_nationkey%7=3 then 'NonFinish' else 'Finish' end status from nation""")
+_oracle("run_ready_tags_report", """select tag_id, unnest(steps) status from (
+  select 'NATION_' || n_nationkey tag_id, case when n_nationkey%7=3
+    then ['Start', 'NonFinish', 'Start', 'NonFinish', 'Start', 'NonFinish'] else ['Start', 'Finish'] end steps from nation)""")
 _oracle("run_windowed_tags", """select entity_id, tag_id, cast(case when score_method='sum' then cast(amount as double) else n end as double) score,
   start_date, end_date, execute_date, cast(amount as double) amount from windowed join scores using (start_date, end_date)""")
 _oracle("tag_coverage", """

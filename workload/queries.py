@@ -22,6 +22,7 @@ from tagloom.operators import readiness as rd
 from tagloom.operators import rounds, runs
 from tagloom.operators import routing as rt
 from tagloom.plans import status_flow
+from tagloom.plans import status_stream as status_stream_plan
 from tagloom.schemas import FINISH, FRONTIER, KEY
 from tagloom.session import fresh_dir, stable, tune
 from tagloom.sources import frontier, sinks, tables
@@ -617,6 +618,20 @@ def transition_log(x):
     return out.select(F.col("unit").alias("tag_id"), us("ts").alias("us"), "event_id", "seq", "from_state", "to_state", "reason")
 
 
+@query
+def status_stream(x):
+    """The main path as a stream: messages in, composed runs and start messages out."""
+    path, target = fresh_dir(x.spark, "log"), fresh_dir(x.spark, "status")
+    x.frontier.write.parquet(path)
+    required, needs = _tag_tables(x)
+    definitions = stable(status_flow.registered(x.dictionary))
+    query = status_stream_plan.start(frontier.stream_log(x.spark, path), stable(x.frequencies), needs, required,
+                                     definitions, target, fresh_dir(x.spark, "status-state"), available_now=True)
+    query.awaitTermination()
+    return status_stream_plan.composed_rows(x.spark, target).select(
+        "tag_id", "update_frequency", "cycle", "event_id", "status", "sql", "start_date", "end_date")
+
+
 # ---- runs ----
 
 @query
@@ -728,13 +743,12 @@ def _own_sql(x):
 
 @query
 def run_ready_tags(x):
-    return _own_sql(x)[0].withColumn("execute_date", F.col("execute_date").cast("string")).withColumn(
-        "score", F.round("score", 2))
+    return _own_sql(x)[0].withColumn("score", F.round("score", 2))
 
 
 @query
 def run_ready_tags_report(x):
-    return _own_sql(x)[1].select("tag_id", "status")
+    return _own_sql(x)[1].select("tag_id", "status")  # one row per start and end of an attempt
 
 
 @query
