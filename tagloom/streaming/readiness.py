@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
 
 
 class TagMachine(StatefulProcessor):
-    """Keeps a ``Tag`` per unit and emits its transitions."""
+    """Keeps a ``Tag`` per unit and emits its transitions, all of them or those of one reason."""
 
-    def __init__(self, instant: bool):
-        self.instant = instant
+    def __init__(self, instant: bool, reason: str | None = None):
+        self.instant, self.reason = instant, reason
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("tag", STATE)
@@ -37,19 +38,26 @@ class TagMachine(StatefulProcessor):
         if self.kept.exists():
             state, daily, monthly, day, month, run_month, failures = self.kept.get()
             tag = Tag(state, set(daily or []), set(monthly or []), day, month, run_month, failures)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-        events = batch[list(Event._fields)].itertuples(index=False, name=None)
-        out = []
-        for position, fields in enumerate(events):
-            for seq, step in enumerate(advance(tag, Event(*fields), self.instant)):
-                out.append((position, seq, *step))
+        chunks = list(rows)
+        batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+        order = np.lexsort((batch["event_id"].to_numpy(), batch["ts"].to_numpy()))
+        fields = [batch[name].to_numpy()[order].tolist() for name in Event._fields]
+        at, steps = [], []
+        for position, event in enumerate(map(Event._make, zip(*fields))):
+            for seq, step in enumerate(advance(tag, event, self.instant)):
+                if self.reason in (None, step.reason):
+                    at.append(position)
+                    steps.append((seq, *step))
         self.kept.update((tag.state, sorted(tag.daily), sorted(tag.monthly), tag.day, tag.month, tag.run_month,
                           tag.failures))
-        if out:
-            steps = pd.DataFrame(out, columns=["position", "seq", "from_state", "to_state", "reason"])
-            at = batch.loc[steps["position"], ["ts", "event_id", "cycle"]].reset_index(drop=True)
-            yield pd.concat([pd.Series([key[0]] * len(steps), name="unit"), at,
-                             steps[["seq", "from_state", "to_state", "reason"]]], axis=1)
+        if steps:
+            taken = order[at]
+            out = {"unit": key[0]} | {name: batch[name].to_numpy()[taken] for name in ("ts", "event_id")}
+            out["seq"] = [s[0] for s in steps]
+            out["cycle"] = batch["cycle"].to_numpy()[taken]
+            for i, name in enumerate(("from_state", "to_state", "reason"), start=1):
+                out[name] = [s[i] for s in steps]
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -84,10 +92,10 @@ def report_events(reports: DataFrame, sizes: DataFrame, schedule: cal.Schedule =
     )
 
 
-def transitions(events: DataFrame, instant: bool) -> DataFrame:
+def transitions(events: DataFrame, instant: bool, reason: str | None = None) -> DataFrame:
     """State changes of every unit, in arrival order of its rows."""
     return events.groupBy("unit").transformWithStateInPandas(
-        statefulProcessor=TagMachine(instant), outputStructType=TRANSITION, outputMode="Append", timeMode="None"
+        statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="None"
     )
 
 
@@ -112,7 +120,7 @@ def readiness_stream(log: DataFrame, frequencies: DataFrame, needs: DataFrame, r
     """
     hits = counted(tag_messages(log, frequencies, schedule), schedule)
     events = message_events(hits, need_units(needs), schedule)
-    ready = transitions(events, instant=True).filter(F.col("reason") == "ready")
+    ready = transitions(events, instant=True, reason="ready")
     tags = required.select("tag_id", "update_frequency", F.concat_ws(":", "update_frequency", "need_id").alias("unit"))
     return ready.join(tags, "unit").select(
         "tag_id", "update_frequency", "cycle", F.col("ts").alias("ready_ts"), "event_id"
