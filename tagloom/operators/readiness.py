@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
 from tagloom.operators.keys import key_join, split_join
-from tagloom.operators.routing import counted, miss_reason
+from tagloom.operators.routing import counted, counts
 from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import stable
 
@@ -158,7 +158,7 @@ def active(moment: Column, messages: DataFrame, dependencies: DataFrame,
     monthly flag of the present monthly cycle."""
     today = cal.cycle_day(F.col("ts"), schedule) == cal.cycle_day(moment, schedule)
     held = (
-        (F.col("freq") == MONTHLY) & miss_reason(schedule).isNull()
+        (F.col("freq") == MONTHLY) & counts(schedule)
         & (cal.cycle_month(F.col("ts"), schedule) == cal.cycle_month(moment, schedule))
     )
     keys = messages.filter((F.col("ts") <= moment) & (today | held)).select(*KEY).distinct()
@@ -177,7 +177,7 @@ def unfinished(messages: DataFrame, required: DataFrame, needs: DataFrame, sched
     seen = stable(
         messages.withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule)).groupBy(*KEY, "cycle").agg(
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-            F.min(F.when(miss_reason(schedule).isNull(), F.col("ts"))).alias("first_ts"))
+            F.min(F.when(counts(schedule), F.col("ts"))).alias("first_ts"))
     )
     last = seen.agg(F.to_date(F.max("last_seen"))).scalar()
 

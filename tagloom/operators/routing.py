@@ -62,14 +62,15 @@ def normalise(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT, fixed_d
     day = cal.as_of(F.col("ts"), fixed_day)
     daily, bare = F.col("freq") == DAILY, _unpartitioned()
     real = cal.day_text(cal.month_to_date(_first("partition_values"), day, schedule))
-    return messages.filter(rejection(schedule).isNull()).select(
-        "event_id", "ts", "topic",
+    shape = F.struct(
         F.upper("freq").alias("freq"),
-        "dbt",
+        F.col("dbt").alias("dbt"),
         F.when(~(daily & bare), _first("partition_fields")).alias("part"),
         F.when(daily & bare, F.lit(None)).when(daily, real).otherwise(_first("partition_values")).alias("pvalue"),
         F.col("exec_date").alias("finish_time"),
     )
+    # through a generator, or every later filter would carry a copy of these expressions
+    return messages.filter(rejection(schedule).isNull()).select("event_id", "ts", "topic", F.inline(F.array(shape)))
 
 
 def tag_messages(raw: DataFrame, frequencies: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
@@ -86,28 +87,41 @@ def quarantine(raw: DataFrame, frequencies: DataFrame, schedule: cal.Schedule =
     return known.select("event_id", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def miss_reason(schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> Column:
-    """Why a normalised message does not count on its arrival day; null when it counts.
+def _target(schedule: cal.Schedule, fixed_day: str | None) -> Column:
+    """The partition value that satisfies a message's key on the day it arrives."""
+    day = cal.as_of(F.col("ts"), fixed_day)
+    return F.when(F.col("freq") == DAILY, cal.day_text(cal.daily_date(day, schedule))).otherwise(
+        cal.last_month(day, schedule))
+
+
+def counts(schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> Column:
+    """Whether a normalised message satisfies its key on the day it arrives.
 
-    There is no watermark in the rule: a value either equals the target of the day or is ignored.
+    There is no watermark in the rule: a value either equals the target of the day or is ignored. Only
+    daily messages may come without a partition.
     """
-    day = cal.as_of(F.col("ts"), fixed_day)
-    value, bare = F.col("pvalue"), F.col("part").isNull()
-    daily_target = cal.day_text(cal.daily_date(day, schedule))
-    monthly_target = cal.last_month(day, schedule)
-    target = F.when(F.col("freq") == DAILY, daily_target).otherwise(monthly_target)
+    bare = (F.col("freq") == DAILY) & F.col("part").isNull() & F.col("pvalue").isNull()
+    hit = F.col("part").isNotNull() & (F.col("pvalue") == _target(schedule, fixed_day))
+    return bare | F.coalesce(hit, F.lit(False))
+
+
+def miss_reason(schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> Column:
+    """Why a normalised message does not count; null when it counts."""
+    value, bare, daily = F.col("pvalue"), F.col("part").isNull(), F.col("freq") == DAILY
+    behind = value < _target(schedule, fixed_day)
     return (
-        F.when((F.col("freq") == DAILY) & bare, F.when(value.isNotNull(), "value_without_partition"))
+        F.when(counts(schedule, fixed_day), F.lit(None).cast("string"))
+        .when(bare & daily, "value_without_partition")
         .when(bare, "unpartitioned_monthly")
         .when(value.isNull(), "future_month")
-        .when(value < target, "behind_target")
-        .when(value > target, "ahead_of_target")
+        .when(behind, "behind_target")
+        .otherwise("ahead_of_target")
     )
 
 
 def counted(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> DataFrame:
     """Messages that satisfy their key on the day they arrive."""
-    return messages.filter(miss_reason(schedule, fixed_day).isNull())
+    return messages.filter(counts(schedule, fixed_day))
 
 
 def ignored(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> DataFrame:

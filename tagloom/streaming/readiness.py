@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.functions import calendar as cal
 from tagloom.operators.keys import split_join
-from tagloom.operators.routing import counted, miss_reason, tag_messages
+from tagloom.operators.routing import counted, counts, tag_messages
 from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import fresh_dir
 from tagloom.streaming.machine import Event, Tag, advance
@@ -75,7 +75,7 @@ def dated(rows: DataFrame, schedule: cal.Schedule) -> DataFrame:
 
 def message_events(messages: DataFrame, units: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """Messages routed to units. ``units`` has one row per unit and needed key, with ``update_frequency``."""
-    flagged = dated(messages, schedule).withColumn("counts", miss_reason(schedule).isNull())
+    flagged = dated(messages, schedule).withColumn("counts", counts(schedule))
     routed = split_join(flagged, units, KEY, ["event_id"])
     cycle = F.when(F.col("n_daily") > 0, F.col("day")).otherwise(F.col("month"))
     return routed.withColumn("status", F.lit("")).withColumn("cycle", cycle).withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions import calendar as cal
 from tagloom.operators import rounds
-from tagloom.operators.routing import miss_reason
+from tagloom.operators.routing import counts
 from tagloom.streaming.machine import Event, Tag, advance
 from tagloom.streaming.readiness import MESSAGE_FIELDS, message_events, need_units
 from tests.conftest import rows
@@ -105,7 +105,7 @@ def test_messages_that_do_not_count_change_nothing(spark):
     messages = message_log(spark, 9)
     needs = spark.createDataFrame(
         NEEDS, "need_id string, freq string, dbt string, part string, key_no int, n_daily int, n_monthly int")
-    good = messages.filter(miss_reason().isNull())
+    good = messages.filter(counts())
     assert rows(rounds.need_rounds(messages, needs)) == rows(rounds.need_rounds(good, needs))
 
 
