@@ -131,3 +131,22 @@ def test_reports_reach_the_stream(spark):
     path_of = {u: [r["reason"] for r in out if r["unit"] == u] for u in ("bad", "good")}
     assert path_of == {"bad": ["first_message", "ready", "retry", "retry", "gave_up"],
                        "good": ["first_message", "ready", "finished", "stopped"]}
+
+
+def test_transition_log_matches_a_row_by_row_run(spark, inputs):
+    """Messages and fed-back reports of all tags, against the machine applied to the collected rows."""
+    from workload.queries import REGISTRY
+    from tests.conftest import SMALL
+
+    sizes = inputs.required.join(inputs.needs.select("need_id", "n_daily", "n_monthly").distinct(), "need_id").select(
+        F.col("tag_id").alias("unit"), "update_frequency", "n_daily", "n_monthly")
+    events = sr.message_events(inputs.messages, sr.tag_units(inputs.required, inputs.needs)).unionByName(
+        sr.report_events(inputs.recent_reports.withColumnRenamed("tag_id", "unit"), sizes))
+    tags, expected = {}, []
+    for row in events.orderBy("unit", "ts", "event_id").collect():
+        tag = tags.setdefault(row["unit"], Tag())
+        for seq, step in enumerate(advance(tag, Event(*[row[n] for n in Event._fields]), False)):
+            expected.append((row["unit"], row["event_id"], seq, *step))
+    got = REGISTRY["transition_log"](spark, SMALL)
+    assert rows(got, "tag_id", "event_id", "seq", "from_state", "to_state", "reason") == sorted(expected, key=repr)
+    assert {"ready", "finished", "retry", "gave_up", "stopped", "monthly_held", "cutoff", "first_message"} == {r[-1] for r in expected}
