@@ -83,28 +83,21 @@ def retry_accounting(reports: DataFrame, slice_width: int = 100_000) -> DataFram
         F.floor(F.col("seq") / slice_width).alias("slice"),
     )
     inside = Window.partitionBy("tag_id", "slice").orderBy("seq")
-    numbered = rows.withColumn("block", F.sum("done").over(inside)).withColumn(
-        "failed", F.sum(1 - F.col("done")).over(
-            Window.partitionBy("tag_id", "slice", "block").orderBy("seq"))
-    )
-    # one row per slice: failures after its last success, and whether it has a success at all
-    last_finish = F.max(F.when(F.col("done") == 1, F.col("seq")))
-    ends = rows.groupBy("tag_id", "slice").agg(last_finish.alias("last_finish"))
-    tail = (
-        rows.join(ends, ["tag_id", "slice"])
-        .filter((F.col("done") == 0) & (F.col("last_finish").isNull() | (F.col("seq") > F.col("last_finish"))))
-        .groupBy("tag_id", "slice").agg(F.count(F.lit(1)).alias("tail"))
+    numbered = (
+        rows.withColumn("failures", F.sum(1 - F.col("done")).over(inside))
+        .withColumn("at_success", F.max(F.when(F.col("done") == 1, F.col("failures"))).over(inside))
+        .withColumn("failed", F.col("failures") - F.coalesce("at_success", F.lit(0)))
+        .withColumn("reset", F.col("at_success").isNotNull())
     )
+    # one row per slice: whether it has a success, and the failures after the last one
     earlier = Window.partitionBy("tag_id").orderBy("slice")
     carried = (
-        ends.join(tail, ["tag_id", "slice"], "left")
-        .withColumn("tail", F.coalesce("tail", F.lit(0)))
-        .withColumn("era", F.sum(F.col("last_finish").isNotNull().cast("int")).over(earlier))
-        .withColumn("run", F.sum("tail").over(Window.partitionBy("tag_id", "era").orderBy("slice")))
-        .withColumn("carry", F.coalesce(F.lag("run").over(earlier), F.lit(0)))
-        .select("tag_id", "slice", "carry")
+        numbered.groupBy("tag_id", "slice").agg(F.max(F.struct("seq", "reset", "failed")).alias("end"))
+        .withColumn("era", F.sum(F.col("end.reset").cast("int")).over(earlier))
+        .withColumn("run", F.sum("end.failed").over(Window.partitionBy("tag_id", "era").orderBy("slice")))
+        .select("tag_id", "slice", F.coalesce(F.lag("run").over(earlier), F.lit(0)).alias("carry"))
     )
-    count = F.col("failed") + F.when(F.col("block") == 0, F.col("carry")).otherwise(0)
+    count = F.col("failed") + F.when(F.col("reset"), 0).otherwise(F.col("carry"))
     attempt = (F.pmod(count - 1, F.lit(ATTEMPTS)) + 1).cast("int")
     return (
         numbered.filter(F.col("done") == 0)
