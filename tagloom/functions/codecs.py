@@ -20,23 +20,35 @@ def to_text(row: Column) -> Column:
     return F.to_json(row, {"ignoreNullFields": "false"})
 
 
+# kinds a JSON value may have for a column type; integers only, as in a column
+_KINDS = {T.StringType: "^STRING$", T.BooleanType: "^BOOLEAN$", T.IntegerType: "^BIGINT$", T.ArrayType: "^ARRAY<"}
+
+
+def _whole_elements(row: Column, field: T.StructField) -> Column:
+    """No element of a list is null or lacks a member."""
+    if isinstance(field.dataType.elementType, T.StructType):
+        names = field.dataType.elementType.fieldNames()
+        return F.forall(row[field.name], lambda e: _all([e[name].isNotNull() for name in names]))
+    return F.forall(row[field.name], lambda e: e.isNotNull())
+
+
 def _read(rows: DataFrame, value: str, schema: T.StructType, optional: list[str], shape: Column) -> DataFrame:
     """Add the struct ``row`` read from a JSON text, null where the text is not acceptable.
 
-    Every member must be present; those not optional must hold a value of their type, an optional one
-    null or a value of its type; and ``shape`` must hold. The text is also read as a plain map, in which
-    a missing member is missing and a null one is null.
+    Every member must be present and of the column's own kind (a number is no text); an optional one may
+    be null; and ``shape`` must hold. The text is also parsed as a variant, which knows a missing member
+    from a null one and a number from a text.
     """
-    parts = F.struct(
-        F.from_json(value, schema).alias("row"),
-        F.from_json(value, T.MapType(T.StringType(), T.StringType())).alias("members"),
-    )
+    parts = F.struct(F.from_json(value, schema).alias("row"), F.try_parse_json(value).alias("members"))
     wide = rows.select("*", F.inline(F.array(parts)))  # a generator, so the text is parsed only here
-    row, members = F.col("row"), F.col("members")
-    present = [F.map_contains_key(members, name) for name in schema.fieldNames()]
-    valued = [row[name].isNotNull() for name in schema.fieldNames() if name not in optional]
-    typed = [row[name].isNotNull() == members[name].isNotNull() for name in optional]
-    return wide.withColumn("row", F.when(_all(present + valued + typed) & shape, row)).drop("members")
+    row, checks = F.col("row"), [shape]
+    for field in schema:
+        kind = F.schema_of_variant(F.try_variant_get("members", f"$.{field.name}", "variant"))
+        typed = kind.rlike(_KINDS[type(field.dataType)]) & row[field.name].isNotNull()
+        checks.append(typed | (kind == "VOID") if field.name in optional else typed)
+        if isinstance(field.dataType, T.ArrayType):
+            checks.append(_whole_elements(row, field))
+    return wide.withColumn("row", F.when(F.coalesce(_all(checks), F.lit(False)), row)).drop("members")
 
 
 def read_dictionary(rows: DataFrame, value: str = "value") -> DataFrame:

@@ -82,7 +82,9 @@ def without(name):
     (GOOD, True), (GOOD | {"started": None, "traced": None}, True), (GOOD | {"disable_flag": None}, True),
     (GOOD | {"started": None}, False), (GOOD | {"traced": None}, False), (without("disable_flag"), False),
     (without("started"), False), (without("sql"), False), (GOOD | {"sql": None}, False), (GOOD | {"tickets": None}, False),
-    (GOOD | {"is_focus": "yes"}, False), (GOOD | {"started": "x"}, False), (GOOD | {"extra": 1}, True), (GOOD | {"tickets": []}, True),
+    (GOOD | {"tag_id": 5}, False), (GOOD | {"sql": ["q"]}, False), (GOOD | {"started": "-1"}, False), (GOOD | {"tickets": "t"}, False),
+    (GOOD | {"tickets": ["t", None]}, False), (GOOD | {"tag_type": [{"type_L1": "x"}]}, False), (GOOD | {"tag_type": []}, True),
+    (GOOD | {"disable_flag": 1}, False), (GOOD | {"is_focus": "yes"}, False), (GOOD | {"started": "x"}, False), (GOOD | {"extra": 1}, True), (GOOD | {"tickets": []}, True),
 ])
 def test_dictionary_json_shapes(spark, value, accepted):
     frame = spark.createDataFrame([(json.dumps(value),)], "value string")
