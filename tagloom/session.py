@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,23 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     return tune(spark)
 
 
+@cache
+def _shipped(application_id: str) -> None:
+    spark = SparkSession.active()
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tagloom-code-")) / "tagloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))  # Spark hands it to every executor
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application; needed where they cannot import it."""
+    _shipped(spark.sparkContext.applicationId)
+    return spark
+
+
 @cache
 def _local_dir(application_id: str) -> str:
     return tempfile.mkdtemp(prefix="tagloom-")
