@@ -36,3 +36,13 @@ w AS (SELECT text_sha256, count(*) AS group_size,
 SELECT d.doc_id, w.keep_id, w.group_size, d.doc_id = w.keep_id AS kept, d.text_sha256
 FROM d JOIN w USING (text_sha256)
 """
+
+
+@query
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and its component of near copies."""
+    from tagloom.llm.simhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"))
