@@ -88,3 +88,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")).select(
         F.col("key").alias("doc_id"), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
         "sequence_id", "offset")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its ids stand in the written files."""
+    from tagloom.llm.token_files import written
+    from tagloom.llm.tokens import public_path
+
+    return written(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
