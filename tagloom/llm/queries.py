@@ -98,3 +98,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return written(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses that its text names or quotes."""
+    from tagloom.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
