@@ -116,3 +116,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs, ~held_out(F.col("doc_id"))))
     return found.select(F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with how likely its text is of good quality."""
+    from tagloom.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return score(docs, model).select(
+        F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
