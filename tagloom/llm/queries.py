@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import held_out, table
@@ -128,3 +128,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select(
         F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the personal data in its text."""
+    from tagloom.llm.pii import KINDS, find, fit
+
+    docs = table(spark, sf_dir, "documents")
+
+    def listed(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find(docs, fit(docs)).select(
+        F.col("key").alias("doc_id"), *map(number, KINDS), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"))
