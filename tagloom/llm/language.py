@@ -78,7 +78,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text."""
         has = [t is not None and LETTER.search(t) is not None for t in texts]
-        out = [(UNKNOWN, 0.0, True)] * len(texts)
+        out = [(UNKNOWN, 0.0, not h) for h in has]
         at = [i for i, h in enumerate(has) if h]
         if not at or not self.languages:
             return out
@@ -179,8 +179,8 @@ def _predicted(model: Model):
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, lang_pred, score (cosine to the nearest centroid), rejected.
 
-    Null texts and texts without a letter are ``und`` and rejected, with score 0; so is every text when the
-    model has learned no language. Other columns are not read; an empty table gives no rows.
+    Null texts and texts without a letter are ``und`` and rejected, with score 0. A model that has learned no
+    language calls every text ``und`` and rejects no other. Other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("_text")).mapInArrow(

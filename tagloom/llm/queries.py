@@ -146,3 +146,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, fit(docs)).select(
         F.col("key").alias("doc_id"), *map(number, KINDS), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"),
         listed("spans").alias("spans"))
+
+
+@query
+def op3_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message in reply order, quotes taken out."""
+    from tagloom.llm.quotes import threads
+
+    return threads(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
