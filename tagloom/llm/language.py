@@ -156,6 +156,8 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
             seen = bins == b
             if seen.sum() >= BIN_ROWS:  # of the language, whichever centroid
                 floors[:, b] = max(0.0, best[seen].min() - MARGIN)
+            elif b:  # cosines grow with length, so what bounds shorter texts bounds these
+                floors[:, b] = floors[:, b - 1]
         model.languages += [name] * len(centres)
         model.centroids = np.concatenate([model.centroids, centres])
         model.floors = np.concatenate([model.floors, floors])
