@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.schemas import KEY
+from tagloom.session import stable
 
-MAX_HOT = 1000  # only that many keys can hold 1/1000 of the rows or more
-HOT_ROWS = 5_000  # partners of one key that a task should combine with all rows of the other side
-MAX_SLICES = 512
+SIDE = 1_000  # rows of each side that a slice of a key combines, when both sides have more
+PAIRS = SIDE * SIDE  # rows that a slice of a key makes
 
 
 def key_join(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[str] = KEY) -> DataFrame:
@@ -21,43 +21,61 @@ def key_join(left: DataFrame, right: DataFrame, how: str = "inner", keys: list[s
     return left.join(other, condition, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with many rows, and the slices to cut the rows they meet into.
+def _share(own: Column, partners: Column, side: int) -> Column:
+    """Slices of one side: so many that a slice makes ``side`` squared rows at most, with few repeated rows."""
+    pairs = side * side
+    return (
+        F.when(partners <= side, F.ceil(own * partners / pairs)).when(own <= side, F.lit(1)).otherwise(F.ceil(own / side))
+    ).cast("int")
+
 
-    The counts are partial aggregates. At most the 1000 biggest keys are returned whatever the input
-    size, which makes the result safe to broadcast; any further key holds under 1/1000 of the rows and
-    goes through the join unsliced.
+def key_slices(left: DataFrame, right: DataFrame, keys: list[str], left_rows: int | None = None,
+               right_rows: int | None = None, side: int = SIDE) -> DataFrame:
+    """(key, _left, _right) for every key whose product has to be cut: slices of either side.
+
+    Counted on both sides by partial aggregates and met by key, whatever the number of such keys. A side that
+    is not worth a pass, or a stream, gives the rows that a key has at most or commonly instead: that only
+    shapes the slices.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    slices = F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SLICES)).cast("int")
-    return (
-        counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(MAX_HOT).select(*keys, slices.alias("_slices"))
-    )
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
+    if left_rows is not None:
+        sizes = counted(right, "_nr").withColumn("_nl", F.lit(left_rows))
+    elif right_rows is not None:
+        sizes = counted(left, "_nl").withColumn("_nr", F.lit(right_rows))
+    else:
+        sizes = key_join(counted(left, "_nl"), counted(right, "_nr"), "inner", keys)
+    cut = sizes.select(*keys, _share(F.col("_nl"), F.col("_nr"), side).alias("_left"),
+                       _share(F.col("_nr"), F.col("_nl"), side).alias("_right"))
+    return cut.filter("_left * _right > 1")
 
-def split_join(big: DataFrame, other: DataFrame, keys: list[str], spread: list[str],
-               counted: DataFrame | None = None, at_least: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], spread_left: list[str], spread_right: list[str],
+               left_rows: int | None = None, right_rows: int | None = None, expands: bool = False,
+               side: int = SIDE) -> DataFrame:
     """Inner equi-join for a many-to-many match, where both sides may have many rows of one key.
 
-    A join task that gets a key with very many bytes is split by Spark itself at run time. What Spark
-    does not see is a key whose rows are few bytes but whose product is huge. So the rows per key of
-    ``counted`` (a small frame: the ``other`` side, unless ``big`` is named) are counted, and where they
-    are many, the ``big`` rows of that key are spread over slices by a hash of ``spread`` and the
-    ``other`` rows are repeated once per slice. Results equal the plain join.
+    A join task that gets a key with very many bytes is split by Spark itself at run time. What Spark does not
+    see is a key whose rows are few bytes but whose product is huge. So every key whose product is over
+    ``side`` squared is dealt out on a grid: its left rows by a hash of ``spread_left`` and its right rows by a
+    hash of ``spread_right``, each repeated along the other edge of the grid. Results equal the plain join.
 
-    ``at_least`` is for frames that are known to have very few keys and a product much bigger than they
-    are: it cuts every key, and fixes the number of partitions, which Spark would otherwise shrink to fit
-    the small input.
+    ``left_rows`` or ``right_rows`` stand for the count of a side (see ``key_slices``); a stream needs
+    ``left_rows``, the most that a micro-batch brings. ``expands`` is for products much bigger than their inputs:
+    it fixes the number of partitions, which Spark would otherwise shrink to fit the small input.
     """
-    hot = F.broadcast(hot_keys(other if counted is None else counted, keys, hot_rows))
-    slices = F.greatest(F.coalesce(F.col("_slices"), F.lit(1)), F.lit(at_least))
-    left = key_join(big, hot, "left", keys).withColumn(
-        "_slice", F.pmod(F.xxhash64(*spread), slices).cast("int")
-    ).drop("_slices")
-    if at_least > 1:
-        partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        left = left.repartition(partitions, *keys, "_slice")
-    right = key_join(other, hot, "left", keys).withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), slices - 1))
-    ).drop("_slices")
-    return key_join(left, right, "inner", keys + ["_slice"]).drop("_slice")
+    cut = key_slices(left, right, keys, left_rows, right_rows, side)
+    if left.isStreaming:
+        cut = stable(cut, "slices")  # a written table has a known size, from which a stream's plan is chosen
+    number, copies = F.coalesce(F.col("_left"), F.lit(1)), F.coalesce(F.col("_right"), F.lit(1))
+
+    def dealt(rows: DataFrame, spread: list[str], own: Column, other: Column, at: str, along: str) -> DataFrame:
+        return key_join(rows, cut, "left", keys).withColumn(at, F.pmod(F.xxhash64(*spread), own).cast("int")).withColumn(
+            along, F.explode(F.sequence(F.lit(0), other - 1))).drop("_left", "_right")
+
+    a = dealt(left, spread_left, number, copies, "_i", "_j")
+    b = dealt(right, spread_right, copies, number, "_j", "_i")
+    if expands:
+        a = a.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_i", "_j")
+    return key_join(a, b, "inner", [*keys, "_i", "_j"]).drop("_i", "_j")

@@ -17,6 +17,8 @@ from tagloom.operators.routing import counted, counts
 from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import stable
 
+CYCLES = 400  # cycles a key commonly has in a log, a year of days and months; shapes slices only
+
 
 def first_arrivals(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
                    fixed_day: str | None = None) -> DataFrame:
@@ -31,7 +33,7 @@ def first_arrivals(messages: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
 
 def received(arrivals: DataFrame, dependencies: DataFrame) -> DataFrame:
     """First arrival per (tag, key, cycle)."""
-    return split_join(dependencies, arrivals, KEY, ["tag_id"], counted=dependencies).select(
+    return split_join(dependencies, arrivals, KEY, ["tag_id"], ["cycle"], right_rows=CYCLES).select(
         "tag_id", *KEY, "cycle", "first_ts")
 
 
@@ -39,7 +41,7 @@ def sides(arrivals: DataFrame, needs: DataFrame) -> DataFrame:
     """(need_id, freq, cycle) in which one whole side of a requirement set has arrived, and when."""
     needed = F.when(F.col("freq") == DAILY, F.col("n_daily")).otherwise(F.col("n_monthly"))
     return (
-        split_join(needs, arrivals, KEY, ["need_id"], counted=needs)
+        split_join(needs, arrivals, KEY, ["need_id"], ["cycle"], right_rows=CYCLES)
         .groupBy("need_id", "freq", "cycle", "n_daily", "n_monthly")
         .agg(F.count(F.lit(1)).alias("n"), F.max("first_ts").alias("done_ts"))
         .filter(F.col("n") == needed)
@@ -95,7 +97,7 @@ def ready_tags(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = c
     rows = F.explode(F.concat(as_rows(DAILY, F.col("all")), as_rows(MONTHLY, first))).alias("r")
     timed = per_month.select("need_id", "target_month", rows).select("need_id", "target_month", "r.*")
     tags = required.select("tag_id", "update_frequency", "need_id")
-    return split_join(tags, timed, ["need_id", "update_frequency"], ["tag_id"], counted=tags).select(
+    return split_join(tags, timed, ["need_id", "update_frequency"], ["tag_id"], ["cycle"], right_rows=CYCLES).select(
         "tag_id", "update_frequency", "cycle", "ready_ts", "target_month"
     )
 
@@ -216,7 +218,7 @@ def received_until_ready(messages: DataFrame, ready: DataFrame, needs: DataFrame
     spans = ready.withColumn("s", F.explode(both)).select("need_id", "cycle", "ready_ts", "s.freq", "s.held")
     wanted = spans.join(needs.select("need_id", *KEY), ["need_id", "freq"])
     held = counted(messages, schedule).withColumn("held", cal.cycle(F.col("freq"), F.col("ts"), schedule))
-    return split_join(held, wanted, [*KEY, "held"], ["event_id"]).filter(F.col("ts") <= F.col("ready_ts")).select(
+    return split_join(held, wanted, [*KEY, "held"], ["event_id"], ["need_id", "cycle"]).filter(F.col("ts") <= F.col("ready_ts")).select(
         "need_id", "cycle", "event_id", *KEY, "pvalue", "finish_time"
     )
 

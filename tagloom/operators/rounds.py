@@ -138,7 +138,7 @@ def need_rounds(messages: DataFrame, needs: DataFrame, schedule: cal.Schedule =
     mixed = (F.col("n_daily") > 0) & (F.col("n_monthly") > 0)
     round_keys = needs.filter((F.col("freq") == DAILY) | (F.col("n_daily") == 0)).withColumn(
         "n_keys", F.when(F.col("n_daily") > 0, F.col("n_daily")).otherwise(F.col("n_monthly")))
-    matched = split_join(hits, round_keys, KEY, ["event_id"])
+    matched = split_join(hits, round_keys, KEY, ["event_id"], ["need_id"])
 
     # a set of one key is complete with every message
     one = (F.col("n_keys") == 1) & ~mixed
@@ -215,6 +215,6 @@ def tag_rounds(messages: DataFrame, required: DataFrame, needs: DataFrame,
         .select("need_id", "first.cycle", "first.ready_ts", "first.event_id", F.lit(MONTHLY).alias("update_frequency"))
     )
     tags = required.select("tag_id", "update_frequency", "need_id")
-    return split_join(daily.unionByName(once), tags, ["need_id", "update_frequency"], ["event_id"]).select(
+    return split_join(daily.unionByName(once), tags, ["need_id", "update_frequency"], ["event_id"], ["tag_id"]).select(
         "tag_id", "update_frequency", "cycle", "ready_ts", "event_id"
     )

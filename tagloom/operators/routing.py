@@ -157,7 +157,7 @@ def route(messages: DataFrame, dependencies: DataFrame) -> DataFrame:
     A table may be needed by a third of all tags; its messages are cut into slices so that no task has
     to produce the whole product for that key.
     """
-    return split_join(messages, dependencies, KEY, ["event_id"])
+    return split_join(messages, dependencies, KEY, ["event_id"], ["tag_id"])
 
 
 def without_subscriber(messages: DataFrame, dependencies: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import calendar as cal
 from tagloom.functions import messages as msg
 from tagloom.functions import text
-from tagloom.operators.keys import key_join
+from tagloom.operators.keys import split_join
 from tagloom.schemas import (
     ATTEMPTS, COMPOSED_FIELDS, DAILY, DEBOUNCE_SECONDS, FINISH, KEY, MONTHLY, NON_FINISH, START,
 )
@@ -161,7 +161,8 @@ def ignored_while_running(messages: DataFrame, dependencies: DataFrame, runs: Da
         dependencies.select("tag_id", *KEY), "tag_id")
     arrived = messages.select("event_id", "ts", *KEY).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
         "bucket", F.floor(F.col("us") / (bucket_seconds * 1_000_000)))
-    met = key_join(arrived, busy, "inner", [*KEY, "bucket"])
+    # a table that a third of the tags need meets every running one of them
+    met = split_join(arrived, busy, [*KEY, "bucket"], ["event_id"], ["tag_id"])
     within = (F.col("us") >= F.col("start_time") * 1_000_000) & (F.col("us") < F.col("finish_time") * 1_000_000)
     return met.filter(within).select("event_id", "tag_id").distinct()
 

@@ -21,6 +21,7 @@ TRANSITION = """unit string, ts timestamp, event_id long, seq int, cycle string,
     to_state string, reason string"""
 STATE = """state string, daily array<int>, monthly array<int>, day string, month string, run_month string,
     failures int"""
+BATCH_ROWS = 100_000  # messages of one key that a micro-batch may bring; shapes slices only
 MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
 
 
@@ -76,7 +77,7 @@ def dated(rows: DataFrame, schedule: cal.Schedule) -> DataFrame:
 def message_events(messages: DataFrame, units: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """Messages routed to units. ``units`` has one row per unit and needed key, with ``update_frequency``."""
     flagged = dated(messages, schedule).withColumn("counts", counts(schedule))
-    routed = split_join(flagged, units, KEY, ["event_id"])
+    routed = split_join(flagged, units, KEY, ["event_id"], ["unit"], left_rows=BATCH_ROWS)
     cycle = F.when(F.col("n_daily") > 0, F.col("day")).otherwise(F.col("month"))
     return routed.withColumn("status", F.lit("")).withColumn("cycle", cycle).withColumn(
         "ts", F.col("ts").cast("timestamp")).select(*MESSAGE_FIELDS)

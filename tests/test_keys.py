@@ -1,4 +1,7 @@
-from tagloom.operators.keys import hot_keys, key_join, split_join
+import pytest
+from pyspark.sql import functions as F
+
+from tagloom.operators.keys import key_join, key_slices, split_join
 from tests.conftest import rows
 
 
@@ -11,22 +14,33 @@ def test_absent_parts_are_equal(spark):
     assert "CartesianProduct" not in key_join(left, right)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_split_join_equals_plain_join(spark):
+@pytest.mark.parametrize("known", [{}, {"left_rows": 50}, {"right_rows": 7}, {"expands": True}])
+def test_split_join_equals_plain_join(spark, known):
     # one key holds a third of the rows of both sides, one is null
     left = spark.range(0, 600).selectExpr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('k', id % 40) end as k", "id as l")
     right = spark.range(0, 90).selectExpr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('k', id % 40) end as k", "id as r")
     plain = rows(key_join(left, right, "inner", ["k"]), "k", "l", "r")
-    for counted in (None, left):
-        for at_least in (1, 5):
-            split = split_join(left, right, ["k"], ["l"], counted=counted, at_least=at_least, hot_rows=4)
-            assert rows(split, "k", "l", "r") == plain
-    slices = dict(rows(hot_keys(right, ["k"], 4), "k", "_slices"))
-    assert slices["hot"] == 8
+    assert rows(split_join(left, right, ["k"], ["l"], ["r"], side=4, **known), "k", "l", "r") == plain
+
+
+def test_every_big_key_is_cut(spark):
+    """No number of keys is too big: all whose product is over the bound are listed, with enough slices."""
+    left = spark.range(0, 30_000).selectExpr("id % 3000 as k", "id as l")
+    right = spark.range(0, 12_000).selectExpr("id % 3000 as k", "id as r")
+    cut = key_slices(left, right, ["k"], side=4)
+    assert cut.count() == 3000
+    sizes = cut.select(F.max(F.lit(10 * 4) / (F.col("_left") * F.col("_right"))).alias("most")).first()["most"]
+    assert sizes <= 16
+    assert split_join(left, right, ["k"], ["l"], ["r"], side=4).count() == 3000 * 10 * 4
 
 
-def test_hot_key_list_is_bounded(spark):
-    many = spark.range(0, 30_000).selectExpr("id % 5000 as k")
-    assert hot_keys(many, ["k"], hot_rows=2).count() == 1000
+@pytest.mark.parametrize("n,m", [(1, 10), (3, 9), (50, 2), (1000, 7), (64, 64), (5, 10_000)])
+def test_slices_bound_the_product(spark, n, m):
+    left = spark.range(n).selectExpr("'x' as k", "id as l")
+    right = spark.range(m).selectExpr("'x' as k", "id as r")
+    found = key_slices(left, right, ["k"], side=8).collect()
+    grid = (found[0]["_left"], found[0]["_right"]) if found else (1, 1)
+    assert -(-n // grid[0]) * -(-m // grid[1]) <= 64 + max(n // grid[0], m // grid[1])
 
 
 def test_hot_key_is_spread(spark):
@@ -35,8 +49,7 @@ def test_hot_key_is_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = split_join(left, right, ["k"], ["l"], hot_rows=10)
-        from pyspark.sql import functions as F
+        joined = split_join(left, right, ["k"], ["l"], ["r"], side=50)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -21,6 +21,7 @@ from tagloom.operators import mapping as mp
 from tagloom.operators import readiness as rd
 from tagloom.operators import rounds, runs
 from tagloom.operators import routing as rt
+from tagloom.operators.keys import split_join
 from tagloom.plans import status_flow
 from tagloom.plans import status_stream as status_stream_plan
 from tagloom.schemas import FINISH, FRONTIER, KEY
@@ -552,7 +553,7 @@ def receive_messages(x):
     ready = rd.ready_needs(rd.first_arrivals(hits), x.needs)
     held = rd.received_until_ready(hits, ready, x.needs)
     tags = x.required.select("tag_id", "need_id")
-    return held.join(tags, "need_id").select("tag_id", "cycle", "event_id", *KEY, "pvalue", "finish_time")
+    return split_join(stable(held), tags, ["need_id"], ["event_id"], ["tag_id"]).select("tag_id", "cycle", "event_id", *KEY, "pvalue", "finish_time")
 
 
 @query
@@ -680,7 +681,7 @@ def run_duration(x):
 
 @query
 def retry_accounting(x):
-    return runs.retry_accounting(x.reports, slice_width=2_000)
+    return runs.retry_accounting(x.reports)
 
 
 @query
