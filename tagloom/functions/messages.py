@@ -21,8 +21,10 @@ def expand(rows: DataFrame, value: str, schema: T.StructType) -> DataFrame:
 
 
 def is_complete(schema: T.StructType) -> Column:
-    """Every field is there with its type."""
-    return reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in schema.fieldNames()])
+    """Every field is there with its type, and every member of its lists."""
+    there = [F.col(name).isNotNull() for name in schema.fieldNames()]
+    members = [F.forall(f.name, lambda m: m.isNotNull()) for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return reduce(lambda a, b: a & b, there + [F.coalesce(m, F.lit(False)) for m in members])
 
 
 def need_message(key: Column) -> Column:

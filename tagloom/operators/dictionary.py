@@ -32,8 +32,9 @@ def unreadable(stored: DataFrame) -> DataFrame:
 
 
 def get(stored: DataFrame, tag_id: str) -> DataFrame:
-    """The row of one tag; the first one in store order if the id was inserted twice."""
-    return scan(stored).filter(F.col("tag_id") == tag_id).orderBy("row_seq").limit(1)
+    """The row of one tag; the first one in store order if the id was inserted twice, and none if that one
+    cannot be read."""
+    return scan(stored.filter(F.col("tag_id") == tag_id).orderBy("row_seq").limit(1))
 
 
 def get_one(stored: DataFrame, tag_id: str):
@@ -45,11 +46,12 @@ def get_one(stored: DataFrame, tag_id: str):
 
 
 def get_many(stored: DataFrame, ids: DataFrame) -> DataFrame:
-    """The row of each given id, with ``found`` false where there is none."""
+    """The row of each given id as ``get`` gives it, with ``found`` false where there is none."""
     first = stored.groupBy("tag_id").agg(F.min("row_seq").alias("row_seq"))
     wanted = ids.select("tag_id").distinct().join(first, "tag_id", "left")
     rows = scan(stored).drop("tag_id")
-    return wanted.withColumn("found", F.col("row_seq").isNotNull()).join(rows, "row_seq", "left")
+    met = wanted.join(rows.withColumn("found", F.lit(True)), "row_seq", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return met.withColumn("row_seq", F.when(F.col("found"), F.col("row_seq")))
 
 
 def _equals(name: str, value) -> Column:

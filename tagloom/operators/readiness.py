@@ -171,13 +171,14 @@ def unfinished(messages: DataFrame, required: DataFrame, needs: DataFrame, sched
                lead_minutes: int = 2) -> DataFrame:
     """Shortly before each cutoff: awake tags and the inputs they still miss.
 
-    Worked out per requirement set: the days from its first message on, the keys of the set, minus what
-    had arrived in the cycle by the report time.
+    Worked out per requirement set and only for the days on which it is awake (the rule of ``active`` at the
+    moment of the report): the keys of the set, minus what had arrived in the cycle by then.
     """
     lead = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(lead_minutes), F.lit(0))
-    # one pass over the log; the rest works on this table of one row per key and cycle
+    # one pass over the log; the rest works on this table of one row per key and day
     seen = stable(
-        messages.withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule)).groupBy(*KEY, "cycle").agg(
+        messages.withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule))
+        .withColumn("opened", cal.cycle_day(F.col("ts"), schedule)).groupBy(*KEY, "cycle", "opened").agg(
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
             F.min(F.when(counts(schedule), F.col("ts"))).alias("first_ts"))
     )
@@ -186,18 +187,22 @@ def unfinished(messages: DataFrame, required: DataFrame, needs: DataFrame, sched
     def report_ts(day: Column) -> Column:
         return day.cast("timestamp_ntz") + schedule.cutoff_interval - lead
 
-    woken = (
-        key_join(needs, seen.groupBy(*KEY).agg(F.min("first_seen").alias("at")))
-        .groupBy("need_id").agg(F.min("at").alias("at"))
-    )
-    first_day = F.date_add(F.to_date("at"), F.when(F.col("at") <= report_ts(F.to_date("at")), 0).otherwise(1))
-    days = woken.withColumn("first_day", first_day).filter(F.col("first_day") <= last).select(
-        "need_id", F.explode(F.sequence("first_day", last)).alias("report_day")
-    )
-    wanted = needs.join(days, "need_id").withColumn("report_ts", report_ts(F.col("report_day"))).withColumn(
-        "cycle", cal.cycle(F.col("freq"), F.col("report_ts"), schedule)
-    )
-    arrived = seen.filter(F.col("first_ts").isNotNull()).select(*KEY, "cycle", "first_ts")
+    def reported(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("report_ts", report_ts(F.col("report_day"))).filter(F.col("report_day") <= last)
+
+    arrived = seen.filter(F.col("first_ts").isNotNull()).groupBy(*KEY, "cycle").agg(F.min("first_ts").alias("first_ts"))
+    # a report falls on the day after the cutoff that opened its cycle, or on the same day if the lead reaches back
+    near = F.explode(F.sequence("opened", F.date_add("opened", 1)))
+    today = reported(seen.select(*KEY, "opened", "first_seen", near.alias("report_day"))).filter(
+        (cal.cycle_day(F.col("report_ts"), schedule) == F.col("opened")) & (F.col("first_seen") <= F.col("report_ts")))
+    # a counted monthly message keeps its tags awake to the end of the monthly cycle, 31 days at most
+    month = F.explode(F.sequence(F.to_date("first_ts"), F.date_add(F.to_date("first_ts"), 32)))
+    held = reported(arrived.filter(F.col("freq") == MONTHLY).withColumn("report_day", month)).filter(
+        (cal.cycle_month(F.col("report_ts"), schedule) == F.col("cycle")) & (F.col("first_ts") <= F.col("report_ts")))
+    awake = today.select(*KEY, "report_day").unionByName(held.select(*KEY, "report_day")).distinct()
+    days = split_join(needs, awake, KEY, ["need_id"], ["report_day"], right_rows=CYCLES).select("need_id", "report_day").distinct()
+    wanted = reported(needs.join(days, "need_id")).withColumn(
+        "cycle", cal.cycle(F.col("freq"), F.col("report_ts"), schedule))
     state = key_join(wanted, arrived, "left", [*KEY, "cycle"])
     missing = state.filter(F.col("first_ts").isNull() | (F.col("first_ts") > F.col("report_ts")))
     listed = missing.groupBy("need_id", "report_day").agg(  # at most the keys of one tag's SQL text
@@ -219,7 +224,7 @@ def received_until_ready(messages: DataFrame, ready: DataFrame, needs: DataFrame
     wanted = spans.join(needs.select("need_id", *KEY), ["need_id", "freq"])
     held = counted(messages, schedule).withColumn("held", cal.cycle(F.col("freq"), F.col("ts"), schedule))
     return split_join(held, wanted, [*KEY, "held"], ["event_id"], ["need_id", "cycle"]).filter(F.col("ts") <= F.col("ready_ts")).select(
-        "need_id", "cycle", "event_id", *KEY, "pvalue", "finish_time"
+        "need_id", "cycle", "ready_ts", "event_id", "ts", "topic", *KEY, "pvalue", "finish_time"
     )
 
 

@@ -97,11 +97,14 @@ def _target(schedule: cal.Schedule, fixed_day: str | None) -> Column:
 def counts(schedule: cal.Schedule = cal.DEFAULT, fixed_day: str | None = None) -> Column:
     """Whether a normalised message satisfies its key on the day it arrives.
 
-    There is no watermark in the rule: a value either equals the target of the day or is ignored. Only
-    daily messages may come without a partition.
+    There is no watermark in the rule: a daily value equals the target of the day, a monthly one contains it
+    (``20180801`` stands for 201808), or the message is ignored. Only daily messages may come without a
+    partition.
     """
     bare = (F.col("freq") == DAILY) & F.col("part").isNull() & F.col("pvalue").isNull()
-    hit = F.col("part").isNotNull() & (F.col("pvalue") == _target(schedule, fixed_day))
+    target = _target(schedule, fixed_day)
+    meets = F.when(F.col("freq") == MONTHLY, F.contains("pvalue", target)).otherwise(F.col("pvalue") == target)
+    hit = F.col("part").isNotNull() & meets
     return bare | F.coalesce(hit, F.lit(False))
 
 

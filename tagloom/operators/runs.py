@@ -48,14 +48,17 @@ def run_file_name(tag_id: Column, execute_date: Column) -> Column:
     return F.concat_ws("_", tag_id, execute_date)
 
 
+RUN = ["tag_id", "execute_date"]  # what names a run, in its file and in its reports
+
+
 def outcomes(runs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Each report with the run of its tag."""
-    return runs.join(reports, "tag_id")
+    """Each report with its run."""
+    return runs.join(reports, RUN)
 
 
 def pending(runs: DataFrame, reports: DataFrame) -> DataFrame:
     """Runs that have not succeeded; those are kept in the spool, the others are cleared."""
-    return runs.join(reports.filter(F.col("status") == FINISH), "tag_id", "left_anti")
+    return runs.join(reports.filter(F.col("status") == FINISH), RUN, "left_anti")
 
 
 def durations(reports: DataFrame) -> DataFrame:
@@ -117,20 +120,20 @@ def schedule_batches(requests: DataFrame, key: str, gap_seconds: int = DEBOUNCE_
                      slice_seconds: int = 600) -> DataFrame:
     """Requests submitted together: a batch closes when no request came for the gap.
 
-    There are few keys, so a key's requests are cut into slices of time. Sessions inside a slice that
+    There are few keys, so a key's requests are counted per moment and cut into slices of time. Sessions inside a slice that
     touch neither its first nor its last request are final; only the two outer ones of each slice are
     looked at again across slices.
     """
     gap, width = gap_seconds * 1_000_000, slice_seconds * 1_000_000
-    rows = requests.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn(
-        "slice", F.floor(F.col("us") / width))
+    moments = requests.groupBy(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    rows = moments.withColumn("slice", F.floor(F.col("us") / width))
     inside = Window.partitionBy(key, "slice").orderBy("us")
     opens = (F.col("us") - F.lag("us").over(inside) >= gap).cast("int")
     sessions = (
         rows.withColumn("opens", F.coalesce(opens, F.lit(0)))
         .withColumn("session", F.sum("opens").over(inside))
         .groupBy(key, "slice", "session")
-        .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.sum("n").alias("n"))
     )
     last = F.max("session").over(Window.partitionBy(key, "slice"))
     sessions = sessions.withColumn("inner", (F.col("session") > 0) & (F.col("session") < last))
@@ -197,24 +200,36 @@ def start_messages(reports: DataFrame, required: DataFrame) -> DataFrame:
     return started.select("tag_id", "seq", message.alias("message"))
 
 
-def received_lists(flags: DataFrame, topic: Column) -> DataFrame:
-    """Per tag the messages behind its true flags, one per key (never more than its SQL has references)."""
+def received_lists(held: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
+    """(need_id, run_day, received): per requirement set and day it became ready the messages that its run held.
+
+    In order of arrival, repeated ones included, as one list: that is the form of the message. ``held`` comes from
+    ``received_until_ready``. Lists are made per set, not per tag.
+    """
     entry = F.struct(
-        topic.alias("kafkaTopic"), F.col("freq").alias("update_frequency"), F.col("dbt").alias("value"),
+        F.col("topic").alias("kafkaTopic"), F.col("freq").alias("update_frequency"), F.col("dbt").alias("value"),
         F.col("part").alias("partition_fields"), F.col("pvalue").alias("partition_values"), "finish_time",
     )
-    return flags.filter("satisfied").groupBy("tag_id").agg(F.sort_array(F.collect_set(entry)).alias("received"))
+    listed = F.sort_array(F.collect_list(F.struct("ts", "event_id", entry.alias("entry"))))
+    return held.withColumn("run_day", cal.cycle_day(F.col("ready_ts"), schedule)).groupBy("need_id", "run_day").agg(
+        F.transform(listed, lambda m: m["entry"]).alias("received"))
 
 
-def finish_messages(reports: DataFrame, registered: DataFrame, received: DataFrame,
-                    slice_width: int = 100_000) -> DataFrame:
-    """A finish message per success and per give-up. ``registered`` gives each tag's frequency."""
+def finish_messages(reports: DataFrame, registered: DataFrame, required: DataFrame, received: DataFrame,
+                    slice_width: int = 100_000, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
+    """A finish message per success and per give-up, with what that run held. ``registered`` gives each tag's
+    frequency, ``required`` its requirement set; a report belongs to the run of the day it started on."""
     failed = give_ups(reports, slice_width).select("tag_id", "seq")
     ended = (
         reports.filter(F.col("status") == FINISH).withColumn("is_success", F.lit(True))
         .unionByName(reports.join(failed, ["tag_id", "seq"], "left_semi").withColumn("is_success", F.lit(False)))
     )
-    rows = ended.join(registered.select("tag_id", "update_frequency"), "tag_id").join(received, "tag_id", "left")
+    started = F.timestamp_seconds("start_time").cast("timestamp_ntz")
+    rows = (
+        ended.withColumn("run_day", cal.cycle_day(started, schedule))
+        .join(registered.select("tag_id", "update_frequency"), "tag_id")
+        .join(required.select("tag_id", "need_id"), "tag_id", "left").join(received, ["need_id", "run_day"], "left")
+    )
     nothing = F.array().cast(received.schema["received"].dataType)
     message = msg.finish_message(
         F.col("tag_id"), F.col("update_frequency"), cal.day_text(F.to_date(F.timestamp_seconds("finish_time"))),

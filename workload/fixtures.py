@@ -48,8 +48,14 @@ def mapping(spark: SparkSession, sf: str) -> DataFrame:
         concat('db', s_suppkey % 3) as db_id, concat('t_', s_suppkey) as table_id,
         '' as year_ind, 'v' as month_ind, '' as day_ind, '' as ref_ind, 'yyyymm' as partition_id,
         '' as disabled_ind"""
+    unused = """
+        200000 + s_suppkey as row_seq, concat('VP_BANK.u_', s_suppkey) as view_id,
+        concat('db', s_suppkey % 3) as db_id, concat('u_', s_suppkey) as table_id,
+        '' as year_ind, 'v' as month_ind, '' as day_ind, '' as ref_ind, 'yyyymm' as partition_id,
+        '' as disabled_ind"""
     return spark.sql(
-        f"select {main} from {{s}} union all select {extra} from {{s}} where s_suppkey % 10 = 3",
+        f"select {main} from {{s}} union all select {extra} from {{s}} where s_suppkey % 10 = 3 "
+        f"union all select {unused} from {{s}} where s_suppkey % 20 = 0",
         s=table(spark, sf, "supplier"),
     )
 
@@ -84,21 +90,25 @@ def stored_dictionary(spark: SparkSession, sf: str) -> DataFrame:
 def frontier(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     """F3 in the shape of a message log: topic, JSON value, arrival time, offset. ``broken`` gives F3b."""
     events = table(spark, sf, "events").withColumn("n", _count(spark, sf, "supplier"))
-    value = "if(event_id % 101 = 0, 'not-json', value)" if broken else "value"
+    value = """case when event_id % 101 = 0 then 'not-json'
+        when event_id % 103 = 0 then regexp_replace(value, '"partition_values":[^]]*', '"partition_values":[null')
+        when event_id % 107 = 0 then regexp_replace(value, '"partition_values":[^]]*', '$0,null') else value end""" if broken else "value"
     return spark.sql(f"""
         select event_id, ts, topic, {value} as value from (
           select event_id, ts,
             if(event_type = 'error', 'hippo-finish', 'frontier-adw') as topic,
             to_json(named_struct(
-                'table', if(event_id % 97 = 0, 't_x', concat('t_', event_id % n)),
+                'table', case when event_id % 97 = 0 then 't_x' when event_id % 91 = 0 then concat('u_', k)
+                    else concat('t_', event_id % n) end,
                 'partition_fields', array(if(event_id % n % 5 = 0, '', 'yyyymm')),
-                'partition_values', array(if(event_id % n % 5 = 0, '', date_format(add_months(
+                'partition_values', array(if(event_id % n % 5 = 0, '', concat(date_format(add_months(
                     date_add(to_date(ts), -2),
-                    case (event_id div n) % 4 when 0 then 0 when 1 then -1 when 2 then -2 else 1 end), 'yyyyMM'))),
-                'db', concat('db', event_id % n % 3),
+                    case (event_id div n) % 4 when 0 then 0 when 1 then -1 when 2 then -2 else 1 end), 'yyyyMM'),
+                    if(event_id % n % 5 = 1 and event_id % 3 = 0, '01', '')))),
+                'db', concat('db', if(event_id % 91 = 0, k, event_id % n) % 3),
                 'method', event_type,
                 'exec_date', cast(floor(unix_micros(cast(ts as timestamp)) / 1000000) as bigint))) as value
-          from {{e}})""", e=events)
+          from (select *, event_id % n - event_id % n % 20 as k from {{e}}))""", e=events)
 
 
 def reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +129,11 @@ def recent_reports(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("finish_time", F.col("start_time") + F.col("seq") % 600)
 
 
+def run_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """F4 with the execute date that names the run, two days per tag."""
+    return reports(spark, sf).withColumn("execute_date", F.when(F.col("seq") % 2 == 0, "1998-09-22").otherwise("1998-09-23"))
+
+
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """F5."""
     return table(spark, sf, "orders").select(

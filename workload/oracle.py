@@ -84,7 +84,10 @@ select s_suppkey row_seq,
 from supplier
 union all
 select 100000+s_suppkey, 'VP_BANK.v_' || s_suppkey, 'db' || (s_suppkey%3), 't_' || s_suppkey, '', 'v', '', '', 'yyyymm', ''
-from supplier where s_suppkey%10=3""")
+from supplier where s_suppkey%10=3
+union all
+select 200000+s_suppkey, 'VP_BANK.u_' || s_suppkey, 'db' || (s_suppkey%3), 'u_' || s_suppkey, '', 'v', '', '', 'yyyymm', ''
+from supplier where s_suppkey%20=0""")
 
 _cte("dict", """
 select p row_seq, 'TAG_' || p tag_id, p_brand source_type, p_type source_item,
@@ -105,10 +108,12 @@ from (select *, p_partkey p from part), n_s""")
 
 _cte("log", """
 select event_id, ts, case when event_type='error' then 'hippo-finish' else 'frontier-adw' end topic,
-  case when event_id%97=0 then 't_x' else 't_' || (event_id%n) end tbl, 'db' || (event_id%n%3) db,
+  case when event_id%97=0 then 't_x' when event_id%91=0 then 'u_' || (event_id%n - event_id%n%20) else 't_' || (event_id%n) end tbl,
+  'db' || (case when event_id%91=0 then event_id%n - event_id%n%20 else event_id%n end % 3) db,
   case when event_id%n%5=0 then '' else 'yyyymm' end pf,
   case when event_id%n%5=0 then '' else strftime(cast(ts as date) - 2
-    + to_months(cast(case (event_id//n)%4 when 0 then 0 when 1 then -1 when 2 then -2 else 1 end as integer)), '%Y%m') end pv,
+    + to_months(cast(case (event_id//n)%4 when 0 then 0 when 1 then -1 when 2 then -2 else 1 end as integer)), '%Y%m')
+      || case when event_id%n%5=1 and event_id%3=0 then '01' else '' end end pv,
   event_type as method, cast(floor(epoch_us(ts) / 1000000) as bigint) exec_date
 from events, n_s""")
 
@@ -117,7 +122,9 @@ select event_id, ts, topic, cast(to_json({'table': tbl, 'partition_fields': [pf]
   'method': method, 'exec_date': exec_date}) as varchar) as value from log""")
 
 _cte("log_broken", """
-select event_id, ts, topic, case when event_id%101=0 then 'not-json' else value end as value from log_json""")
+select event_id, ts, topic, case when event_id%101=0 then 'not-json'
+  when event_id%103=0 then regexp_replace(value, '"partition_values":[^]]*', '"partition_values":[null')
+  when event_id%107=0 then regexp_replace(value, '"partition_values":[^]]*', '\0,null') else value end as value from log_json""")
 
 _cte("reports", """
 select 'TAG_' || (o_custkey%m) tag_id, o_orderkey seq,
@@ -129,6 +136,9 @@ _cte("recent", """
 select tag_id, seq, status, s start_time, s + seq%600 finish_time
 from (select *, 1704067200 + (start_time + seq*97) % 2592000 s from reports)""")
 
+_cte("run_reports", """
+select *, case when seq%2=0 then '1998-09-22' else '1998-09-23' end execute_date from reports""")
+
 _cte("facts", """
 select o_custkey entity_id, cast(o_orderdate as date) as day, cast(o_totalprice as decimal(18,2)) amount from orders""")
 
@@ -201,19 +211,20 @@ from log where topic = 'frontier-adw'""")
 def real_date(value: str, d: str) -> str:
     return (f"case when {value} = strftime({daily(d)}, '%Y%m') then {iso(daily(d))} "
             f"when {value} <> '' and {value} < strftime({daily(d)}, '%Y%m') "
-            f"then {iso(f'''last_day(strptime({value} || '01', '%Y%m%d'))''')} end")
+            f"then {iso(f'''last_day(try_strptime({value} || '01', '%Y%m%d'))''')} end")
 
 
 _cte("msgs", f"""
 select event_id, ts, d, topic, freq, dbt, case when freq='D' and bare then null else pf end part,
   case when freq='D' and bare then null when freq='D' then {real_date('pv', 'd')} else pv end pvalue,
   exec_date finish_time
-from parsed join tfreq using (dbt)""")
+from parsed join tfreq using (dbt) where freq='M' or bare or regexp_matches(pv, '^[0-9]{{4}}(0[1-9]|1[0-2])$')""")
 _cte("targets", f"""
 select *, case when freq='D' then {iso(daily('d'))} else {last_month('d')} end target,
   {last_month('d')} lm from msgs""")
 _cte("counted", """
-select * from targets where (freq='D' and part is null and pvalue is null) or (part is not null and pvalue = target)""")
+select * from targets where (freq='D' and part is null and pvalue is null)
+  or (part is not null and case when freq='M' then contains(pvalue, target) else pvalue = target end)""")
 _cte("arrivals", f"""
 select freq, dbt, part, case when freq='D' then {iso('d')} else lm end as cycle, min(ts) first_ts from counted group by all""")
 _cte("got", """
@@ -280,16 +291,19 @@ select tag_id, seq, cast(to_json({'hippo_name': 'batchetl.tagging', 'job_name':
   'need_msgs': need, 'start_time': start_time}) as varchar) message
 from reports join needed using (tag_id) where status='Start'""")
 _cte("held_list", """
-select tag_id, list({'kafkaTopic': 'frontier-adw', 'update_frequency': freq, 'value': dbt, 'partition_fields': part,
-  'partition_values': pvalue, 'finish_time': finish_time} order by freq, dbt, part nulls first) received
-from flags where satisfied group by tag_id""")
+select r.tag_id, r.as_of run_day, list({'kafkaTopic': c.topic, 'update_frequency': c.freq, 'value': c.dbt, 'partition_fields': c.part,
+  'partition_values': c.pvalue, 'finish_time': c.finish_time} order by c.ts, c.event_id) received
+from ready_m r join deps t on t.tag_id = r.tag_id
+join counted c on t.freq=c.freq and t.dbt=c.dbt and t.part is not distinct from c.part and c.ts <= r.ready_ts
+  and case when c.freq='D' then c.d = r.as_of else c.lm = r.target_month end
+group by r.tag_id, r.as_of""")
 _cte("finishes", f"""
-select tag_id, seq, cast(to_json({{'hippo_name': 'batchetl.tagging', 'job_name': tag_id, 'job_id': tag_id || '_' || start_time,
+select r.tag_id, seq, cast(to_json({{'hippo_name': 'batchetl.tagging', 'job_name': r.tag_id, 'job_id': r.tag_id || '_' || start_time,
   'update_frequency': upper(d.update_frequency), 'execute_time': {iso('cast(to_timestamp(finish_time) at time zone ' + "'UTC'" + ' as date)')},
   'duration_time': finish_time - start_time, 'finish_time': finish_time, 'is_success': r.status='Finish',
   'receive_msgs': coalesce(received, [])}}) as varchar) message
-from reports r join (select tag_id, update_frequency from dict) d using (tag_id)
-left join held_list using (tag_id)
+from recent r join (select tag_id, update_frequency from dict) d on d.tag_id = r.tag_id
+left join held_list h on h.tag_id = r.tag_id and h.run_day = cast(to_timestamp(start_time) at time zone 'UTC' as date)
 where r.status='Finish' or exists (select 1 from attempts a where a.tag_id=r.tag_id and a.seq=r.seq and attempt=3)""")
 
 _cte("windowed", "select * from runs where start_date is not null")
@@ -399,10 +413,12 @@ _oracle("frontier_source", "select event_id, epoch_us(ts) us, topic, value from
 _oracle("frontier_topic_filter", "select event_id, topic from log where topic='frontier-adw'")
 _oracle("message_json_parse", """select event_id, tbl as "table", db, method, exec_date,
   cast(to_json([pf]) as varchar) partition_fields, cast(to_json([pv]) as varchar) partition_values
-from log where event_id%101 <> 0""")
+from log where event_id%101 <> 0 and event_id%103 <> 0 and event_id%107 <> 0""")
 _oracle("message_frequency_lookup", "select event_id, dbt, freq from parsed join tfreq using (dbt)")
-_oracle("message_unmatched", """select event_id, case when event_id%101=0 then 'bad_json' else 'unknown_table' end reason
-from parsed where event_id%101=0 or dbt not in (select dbt from tfreq)""")
+_oracle("message_unmatched", """select * from (
+  select event_id, case when event_id%101=0 or event_id%103=0 or event_id%107=0 then 'bad_json' when freq is null then 'unknown_table'
+    when freq='D' and not bare and not regexp_matches(pv, '^[0-9]{4}(0[1-9]|1[0-2])$') then 'bad_month' end reason
+  from parsed left join tfreq using (dbt)) where reason is not null""")
 _oracle("message_normalise", "select event_id, epoch_us(ts) ts, topic, freq, dbt, part, pvalue, finish_time from msgs")
 _oracle("message_key", "select event_id, freq, dbt, part from msgs")
 _oracle("message_views", """select event_id,
@@ -426,7 +442,8 @@ _oracle("as_of_date", f"select event_id, {iso('ts')} as_of, '{DAY}' as_of_fixed
 _oracle("daily_date", f"select o_orderkey, {iso(daily('cast(o_orderdate as date)'))} daily_date from orders")
 _oracle("last_month", f"""select o_orderkey, {last_month('cast(o_orderdate as date)')} last_month,
   {last_month('cast(o_orderdate as date)', 12)} last_month_12 from orders""")
-_oracle("month_to_date", f"select event_id, pv as value, {real_date('pv', 'd')} real_date from parsed")
+_oracle("month_to_date", f"""select event_id, pv as value,
+  case when regexp_matches(pv, '^[0-9]{{4}}(0[1-9]|1[0-2])$') then {real_date('pv', 'd')} end real_date from parsed""")
 _RUN_DAY = """(select r.tag_id, seq, cast(to_timestamp(start_time) at time zone 'UTC' as date) d, update_frequency, started, traced
   from reports r join dict using (tag_id))"""
 _oracle("window_start", f"select tag_id, seq, {iso(w_start('update_frequency', 'd', 'started'))} window_start from {_RUN_DAY}")
@@ -476,13 +493,14 @@ where nd>0 and nm>0""")
 _oracle("readiness_cutoff", f"""select tag_id, update_frequency, cycle, epoch_us(ready_ts) ready_us, target_month from (
   select *, {last_month('cast(ready_ts as date)')} target_month from c_ready)
 qualify update_frequency='D' or row_number() over (partition by tag_id, target_month order by ready_ts, cycle) = 1""")
-_cte("wakes", """
-select tag_id, min(ts) first_ts from msgs m join deps t
-on t.freq=m.freq and t.dbt=m.dbt and t.part is not distinct from m.part group by tag_id""")
-_cte("report_days", """
-select w.tag_id, d.report_day, d.report_day + interval '12 hours 5 minutes' report_ts
+_cte("wakes", f"""
+select distinct freq, dbt, part, cd, ts, event_id in (select event_id from counted) as hit from (select *, {CYCLE_DAY_CUT} cd from msgs)""")
+_cte("report_days", f"""
+select distinct t.tag_id, d.report_day, d.report_day + interval '12 hours 5 minutes' report_ts
 from (select distinct cast(unnest(generate_series((select min(d) from msgs), (select max(d) from msgs), interval 1 day)) as date) report_day) d
-join wakes w on w.first_ts <= d.report_day + interval '12 hours 5 minutes'""")
+join wakes w on w.ts <= d.report_day + interval '12 hours 5 minutes'
+  and (w.cd = d.report_day - 1 or w.hit and w.freq='M' and {last_month('w.cd')} = {last_month('(d.report_day - 1)')})
+join deps t on t.freq=w.freq and t.dbt=w.dbt and t.part is not distinct from w.part""")
 _oracle("unfinished_report", f"""select r.tag_id, {iso('report_day')} report_day, string_agg(distinct t.dbt, ',' order by t.dbt) missing
 from report_days r join deps t on t.tag_id=r.tag_id
 left join c_arrivals a on t.freq=a.freq and t.dbt=a.dbt and t.part is not distinct from a.part and a.first_ts <= report_ts
@@ -505,18 +523,19 @@ _SPOOL = "cast(to_json({" + ", ".join(f"'{c}': {c}" for c in _RUN_COLUMNS) + "})
 _oracle("composed_run_sink", f"select tag_id || '_' || execute_date as name, {_SPOOL}, execute_date from runs")
 _oracle("compose_json_validate", """select tag_id || '_' || execute_date as name,
   (started is null) = (start_date is null) accepted from runs""")
-_oracle("spool_cleanup", """select tag_id || '_' || execute_date as name from runs
-where tag_id not in (select tag_id from reports where status='Finish')""")
-_oracle("run_report_join", "select tag_id, seq, status, execute_date, start_time from runs join reports using (tag_id)")
+_cte("two_days", "select tag_id, e.d execute_date from runs, (values ('1998-09-22'), ('1998-09-23')) e(d)")
+_oracle("spool_cleanup", """select tag_id || '_' || execute_date as name from two_days w
+where not exists (select 1 from run_reports r where status='Finish' and r.tag_id=w.tag_id and r.execute_date=w.execute_date)""")
+_oracle("run_report_join", "select tag_id, seq, status, execute_date, start_time from two_days join run_reports using (tag_id, execute_date)")
 _oracle("run_duration", """select tag_id, count(*) n_runs, min(finish_time-start_time) min_seconds,
   max(finish_time-start_time) max_seconds, cast(sum(finish_time-start_time) as bigint) sum_seconds
 from reports where status='Finish' group by tag_id""")
 _oracle("retry_accounting", "select tag_id, seq, attempt, case when attempt=3 then 'give_up' else 'retry' end as action from attempts")
-_oracle("schedule_batches", """select event_type, min(us) first_us, max(us) last_us, count(*) n, max(us) + 20000000 submit_us from (
-  select event_type, us, sum(o) over (partition by event_type order by us rows unbounded preceding) b from (
-    select event_type, us, case when us - lag(us) over (partition by event_type order by us) >= 20000000 then 1 else 0 end o
-    from (select event_type, epoch_us(ts) us from events)))
-group by event_type, b""")
+_oracle("schedule_batches", """select update_frequency, min(us) first_us, max(us) last_us, cast(sum(c) as bigint) n, max(us) + 20000000 submit_us from (
+  select update_frequency, us, c, sum(o) over (partition by update_frequency order by us rows unbounded preceding) b from (
+    select update_frequency, us, c, case when us - lag(us) over (partition by update_frequency order by us) >= 20000000 then 1 else 0 end o
+    from (select update_frequency, epoch_us(ready_ts) us, count(*) c from guarded group by all)))
+group by update_frequency, b""")
 _oracle("messages_ignored", """select distinct m.event_id, t.tag_id from msgs m
 join deps t on t.freq=m.freq and t.dbt=m.dbt and t.part is not distinct from m.part
 join recent r on r.tag_id=t.tag_id and r.status <> 'Start'

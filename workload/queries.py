@@ -656,6 +656,11 @@ def _runs(x) -> DataFrame:
     return runs.composed_runs(td.scan(x.dictionary), fixed_day())
 
 
+def _runs_of_two_days(x) -> DataFrame:
+    rows = td.scan(x.dictionary)
+    return runs.composed_runs(rows, fixed_day()).unionByName(runs.composed_runs(rows, F.date_add(fixed_day(), 1)))
+
+
 @query
 def composed_run_sink(x):
     path = fresh_dir(x.spark, "composed_run")
@@ -665,13 +670,13 @@ def composed_run_sink(x):
 
 @query
 def spool_cleanup(x):
-    left = runs.pending(_runs(x), x.reports)
+    left = runs.pending(_runs_of_two_days(x), x.run_reports)
     return left.select(runs.run_file_name(F.col("tag_id"), F.col("execute_date")).alias("name"))
 
 
 @query
 def run_report_join(x):
-    return runs.outcomes(_runs(x), x.reports).select("tag_id", "seq", "status", "execute_date", "start_time")
+    return runs.outcomes(_runs_of_two_days(x), x.run_reports).select("tag_id", "seq", "status", "execute_date", "start_time")
 
 
 @query
@@ -686,7 +691,8 @@ def retry_accounting(x):
 
 @query
 def schedule_batches(x):
-    return runs.schedule_batches(x.table("events"), "event_type")
+    requests = rd.ready_tags(rd.ready_needs(x.arrivals, x.needs), x.required)
+    return runs.schedule_batches(requests.withColumnRenamed("ready_ts", "ts"), "update_frequency")
 
 
 @query
@@ -711,8 +717,9 @@ def start_message(x):
 
 
 def _finish(x) -> DataFrame:
-    received = runs.received_lists(x.flags, F.lit("frontier-adw"))
-    return runs.finish_messages(x.reports, dp.register(x.dictionary), received)
+    hits = stable(rt.counted(x.messages))
+    held = rd.received_until_ready(hits, rd.ready_needs(rd.first_arrivals(hits), x.needs), x.needs)
+    return runs.finish_messages(x.recent_reports, dp.register(x.dictionary), x.required, runs.received_lists(held))
 
 
 @query
