@@ -1,8 +1,9 @@
 """The states of one tag and how a message or a run report moves it.
 
 A small pure function, applied per key by the streaming operator. Dates are worked out in Spark and come
-with the row; nothing here asks the clock. Cutoffs need no timer: a flag set is wiped when the first row
-of a later cycle arrives, before that row is looked at, and nobody can see the flags in between.
+with the row; nothing here asks the clock. Rows come in order of time. Cutoffs need no timer: a flag set is wiped,
+and a run without a report freed, when the first row of a later cycle comes, before that row is looked at, and
+nobody can see the tag in between.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ class Tag:
     month: str = ""
     run_month: str = ""
     failures: int = 0
+    run_day: str = ""  # of the open run: the daily cycle it was launched in
 
 
 class Event(NamedTuple):
@@ -45,6 +47,7 @@ class Event(NamedTuple):
     day: str
     month: str
     target_month: str
+    run_day: str  # of a report: the daily cycle in which its run was launched
 
 
 def _move(tag: Tag, to_state: str, reason: str) -> Step:
@@ -79,18 +82,19 @@ def _cutoff(tag: Tag, event: Event) -> list[Step]:
     tag.day, tag.daily = event.day, set()
     if event.month != tag.month:
         tag.month, tag.monthly = event.month, set()
-    if began or tag.state != RECEIVING:
+    if began or tag.state not in (RECEIVING, RUNNING):
         return []
+    tag.failures = 0
     return [_move(tag, VERIFYING, "cutoff"), _verify(tag)]
 
 
 def _report(tag: Tag, event: Event) -> list[Step]:
-    if tag.state != RUNNING:
+    if event.status not in (FINISH, NON_FINISH):
         return []
+    if tag.state != RUNNING or tag.run_day != event.run_day:
+        return [_move(tag, tag.state, "other_run")]  # of a run that was freed, or never launched here
     if event.status == FINISH:
         return _finish(tag, event)
-    if event.status != NON_FINISH:
-        return []
     tag.failures += 1
     if tag.failures < ATTEMPTS:
         return [_move(tag, RUNNING, "retry")]
@@ -114,6 +118,7 @@ def advance(tag: Tag, event: Event, instant: bool) -> list[Step]:
     (tag.daily if event.freq == DAILY else tag.monthly).add(event.key_no)
     if len(tag.daily) == event.n_daily and len(tag.monthly) == event.n_monthly:
         steps.append(_move(tag, RUNNING, "ready"))
+        tag.run_day = event.day
         if instant:
             steps += _finish(tag, event)
     return steps

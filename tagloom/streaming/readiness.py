@@ -1,10 +1,16 @@
-"""Readiness over a stream of messages, with keyed state."""
+"""Readiness over a stream of messages, with keyed state.
+
+Messages of one tag come over several partitions and out of order, and what a tag does depends on the order. So
+rows wait in the state until the watermark has passed them and are then worked off in order of time, whichever
+micro-batch brought them; rows later than the watermark are dropped by Spark. The result does not depend on how
+the log is cut into micro-batches. A source that falls silent holds its last rows back for the delay; a message
+of any table, such as a heartbeat, moves the watermark on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,50 +26,77 @@ from tagloom.streaming.machine import Event, Tag, advance
 TRANSITION = """unit string, ts timestamp, event_id long, seq int, cycle string, from_state string,
     to_state string, reason string"""
 STATE = """state string, daily array<int>, monthly array<int>, day string, month string, run_month string,
-    failures int"""
+    failures int, run_day string"""
+EVENT_STATE = """us long, event_id long, cycle string, status string, update_frequency string, freq string, key_no int,
+    counts boolean, n_daily int, n_monthly int, day string, month string, target_month string, run_day string"""
+DELAY = "1 hour"  # how late a message may come
 BATCH_ROWS = 100_000  # messages of one key that a micro-batch may bring; shapes slices only
 MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
 
 
 class TagMachine(StatefulProcessor):
-    """Keeps a ``Tag`` per unit and emits its transitions, all of them or those of one reason."""
+    """Keeps a ``Tag`` per unit and the rows that wait for it; emits its transitions, all of them or those of one reason.
+
+    Rows go into the state chunk by chunk. What waits is bounded by the delay and one micro-batch.
+    """
 
     def __init__(self, instant: bool, reason: str | None = None):
         self.instant, self.reason = instant, reason
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getValueState("tag", STATE)
+        self.waiting = handle.getListState("waiting", EVENT_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for chunk in rows:
+            us = chunk["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            columns = [chunk[name].to_numpy().tolist() for name in ("event_id", "cycle", *Event._fields)]
+            self.waiting.appendList(list(zip(us, *columns)))
+            latest = max(us + ([] if latest is None else [latest]))
+        if latest is not None:
+            self.handle.registerTimer(latest // 1000 + 1)
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+
+    def _due(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        due, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            (due if row[0] <= watermark * 1000 else later).append(tuple(row))
+        if not due:
+            return
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
         tag = Tag()
         if self.kept.exists():
-            state, daily, monthly, day, month, run_month, failures = self.kept.get()
-            tag = Tag(state, set(daily or []), set(monthly or []), day, month, run_month, failures)
-        chunks = list(rows)
-        batch = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-        order = np.lexsort((batch["event_id"].to_numpy(), batch["ts"].to_numpy()))
-        fields = [batch[name].to_numpy()[order].tolist() for name in Event._fields]
-        at, steps = [], []
-        for position, event in enumerate(map(Event._make, zip(*fields))):
-            for seq, step in enumerate(advance(tag, event, self.instant)):
+            state, daily, monthly, *rest = self.kept.get()
+            tag = Tag(state, set(daily or []), set(monthly or []), *rest)
+        out = []
+        for us, event_id, cycle, *fields in sorted(due, key=lambda row: row[:2]):
+            for seq, step in enumerate(advance(tag, Event(*fields), self.instant)):
                 if self.reason in (None, step.reason):
-                    at.append(position)
-                    steps.append((seq, *step))
+                    out.append((key[0], us, event_id, seq, cycle, *step))
         self.kept.update((tag.state, sorted(tag.daily), sorted(tag.monthly), tag.day, tag.month, tag.run_month,
-                          tag.failures))
-        if steps:
-            taken = order[at]
-            out = {"unit": key[0]} | {name: batch[name].to_numpy()[taken] for name in ("ts", "event_id")}
-            out["seq"] = [s[0] for s in steps]
-            out["cycle"] = batch["cycle"].to_numpy()[taken]
-            for i, name in enumerate(("from_state", "to_state", "reason"), start=1):
-                out[name] = [s[i] for s in steps]
-            yield pd.DataFrame(out)
+                          tag.failures, tag.run_day))
+        if out:
+            frame = pd.DataFrame(out, columns=["unit", "ts", "event_id", "seq", "cycle", "from_state", "to_state", "reason"])
+            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+            yield frame
 
     def close(self) -> None:
         pass
 
 
+def timed(log: DataFrame, delay: str = DELAY) -> DataFrame:
+    """A stream whose moments carry the watermark."""
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def dated(rows: DataFrame, schedule: cal.Schedule) -> DataFrame:
     """The dates the machine needs."""
     ts = F.col("ts")
@@ -79,32 +112,38 @@ def message_events(messages: DataFrame, units: DataFrame, schedule: cal.Schedule
     flagged = dated(messages, schedule).withColumn("counts", counts(schedule))
     routed = split_join(flagged, units, KEY, ["event_id"], ["unit"], left_rows=BATCH_ROWS)
     cycle = F.when(F.col("n_daily") > 0, F.col("day")).otherwise(F.col("month"))
-    return routed.withColumn("status", F.lit("")).withColumn("cycle", cycle).withColumn(
-        "ts", F.col("ts").cast("timestamp")).select(*MESSAGE_FIELDS)
+    return routed.withColumns({"status": F.lit(""), "run_day": F.lit(""), "cycle": cycle}).select(*MESSAGE_FIELDS)
 
 
 def report_events(reports: DataFrame, sizes: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
-    """Run reports (``unit``, ``seq``, ``status``, ``finish_time``) as events; ``sizes`` has one row per unit."""
-    at = reports.withColumn("ts", F.timestamp_seconds("finish_time").cast("timestamp_ntz"))
-    return dated(at, schedule).join(sizes, "unit").select(
-        "unit", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").alias("event_id"),
+    """Run reports (``unit``, ``seq``, ``status``, ``start_time`` and their moment ``ts``) as events; ``sizes`` has one
+    row per unit. A report names its run by the daily cycle that it was started in."""
+    started = F.timestamp_seconds("start_time")
+    run_day = cal.day_text(cal.cycle_day(started, schedule))
+    return dated(reports, schedule).join(sizes, "unit").select(
+        "unit", "ts", F.col("seq").alias("event_id"),
         F.col("day").alias("cycle"), "status", "update_frequency", F.lit("").alias("freq"),
         F.lit(-1).alias("key_no"), F.lit(False).alias("counts"), "n_daily", "n_monthly", "day", "month", "target_month",
+        run_day.alias("run_day"),
     )
 
 
+def report_times(reports: DataFrame, delay: str = DELAY) -> DataFrame:
+    """A stream of reports, each at the moment its attempt ended."""
+    return reports.withColumn("ts", F.timestamp_seconds("finish_time")).withWatermark("ts", delay)
+
+
 def transitions(events: DataFrame, instant: bool, reason: str | None = None) -> DataFrame:
-    """State changes of every unit, in arrival order of its rows."""
+    """State changes of every unit, in the order of its rows' moments. The rows carry a watermark on ``ts``."""
     return events.groupBy("unit").transformWithStateInPandas(
-        statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="None"
+        statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime"
     )
 
 
-def need_units(needs: DataFrame) -> DataFrame:
+def need_units(needs: DataFrame, required: DataFrame) -> DataFrame:
     """Without run reports all tags of one requirement set and frequency behave alike: one unit for them."""
-    frequency = F.explode(F.array(F.lit(DAILY), F.lit(MONTHLY)))
-    return needs.withColumn("update_frequency", frequency).withColumn(
-        "unit", F.concat_ws(":", "update_frequency", "need_id")).drop("need_id")
+    used = required.select("need_id", "update_frequency").distinct()
+    return needs.join(used, "need_id").withColumn("unit", F.concat_ws(":", "update_frequency", "need_id")).drop("need_id")
 
 
 def tag_units(required: DataFrame, needs: DataFrame) -> DataFrame:
@@ -113,14 +152,14 @@ def tag_units(required: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def readiness_stream(log: DataFrame, frequencies: DataFrame, needs: DataFrame, required: DataFrame,
-                     schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
+                     schedule: cal.Schedule = cal.DEFAULT, delay: str = DELAY) -> DataFrame:
     """Ready tags from a message stream: (tag_id, update_frequency, cycle, ready_ts, event_id).
 
-    The mapping, the requirement sets and the tags are tables, read anew in every micro-batch. Messages that
-    do not count can only wake a tag, which nobody sees here, so they are dropped before the fan-out.
+    The mapping, the requirement sets and the tags are tables. Messages that do not count can only wake a tag,
+    which nobody sees here, so they are dropped before the fan-out.
     """
-    hits = counted(tag_messages(log, frequencies, schedule), schedule)
-    events = message_events(hits, need_units(needs), schedule)
+    hits = counted(tag_messages(timed(log, delay), frequencies, schedule), schedule)
+    events = message_events(hits, need_units(needs, required), schedule)
     ready = transitions(events, instant=True, reason="ready")
     tags = required.select("tag_id", "update_frequency", F.concat_ws(":", "update_frequency", "need_id").alias("unit"))
     return ready.join(tags, "unit").select(

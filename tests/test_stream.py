@@ -19,19 +19,35 @@ def statics(inputs):
     return stable(inputs.frequencies), stable(inputs.needs), stable(inputs.required.drop("need"))
 
 
-def test_stream_equals_batch_over_a_restart(spark, inputs):
+def closing(log):
+    """A later message of an unknown table, which moves the watermark past the log."""
+    return log.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("frontier-adw").alias("topic"),
+        F.lit('{"table":"end","partition_fields":[""],"partition_values":[""],"db":"of","method":"x","exec_date":0}').alias("value"))
+
+
+def test_stream_equals_batch_out_of_order_and_over_a_restart(spark, inputs):
+    """Rows are shuffled over files within the delay, one file per micro-batch, with a restart between."""
     frequencies, needs, required = statics(inputs)
     path, state, out = (fresh_dir(spark, n) for n in ("log", "state", "out"))
     log = inputs.frontier
-    half = log.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    # three hours per file, each row up to four hours early or late
+    hours = F.unix_seconds(F.col("ts").cast("timestamp")) / 3600 + F.pmod(F.xxhash64("event_id"), F.lit(8)) - 4
+    parts = log.withColumn("part", F.floor(hours / 72))
+    numbers = sorted(r[0] for r in parts.select("part").distinct().collect())
 
     def run():
         stream = frontier.stream_log(spark, path, files_per_trigger=1)
-        return sr.drain(sr.readiness_stream(stream, frequencies, needs, required), state, out)
+        return sr.drain(sr.readiness_stream(stream, frequencies, needs, required, delay="9 hours"), state, out)
+
+    def write(some):
+        for n in some:
+            parts.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(path)
 
-    log.filter(F.col("ts") <= F.lit(half)).coalesce(1).write.mode("append").parquet(path)
+    write(numbers[:len(numbers) // 2])
     first = run().count()
-    log.filter(F.col("ts") > F.lit(half)).coalesce(1).write.mode("append").parquet(path)
+    write(numbers[len(numbers) // 2:])
+    closing(log).write.mode("append").parquet(path)
     both = rows(run(), *COLUMNS)
     assert 0 < first < len(both)
     assert both == rows(rounds.tag_rounds(inputs.messages, inputs.required, inputs.needs), *COLUMNS)
@@ -47,8 +63,8 @@ def test_first_rounds_are_the_closed_form(inputs):
     assert rows(first.select("need_id", "cycle", "ready_ts")) == rows(closed.select("need_id", "cycle", "ready_ts"))
 
 
-def event(status="", uf="D", freq="D", key=0, counts=True, nd=1, nm=0, day="2018-09-22", month="201808", target="201808"):
-    return Event(status, uf, freq, key, counts, nd, nm, day, month, target)
+def event(status="", uf="D", freq="D", key=0, counts=True, nd=1, nm=0, day="2018-09-22", month="201808", target="201808", run="2018-09-22"):
+    return Event(status, uf, freq, key, counts, nd, nm, day, month, target, run)
 
 
 def reasons(steps):
@@ -64,6 +80,22 @@ def test_run_finish_and_stop():
     assert tag.state == "Waiting" and not tag.daily
 
 
+def test_a_lost_report_frees_the_tag_at_the_cutoff():
+    tag = Tag()
+    advance(tag, event(), False)
+    assert tag.state == "Running"
+    late = event("Finish", day="2018-09-26", run="2018-09-22")
+    assert reasons(advance(tag, event(day="2018-09-23", nd=2), False)) == ["cutoff", "stopped", "first_message"]
+    assert reasons(advance(tag, late, False)) == ["cutoff", "stopped", "other_run"]
+
+
+def test_a_report_of_another_run_changes_nothing():
+    tag = Tag()
+    advance(tag, event(), False)
+    assert reasons(advance(tag, event("Finish", run="2018-09-21"), False)) == ["other_run"] and tag.state == "Running"
+    assert reasons(advance(tag, event("Finish"), False)) == ["finished", "stopped"]
+
+
 def test_three_failures_give_up_and_keep_monthly_flags():
     tag = Tag()
     advance(tag, event(freq="M", key=1, nm=1), False)
@@ -109,28 +141,32 @@ def test_duplicates_and_misses_change_nothing():
 
 
 def test_reports_reach_the_stream(spark):
-    """A tag that fails three times is given up, another one finishes."""
+    """A tag that fails three times is given up, another one finishes; a report that arrives before its run's last
+    message is still worked off after it."""
     ts = datetime(2018, 9, 22, 10)
-    log = [(1, ts, "frontier-adw", '{"table":"t","partition_fields":[""],"partition_values":[""],"db":"d","method":"x","exec_date":1}')]
+    body = '{"table":"%s","partition_fields":[""],"partition_values":[""],"db":"d","method":"x","exec_date":1}'
+    log = [(1, ts, "frontier-adw", body % "t"), (2, datetime(2018, 9, 25), "frontier-adw", body % "end")]
     path, reports_path = fresh_dir(spark, "log"), fresh_dir(spark, "reports")
-    spark.createDataFrame(log, frontier.LOG_SCHEMA).write.parquet(path)
+    for row in reversed(log):
+        spark.createDataFrame([row], frontier.LOG_SCHEMA).write.mode("append").parquet(path)
     at = int(ts.timestamp()) + 60
-    schema = "unit string, seq long, status string, finish_time long"
+    schema = "unit string, seq long, status string, start_time long, finish_time long"
     spark.createDataFrame(
-        [("bad", 1, "NonFinish", at), ("bad", 2, "NonFinish", at + 1), ("bad", 3, "NonFinish", at + 2), ("good", 4, "Finish", at)],
+        [("bad", 1, "NonFinish", at, at), ("bad", 2, "NonFinish", at, at + 1), ("bad", 3, "NonFinish", at, at + 2),
+         ("good", 4, "Finish", at, at), ("good", 5, "Finish", at, at + 9), ("none", 6, "Start", at, at + 3 * 86400)],
         schema).write.parquet(reports_path)
     frequencies = spark.createDataFrame([("d.t", "D")], "dbt string, freq string")
     units = spark.createDataFrame(
         [(u, "D", "D", "d.t", None, 0, 1, 0) for u in ("bad", "good")],
         "unit string, update_frequency string, freq string, dbt string, part string, key_no int, n_daily int, n_monthly int")
     sizes = units.select("unit", "update_frequency", "n_daily", "n_monthly")
-    messages = rt.tag_messages(frontier.stream_log(spark, path), frequencies)
-    reports = spark.readStream.schema(schema).parquet(reports_path)
+    messages = rt.tag_messages(sr.timed(frontier.stream_log(spark, path)), frequencies)
+    reports = sr.report_times(spark.readStream.schema(schema).parquet(reports_path))
     events = sr.message_events(messages, units).unionByName(sr.report_events(reports, sizes))
     out = sr.drain(sr.transitions(events, instant=False)).orderBy("ts", "event_id", "seq").collect()
     path_of = {u: [r["reason"] for r in out if r["unit"] == u] for u in ("bad", "good")}
     assert path_of == {"bad": ["first_message", "ready", "retry", "retry", "gave_up"],
-                       "good": ["first_message", "ready", "finished", "stopped"]}
+                       "good": ["first_message", "ready", "finished", "stopped", "other_run"]}
 
 
 def test_transition_log_matches_a_row_by_row_run(spark, inputs):
@@ -140,8 +176,9 @@ def test_transition_log_matches_a_row_by_row_run(spark, inputs):
 
     sizes = inputs.required.join(inputs.needs.select("need_id", "n_daily", "n_monthly").distinct(), "need_id").select(
         F.col("tag_id").alias("unit"), "update_frequency", "n_daily", "n_monthly")
-    events = sr.message_events(inputs.messages, sr.tag_units(inputs.required, inputs.needs)).unionByName(
-        sr.report_events(inputs.recent_reports.withColumnRenamed("tag_id", "unit"), sizes))
+    messages = inputs.messages.withColumn("ts", F.col("ts").cast("timestamp"))
+    events = sr.message_events(messages, sr.tag_units(inputs.required, inputs.needs)).unionByName(
+        sr.report_events(inputs.recent_reports.withColumnRenamed("tag_id", "unit").withColumn("ts", F.timestamp_seconds("finish_time")), sizes))
     tags, expected = {}, []
     for row in events.orderBy("unit", "ts", "event_id").collect():
         tag = tags.setdefault(row["unit"], Tag())
@@ -149,4 +186,4 @@ def test_transition_log_matches_a_row_by_row_run(spark, inputs):
             expected.append((row["unit"], row["event_id"], seq, *step))
     got = REGISTRY["transition_log"](spark, SMALL)
     assert rows(got, "tag_id", "event_id", "seq", "from_state", "to_state", "reason") == sorted(expected, key=repr)
-    assert {"ready", "finished", "retry", "gave_up", "stopped", "monthly_held", "cutoff", "first_message"} == {r[-1] for r in expected}
+    assert {"ready", "finished", "retry", "stopped", "monthly_held", "cutoff", "first_message", "other_run"} <= {r[-1] for r in expected}

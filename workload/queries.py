@@ -593,25 +593,37 @@ def readiness_rounds(x):
     return rows.select("tag_id", "update_frequency", "cycle", "event_id", us("ready_ts").alias("ready_us"))
 
 
+def _streamed_log(x) -> DataFrame:
+    """The log as files, in no order, and a later message of an unknown table that moves the watermark past its end."""
+    path = fresh_dir(x.spark, "log")
+    log = x.frontier
+    closing = log.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit("frontier-adw").alias("topic"),
+        F.lit('{"table":"end","partition_fields":[""],"partition_values":[""],"db":"of","method":"log","exec_date":0}').alias("value"))
+    log.repartition(4, F.xxhash64("event_id")).unionByName(closing).write.parquet(path)
+    return frontier.stream_log(x.spark, path)
+
+
 @query
 def readiness_stream(x):
-    path = fresh_dir(x.spark, "log")
-    x.frontier.write.parquet(path)
     required, needs = _tag_tables(x)
-    out = sr.drain(sr.readiness_stream(frontier.stream_log(x.spark, path), stable(x.frequencies), needs, required))
+    out = sr.drain(sr.readiness_stream(_streamed_log(x), stable(x.frequencies), needs, required))
     return out.select("tag_id", "update_frequency", "cycle", "event_id", us("ready_ts").alias("ready_us"))
 
 
 @query
 def transition_log(x):
     """State changes with run reports fed back: the reports join the messages in one stream per tag."""
-    path, reports_path = fresh_dir(x.spark, "log"), fresh_dir(x.spark, "reports")
-    x.frontier.write.parquet(path)
-    x.recent_reports.write.parquet(reports_path)
+    reports_path = fresh_dir(x.spark, "reports")
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * 3
+    closing = x.table("events").agg(F.max("ts").alias("ts")).select(
+        F.lit("none").alias("tag_id"), F.lit(-1).cast("long").alias("seq"), F.lit("Start").alias("status"),
+        late.alias("start_time"), late.alias("finish_time"))
+    x.recent_reports.unionByName(closing).write.parquet(reports_path)
     required, needs = _tag_tables(x)
-    messages = rt.tag_messages(frontier.stream_log(x.spark, path), stable(x.frequencies))
+    messages = rt.tag_messages(sr.timed(_streamed_log(x)), stable(x.frequencies))
     schema = x.recent_reports.schema
-    reports = x.spark.readStream.schema(schema).parquet(reports_path).withColumnRenamed("tag_id", "unit")
+    reports = sr.report_times(x.spark.readStream.schema(schema).parquet(reports_path).withColumnRenamed("tag_id", "unit"))
     sizes = stable(required.join(needs.select("need_id", "n_daily", "n_monthly").distinct(), "need_id").select(
         F.col("tag_id").alias("unit"), "update_frequency", "n_daily", "n_monthly"))
     events = sr.message_events(messages, sr.tag_units(required, needs)).unionByName(sr.report_events(reports, sizes))
@@ -622,11 +634,10 @@ def transition_log(x):
 @query
 def status_stream(x):
     """The main path as a stream: messages in, composed runs and start messages out."""
-    path, target = fresh_dir(x.spark, "log"), fresh_dir(x.spark, "status")
-    x.frontier.write.parquet(path)
+    target = fresh_dir(x.spark, "status")
     required, needs = _tag_tables(x)
     definitions = stable(status_flow.registered(x.dictionary))
-    query = status_stream_plan.start(frontier.stream_log(x.spark, path), stable(x.frequencies), needs, required,
+    query = status_stream_plan.start(_streamed_log(x), stable(x.frequencies), needs, required,
                                      definitions, target, fresh_dir(x.spark, "status-state"), available_now=True)
     query.awaitTermination()
     return status_stream_plan.composed_rows(x.spark, target).select(
