@@ -604,6 +604,64 @@ from (select *, {w_end('update_frequency', 's', 'traced')} e from (
     case when not contains(d.sql, '$') then 'plain' when started is null or traced is null then 'error' else 'dated' end status
   from ({_rounds_sql}) r join ({_sql("select tag_id, sql, started, traced from dict")}) d using (tag_id)))""")
 
+# transitions: each tag's messages and reports in order of time, one row after the other
+_cte("t_events", f"""
+select *, row_number() over (partition by tag_id order by us, id) pos from (
+  select t.tag_id, t.update_frequency uf, nd, nm, epoch_us(m.ts) us, m.event_id id, '' status, m.freq, m.dbt || '|' || coalesce(m.part, '~') k,
+    m.event_id in (select event_id from counted) hit, {iso('m.d')} dy, {last_month('m.d')} mo, '' rd
+  from msgs m join deps t on t.freq=m.freq and t.dbt=m.dbt and t.part is not distinct from m.part
+  join need_n n on n.tag_id=t.tag_id
+  union all
+  select r.tag_id, n.update_frequency, nd, nm, finish_time * 1000000, seq, status, '', '', false, {iso('f')}, {last_month('f')}, {iso('b')}
+  from (select *, cast(to_timestamp(finish_time) at time zone 'UTC' as date) f,
+    cast(to_timestamp(start_time) at time zone 'UTC' as date) b from recent) r join need_n n on n.tag_id=r.tag_id)""")
+
+
+def _step(f: str, t: str, r: str) -> str:
+    return f"{{'f': {f}, 't': {t}, 'r': {r}}}"
+
+
+_HELD = "case when len({0}) > 0 then 'Receiving' else 'Waiting' end"
+_WHY = "case when len({0}) > 0 then 'monthly_held' else 'stopped' end"
+# the state before a row, the row, and what the cutoffs between them leave
+_AFTER_CUTOFF = f"""
+select *, case when cut then {_HELD.format('ml1')} else st end st1, case when cut then 0 else fl end fl1,
+  case when cut then [{_step('st', "'Verifying'", "'cutoff'")}, {_step("'Verifying'", _HELD.format('ml1'), _WHY.format('ml1'))}] else [] end s1 from (
+  select *, later and dy <> '' and st in ('Receiving', 'Running') cut, case when later then [] else dl end dl1,
+    case when later and mo <> e_mo then [] else ml end ml1, case when later then e_dy else dy end dy1,
+    case when later and mo <> e_mo then e_mo else mo end mo1 from (
+    select c.*, e.uf, e.nd, e.nm, e.us, e.id, e.status, e.freq, e.k, e.hit, e.dy e_dy, e.mo e_mo, e.rd e_rd, e.dy > c.dy later
+    from t_chain c join t_events e on e.tag_id=c.tag_id and e.pos=c.pos + 1))"""
+_KIND = f"""
+select *, case when status = '' and (st1 = 'Running' or st1 = 'Waiting' and uf = 'M' and rm = e_mo) then 'none' when status = '' then 'message'
+    when status = 'Start' then 'none' when st1 <> 'Running' or rd <> e_rd then 'other' when status = 'Finish' then 'finish' else 'fail' end kind,
+  case when hit and freq = 'D' then list_distinct(list_append(dl1, k)) else dl1 end dl2,
+  case when hit and freq = 'M' then list_distinct(list_append(ml1, k)) else ml1 end ml2,
+  case when uf = 'M' or not (nd > 0 and nm > 0) then [] else ml1 end ml3 from ({_AFTER_CUTOFF})"""
+_CHAIN_T = f"""t_chain as (
+  select distinct tag_id, cast(0 as bigint) pos, 'Waiting' st, cast([] as varchar[]) dl, cast([] as varchar[]) ml, '' dy, '' mo, '' rm,
+    0 fl, '' rd, cast(0 as bigint) at_us, cast(0 as bigint) at_id, cast([] as struct(f varchar, t varchar, r varchar)[]) steps from t_events
+  union all
+  select tag_id, pos + 1,
+    case kind when 'message' then case when ready then 'Running' else 'Receiving' end when 'finish' then {_HELD.format('ml3')}
+      when 'fail' then case when fl1 = 2 then 'Receiving' else 'Running' end else st1 end,
+    case kind when 'message' then dl2 when 'finish' then [] when 'fail' then case when fl1 = 2 then [] else dl1 end else dl1 end,
+    case kind when 'message' then ml2 when 'finish' then ml3 else ml1 end, dy1, mo1,
+    case when kind = 'finish' and uf = 'M' then e_mo else rm end,
+    case kind when 'finish' then 0 when 'fail' then (fl1 + 1) % 3 else fl1 end,
+    case when kind = 'message' and ready then e_dy else rd end, us, id,
+    list_concat(s1, case kind
+      when 'message' then list_concat(case when st1 = 'Waiting' then [{_step("'Waiting'", "'Receiving'", "'first_message'")}] else [] end,
+        case when ready then [{_step("'Receiving'", "'Running'", "'ready'")}] else [] end)
+      when 'finish' then [{_step("'Running'", "'Verifying'", "'finished'")}, {_step("'Verifying'", _HELD.format('ml3'), _WHY.format('ml3'))}]
+      when 'fail' then [case when fl1 = 2 then {_step("'Running'", "'Receiving'", "'gave_up'")} else {_step("'Running'", "'Running'", "'retry'")} end]
+      when 'other' then [{_step('st1', 'st1', "'other_run'")}] else [] end)
+  from (select *, kind = 'message' and hit and len(dl2) = nd and len(ml2) = nm ready from ({_KIND})))
+select tag_id, at_us us, at_id event_id, cast(generate_subscripts(steps, 1) - 1 as integer) seq, unnest(steps).f from_state,
+  unnest(steps).t to_state, unnest(steps).r reason from t_chain where len(steps) > 0"""
+_head = _sql("select 1 from t_events", recursive=True)
+ORACLE["transition_log"] = _head[: _head.rindex("\nselect 1 from")] + ",\n" + _CHAIN_T
+
 _oracle("run_ready_tags", f"""select entity_id, tag_id, round(score, 2) score, start_date, end_date, '{DAY}' execute_date from (
   select o_custkey entity_id, tag_id, case when k%2=0 then cast(sum(cast(o_totalprice as decimal(18,2))) as double)
     else cast(count(*) as double) end score, {iso('s')} start_date, {iso('e')} end_date
