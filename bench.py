@@ -20,7 +20,7 @@ from workload.queries import REGISTRY
 HEADLINE = [
     "tag_status_flow", "message_route", "readiness", "retry_accounting", "run_windowed_tags", "readiness_stream",
     "readiness_rounds", "dependency_resolve", "message_normalise", "schedule_batches", "messages_ignored",
-    "unfinished_report", "tag_coverage", "finish_message", "dict_replace", "dict_json_validate",
+    "unfinished_report", "tag_coverage", "finish_message", "dict_replace", "dict_json_validate", "run_ready_tags",
 ]
 
 

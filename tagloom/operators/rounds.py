@@ -24,9 +24,8 @@ from tagloom.operators.routing import counted
 from tagloom.schemas import DAILY, KEY, MONTHLY
 from tagloom.session import stable
 
-SLICE_ROWS = 10_000  # messages a slice of time should hold at most
-STEP_US = 10_000_000
-DAY_STEPS = 8_640
+SLICE_ROWS = 10_000  # messages a slice of the log holds at most
+DAY_US = 86_400_000_000
 
 # one row per slice; what the Python side reads and writes, a batch of slices at a time
 SOLVED = """need_id string, cycle string, slice long, n_keys int,
@@ -111,29 +110,30 @@ def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sliced(events: DataFrame, slice_rows: int) -> DataFrame:
-    """Number the slices: a new one with each day and whenever ``slice_rows`` messages have come since.
+    """Number the slices: a new one with each day and every ``slice_rows`` messages, however fast they come.
 
-    Cut between steps of ten seconds, from the number of messages per step; a day has 8,640 steps.
+    The place of a message in the log's order is exact: rows are put in order by ranges, numbered where they
+    lie, and the ranges' sizes, one small row each, are summed up.
     """
-    step = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / STEP_US)
-    timed = events.withColumn("step", step)
-    day = F.floor(F.col("step") / DAY_STEPS)
-    before = Window.partitionBy("day").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = (
-        timed.groupBy("step").agg(F.count(F.lit(1)).alias("n")).withColumn("day", day)
-        .withColumn("number", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows))
-        .select("step", (F.col("day") * 1_000_000_000 + F.col("number")).alias("slice"))
-    )
-    return timed.join(steps, "step").drop("step")
+    ordered = stable(events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn(
+        "_at", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).select(
+        "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US)
+    number = F.floor((F.col("_start") + inside) / slice_rows)
+    return ordered.withColumn("_part", part).join(starts, "_part").withColumn(
+        "slice", day * 1_000_000_000_000 + number).drop("_at", "_part", "_start")
 
 
 def need_rounds(messages: DataFrame, needs: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
                 slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(need_id, cycle, ready_ts, event_id) of every round, for sets that start over after each run."""
     # the messages that count are few beside the log; they are read several times below
-    hits = _sliced(stable(
+    hits = _sliced(
         counted(messages, schedule).select("event_id", "ts", *KEY)
-        .withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule))), slice_rows)
+        .withColumn("cycle", cal.cycle(F.col("freq"), F.col("ts"), schedule)), slice_rows)
     # the side of a set that is collected again and again: its daily keys, or its monthly ones if it has no others
     mixed = (F.col("n_daily") > 0) & (F.col("n_monthly") > 0)
     round_keys = needs.filter((F.col("freq") == DAILY) | (F.col("n_daily") == 0)).withColumn(

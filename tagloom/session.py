@@ -90,9 +90,22 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the written intermediate tables of this session; call it when nothing that reads them is in use."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def stable(frame: DataFrame, name: str = "stage") -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here, the loss of executors costs
     nothing that was done before, and readers prune its columns."""
     path = fresh_dir(frame.sparkSession, name)
+    _made.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

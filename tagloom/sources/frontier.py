@@ -25,9 +25,11 @@ def kafka_options(servers: str, topics=FRONTIER_TOPICS, per_trigger: int = 5_000
 
 
 def from_kafka(rows: DataFrame) -> DataFrame:
-    """Kafka's own columns in the common shape."""
+    """Kafka's own columns in the common shape. An offset is unique only in its partition, so the id holds all
+    three: offset, then place of the topic in the subscription (16 at most), then partition (65,536 at most)."""
+    place = F.array_position(F.lit(list(FRONTIER_TOPICS)), F.col("topic"))
     return rows.select(
-        F.col("offset").alias("event_id"),
+        (F.shiftleft("offset", 20) + F.shiftleft(place.cast("long"), 16) + F.col("partition")).alias("event_id"),
         F.col("timestamp").cast("timestamp_ntz").alias("ts"),
         "topic",
         F.col("value").cast("string").alias("value"),

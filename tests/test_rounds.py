@@ -76,7 +76,7 @@ def message_log(spark, seed, n=400, days=40):
 
 def simulate(messages, needs, schedule):
     """Apply the machine to every unit's messages, one by one."""
-    units = need_units(needs).filter("update_frequency = 'D'")
+    units = need_units(needs, needs.select("need_id", F.lit("D").alias("update_frequency")).distinct())
     events = message_events(messages, units, schedule).orderBy("ts", "event_id").collect()
     tags, found = {}, []
     for row in events:
@@ -112,6 +112,19 @@ def test_messages_that_do_not_count_change_nothing(spark):
 def test_message_events_carry_what_the_machine_needs(spark):
     needs = spark.createDataFrame(
         NEEDS, "need_id string, freq string, dbt string, part string, key_no int, n_daily int, n_monthly int")
-    frame = message_events(message_log(spark, 1, 20), need_units(needs))
+    frame = message_events(message_log(spark, 1, 20), need_units(needs, needs.select("need_id", F.lit("D").alias("update_frequency")).distinct()))
     assert frame.columns == MESSAGE_FIELDS
     assert frame.filter(F.col("day").isNull() | F.col("month").isNull()).count() == 0
+
+
+def test_a_burst_is_cut_too(spark):
+    """No slice holds more than its bound, however many messages come in one moment, and slices follow the order."""
+    from tagloom.operators.rounds import _sliced
+
+    burst = spark.range(0, 20_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-02 03:04:05' as ts").unionByName(
+        spark.range(20_000, 20_050).selectExpr("id as event_id", "timestamp_ntz'2024-01-03 00:00:00' as ts"))
+    cut = _sliced(burst, 10)
+    sizes = [r["count"] for r in cut.groupBy("slice").count().collect()]
+    assert max(sizes) <= 10 and sum(sizes) == 20_050
+    bounds = sorted((r["slice"], r["a"], r["b"]) for r in cut.groupBy("slice").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).collect())
+    assert all(x[2] < y[1] for x, y in zip(bounds, bounds[1:]))

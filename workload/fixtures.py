@@ -191,18 +191,23 @@ def dictionary_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nation_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """F5 with the entity's nation, for tags that run their own SQL."""
+    """F5 with the entity's nation, laid over the months before and in F3, for tags that run their own SQL."""
     customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("nation"))
-    return facts(spark, sf).join(customers, "entity_id")
+    day = F.date_add(F.lit("2023-06-01").cast("date"), (F.col("o_orderkey") % 245).cast("int"))
+    recent = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("entity_id"), day.alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    return recent.join(customers, "entity_id")
 
 
 def nation_tags(spark: SparkSession, sf: str) -> DataFrame:
-    """one tag per nation with runnable SQL over ``tag_facts``; some name a column that is not there."""
+    """one tag per nation with runnable SQL over ``tag_facts`` that names a view it waits for; some name a column
+    that is not there."""
+    nation = table(spark, sf, "nation").withColumn("n", _count(spark, sf, "supplier"))
     return spark.sql("""
         select cast(n_nationkey as bigint) as row_seq, concat('NATION_', n_nationkey) as tag_id,
             n_name as source_type, 'nation' as source_item, array(named_struct('type_L1', 'nation', 'type_L2', n_name)) as tag_type,
             n_name as tag_name,
-            concat('select entity_id, ',
+            concat('/* VP_BANK.v_', n_nationkey % n, ' */ select entity_id, ',
                 if(n_nationkey % 7 = 3, 'sum(no_such_column)', if(n_nationkey % 2 = 0, 'sum(amount)', 'count(1)')),
                 ' as score from tag_facts where nation = ', n_nationkey,
                 ' and day between date ''$start_date'' and date ''$end_date'' group by entity_id') as sql,
@@ -211,4 +216,4 @@ def nation_tags(spark: SparkSession, sf: str) -> DataFrame:
             n_name as description, '2018-01-01' as create_time, '2018-09-22' as update_time, false as disable_flag,
             'sum' as score_method, 'nation' as attribute, 'fixture' as creator, false as is_focus,
             'ATS' as system_name, array('N') as tickets
-        from {n}""", n=table(spark, sf, "nation"))
+        from {t}""", t=nation)

@@ -404,6 +404,8 @@ _oracle("registry_update", "select * from updated_deps")
 _oracle("registry_remove", "select * from deps where tag_id not in (select target_id from feed)")
 _oracle("registry_stop", """select tag_id, case when tag_id in (select target_id from feed) then 'inactive'
   when tag_id in (select tag_id from awake) then 'active' else 'inactive' end status from dict""")
+_oracle("tag_change_flow", """select * from deps where tag_id not in (select tag_id from feed_ok where upper(system_name) = 'ATS')
+union all select * from feed_deps where tag_id in (select tag_id from feed_ok where upper(system_name) = 'ATS')""")
 _oracle("registry_diff", """select tag_id, freq, dbt, part,
   case when max(o) = 0 then 'added' when max(n) = 0 then 'removed' else 'kept' end change
 from (select tag_id, freq, dbt, part, 1 o, 0 n from deps union all select tag_id, freq, dbt, part, 0, 1 from updated_deps)
@@ -662,16 +664,25 @@ select tag_id, at_us us, at_id event_id, cast(generate_subscripts(steps, 1) - 1
 _head = _sql("select 1 from t_events", recursive=True)
 ORACLE["transition_log"] = _head[: _head.rindex("\nselect 1 from")] + ",\n" + _CHAIN_T
 
-_oracle("run_ready_tags", f"""select entity_id, tag_id, round(score, 2) score, start_date, end_date, '{DAY}' execute_date from (
+# tags that run their own SQL wait for one view each
+_cte("nation_runs", f"""
+select * from (
+  select t.*, a.first_ts ready_ts, cast(a.first_ts as date) as_of, {last_month('cast(a.first_ts as date)')} target_month, a.cycle
+  from (select n_nationkey k, 'NATION_' || n_nationkey tag_id, case when n_nationkey%3=0 then 'M' else 'D' end f,
+    'v_' || (n_nationkey%n) v from nation, n_s) t
+  join views on views."view" = t.v
+  join arrivals a on a.freq=views.freq and a.dbt=views.dbt and a.part is not distinct from views.part)
+qualify f='D' or row_number() over (partition by tag_id, target_month order by ready_ts, cycle) = 1""")
+_oracle("run_ready_tags", f"""select entity_id, tag_id, round(score, 2) score, start_date, end_date, execute_date from (
   select o_custkey entity_id, tag_id, case when k%2=0 then cast(sum(cast(o_totalprice as decimal(18,2))) as double)
-    else cast(count(*) as double) end score, {iso('s')} start_date, {iso('e')} end_date
-  from (select *, {w_end('f', 's', '(1 + k%3)')} e from (select *, {w_start('f', f"date '{DAY}'", '(-(1 + k%6))')} s from (
-    select n_nationkey k, 'NATION_' || n_nationkey tag_id, case when n_nationkey%3=0 then 'M' else 'D' end f from nation where n_nationkey%7<>3)))
-  join customer on c_nationkey=k join orders on o_custkey=c_custkey and cast(o_orderdate as date) between s and e
-  group by o_custkey, tag_id, k, s, e)""")
-_oracle("run_ready_tags_report", """select tag_id, unnest(steps) status from (
-  select 'NATION_' || n_nationkey tag_id, case when n_nationkey%7=3
-    then ['Start', 'NonFinish', 'Start', 'NonFinish', 'Start', 'NonFinish'] else ['Start', 'Finish'] end steps from nation)""")
+    else cast(count(*) as double) end score, {iso('s')} start_date, {iso('e')} end_date, {iso('as_of')} execute_date
+  from (select *, {w_end('f', 's', '(1 + k%3)')} e from (select *, {w_start('f', 'as_of', '(-(1 + k%6))')} s from nation_runs where k%7<>3))
+  join customer on c_nationkey=k
+  join orders on o_custkey=c_custkey and date '2023-06-01' + cast(o_orderkey%245 as integer) between s and e
+  group by o_custkey, tag_id, k, s, e, as_of)""")
+_oracle("run_ready_tags_report", f"""select tag_id, execute_date, unnest(steps) status from (
+  select tag_id, {iso('as_of')} execute_date, case when k%7=3
+    then ['Start', 'NonFinish', 'Start', 'NonFinish', 'Start', 'NonFinish'] else ['Start', 'Finish'] end steps from nation_runs)""")
 _oracle("run_windowed_tags", """select entity_id, tag_id, cast(case when score_method='sum' then cast(amount as double) else n end as double) score,
   start_date, end_date, execute_date, cast(amount as double) amount from windowed join scores using (start_date, end_date)""")
 _oracle("tag_coverage", """

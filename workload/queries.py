@@ -22,7 +22,7 @@ from tagloom.operators import readiness as rd
 from tagloom.operators import rounds, runs
 from tagloom.operators import routing as rt
 from tagloom.operators.keys import split_join
-from tagloom.plans import status_flow
+from tagloom.plans import status_flow, tag_change
 from tagloom.plans import status_stream as status_stream_plan
 from tagloom.schemas import FINISH, FRONTIER, KEY
 from tagloom.session import fresh_dir, stable, tune
@@ -361,6 +361,11 @@ def registry_stop(x):
     return dp.stop(status, x.feed.select(F.col("target_id").alias("tag_id")))
 
 
+@query
+def tag_change_flow(x):
+    return tag_change.tag_change_flow(x.dictionary, x.deps, x.feed, x.views)[1]
+
+
 @query
 def registry_diff(x):
     after = dp.update(x.deps, dp.register(x.dictionary), _definitions(x), x.views)
@@ -756,8 +761,10 @@ def finish_message_sink(x):
 # ---- evaluation ----
 
 def _own_sql(x):
+    """What became ready is run: the flow's own output, several days of each tag."""
     x.nation_facts.createOrReplaceTempView("tag_facts")
-    return ev.run_tags(x.spark, runs.composed_runs(x.nation_tags, fixed_day()), fresh_dir(x.spark, "tag_result"))
+    ready = stable(status_flow.tag_status_flow(x.mapping, x.nation_tags, x.frontier).filter(F.col("status") != "error"))
+    return ev.run_tags(x.spark, ready.withColumn("execute_date", cal.day_text(F.col("as_of"))), fresh_dir(x.spark, "tag_result"))
 
 
 @query
@@ -767,7 +774,7 @@ def run_ready_tags(x):
 
 @query
 def run_ready_tags_report(x):
-    return _own_sql(x)[1].select("tag_id", "status")  # one row per start and end of an attempt
+    return _own_sql(x)[1].select("tag_id", "execute_date", "status")  # one row per start and end of an attempt
 
 
 @query
