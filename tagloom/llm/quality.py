@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.texts import whole
 
 BLOCK = 1024  # bytes
-SAMPLE = 6000  # blocks per class, 6 MB each
+SAMPLE = 6000  # blocks per class, 6 MB each, from some 12,000 rows
 DICTIONARY = 256 << 10  # bytes
 LEVEL = 3
 BINS = (400, 50, 9)  # of difference, ratio and length, in the histogram that is calibrated on
@@ -118,21 +118,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from the labelled rows where ``learn`` holds; ``labels`` has the key and a label 0 or 1."""
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("good"))
-    rows = docs.filter(learn).select(key, text).join(known, key).filter(F.col(text).isNotNull())
-    # half of the rows, by a hash, may go into the dictionaries; the others calibrate
+    # some rows of each class, by a hash, may go into the dictionaries; all others calibrate
+    sizes = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit("quality sample"), F.col(key)), F.lit(1 << 30))
-    seen = place < (1 << 29)
-    cut = rows.filter(seen).select(
-        "good", place.alias("h"), F.octet_length(text).alias("size"), F.col(text).cast("binary").alias("text"))
-    numbered = cut.select("good", "h", "text", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("size", F.lit(1)) - 1) / BLOCK))).alias("i"))
-    piece = F.expr(f"substring(text, cast(i * {BLOCK} + 1 as int), {BLOCK})")
-    order = F.xxhash64("h", "i")
+    share = F.lit(0)
+    for good, n in sizes.items():
+        share = F.when(F.col("good") == good, F.lit(int(min(0.5, 2 * sample / n) * (1 << 30)))).otherwise(share)
+    marked = known.withColumn("place", place).withColumn("seen", place < share)
+    texts = docs.filter(learn & F.col(text).isNotNull()).select(key, text)
+    rows = texts.join(marked.filter("seen"), key)
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length(text), F.lit(1)) - 1) / BLOCK))
+    pieces = F.transform(starts, lambda i: F.substring(F.col(text).cast("binary"), (i * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+    cut = rows.select("good", "place", F.posexplode(pieces).alias("i", "piece"))
+    order = F.xxhash64("place", "i")
     dictionaries = []
     for good in (1, 0):
         # the sample is the feature here: as many blocks as the parameter says, least hash first
-        chosen = numbered.filter(F.col("good") == good).select(order.alias("o"), piece.alias("piece")).orderBy("o", "piece").limit(sample)
+        chosen = cut.filter(F.col("good") == good).select(order.alias("o"), "piece").orderBy("o", "piece").limit(sample)
         dictionaries.append(dictionary([bytes(r["piece"]) for r in chosen.collect()]))
-    rest = rows.filter(~seen).select("good", F.col(text).cast("binary").alias("text"))
+    rest = texts.join(marked.filter("NOT seen"), key).select("good", F.col(text).cast("binary").alias("text"))
     measured = rest.mapInArrow(_measured(*dictionaries), "key int, difference double, ratio double, length double")
     cells = [F.round((F.col("difference") + 1) / 2 * BINS[0]), F.round(F.col("ratio") * BINS[1]), F.round(F.col("length") / 8 * BINS[2])]
     histogram = measured.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(cells)], "key").agg(
