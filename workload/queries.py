@@ -638,7 +638,7 @@ def transition_log(x):
 
 @query
 def status_stream(x):
-    """The main path as a stream: messages in, composed runs and start messages out."""
+    """The main path as a stream: messages in, composed runs out."""
     target = fresh_dir(x.spark, "status")
     required, needs = _tag_tables(x)
     definitions = stable(status_flow.registered(x.dictionary))
