@@ -23,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import whole
+from tagloom.session import stable
 
 BLOCK = 1024  # bytes
-SAMPLE = 6000  # blocks per class, 6 MB each, from some 12,000 rows
+SAMPLE = 6000  # blocks per class, 6 MB each, from as many rows
 DICTIONARY = 256 << 10  # bytes
 LEVEL = 3
 BINS = (400, 50, 9)  # of difference, ratio and length, in the histogram that is calibrated on
@@ -40,10 +41,6 @@ class Model:
     scale: tuple[float, ...]
     weights: tuple[float, ...]
 
-    def score(self, measured: np.ndarray) -> np.ndarray:
-        x = np.column_stack([np.ones(len(measured)), (terms(measured) - self.mean) / self.scale])
-        return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -30, 30)))
-
 
 def terms(measured: np.ndarray) -> np.ndarray:
     """What the calibration is linear in, from rows of (difference, ratio, length)."""
@@ -107,60 +104,85 @@ def logistic(x: np.ndarray, good: np.ndarray, rows: np.ndarray, turns: int = 40)
 def _measured(good: bytes, bad: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([measure(t, good, bad) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
+            found = np.array([measure(t, good, bad) for t in batch.column(2).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(found[:, i]) for i in range(3)]], ["key", "difference", "ratio", "length"])
+                [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(3)]],
+                ["key", "learn", "difference", "ratio", "length"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
-        label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from the labelled rows where ``learn`` holds; ``labels`` has the key and a label 0 or 1."""
-    known = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("good"))
-    # some rows of each class, by a hash, may go into the dictionaries; all others calibrate
+def measured(docs: DataFrame, good: bytes, bad: bytes, key: str = "doc_id", text: str = "text",
+             learn: Column | None = None) -> DataFrame:
+    """(key, learn, difference, ratio, length) of every row; a null text counts as empty."""
+    kind = docs.schema[key].dataType.simpleString()
+    flag = F.lit(False) if learn is None else F.coalesce(learn, F.lit(False))
+    return docs.select(F.col(key).alias("key"), flag.alias("learn"), whole(F.col(text)).cast("binary").alias("text")).mapInArrow(
+        _measured(good, bad), f"key {kind}, learn boolean, difference double, ratio double, length double")
+
+
+def _marked(labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
+    """(key, good, place, seen): labelled rows; those seen, some ``sample`` of each class by a hash, go into the
+    dictionaries, all others calibrate."""
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("good"))
     sizes = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.pmod(F.xxhash64(F.lit("quality sample"), F.col(key)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.lit("quality sample"), F.col("key")), F.lit(1 << 30))
     share = F.lit(0)
     for good, n in sizes.items():
-        share = F.when(F.col("good") == good, F.lit(int(min(0.5, 2 * sample / n) * (1 << 30)))).otherwise(share)
-    marked = known.withColumn("place", place).withColumn("seen", place < share)
-    texts = docs.filter(learn & F.col(text).isNotNull()).select(key, text)
-    rows = texts.join(marked.filter("seen"), key)
-    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length(text), F.lit(1)) - 1) / BLOCK))
-    pieces = F.transform(starts, lambda i: F.substring(F.col(text).cast("binary"), (i * BLOCK + 1).cast("int"), F.lit(BLOCK)))
+        share = F.when(F.col("good") == good, F.lit(int(min(0.5, sample / n) * (1 << 30)))).otherwise(share)
+    return known.withColumn("place", place).withColumn("seen", place < share)
+
+
+def _dictionaries(docs: DataFrame, marked: DataFrame, learn: Column, key: str, text: str, sample: int) -> list[bytes]:
+    seen = F.broadcast(marked.filter("seen").select(F.col("key").alias("_key"), "good", "place"))  # by its share some 2 * sample rows
+    rows = docs.filter(learn & F.col(text).isNotNull()).select(F.col(key).alias("_own"), F.col(text).alias("_text")).join(
+        seen, F.col("_own") == F.col("_key"))
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length("_text"), F.lit(1)) - 1) / BLOCK))
+    pieces = F.transform(starts, lambda i: F.substring(F.col("_text").cast("binary"), (i * BLOCK + 1).cast("int"), F.lit(BLOCK)))
     cut = rows.select("good", "place", F.posexplode(pieces).alias("i", "piece"))
     order = F.xxhash64("place", "i")
-    dictionaries = []
+    out = []
     for good in (1, 0):
         # the sample is the feature here: as many blocks as the parameter says, least hash first
         chosen = cut.filter(F.col("good") == good).select(order.alias("o"), "piece").orderBy("o", "piece").limit(sample)
-        dictionaries.append(dictionary([bytes(r["piece"]) for r in chosen.collect()]))
-    rest = texts.join(marked.filter("NOT seen"), key).select("good", F.col(text).cast("binary").alias("text"))
-    measured = rest.mapInArrow(_measured(*dictionaries), "key int, difference double, ratio double, length double")
+        out.append(dictionary([bytes(r["piece"]) for r in chosen.collect()]))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
+        label: str = "quality", sample: int = SAMPLE) -> tuple[Model, DataFrame]:
+    """A model from the labelled rows where ``learn`` holds, and the written measures of all rows of ``docs``.
+
+    ``labels`` has the key and a label 0 or 1. Every text is compressed once: the measures, a few numbers per row, are
+    what meets the labels and what is scored, so no text is shuffled.
+    """
+    marked = _marked(labels, key, label, sample)
+    good, bad = _dictionaries(docs, marked, learn, key, text, sample)
+    rows = stable(measured(docs, good, bad, key, text, learn), "measured")
+    rest = rows.filter("learn").join(marked.filter("NOT seen").select(F.col("key"), "good"), "key")
     cells = [F.round((F.col("difference") + 1) / 2 * BINS[0]), F.round(F.col("ratio") * BINS[1]), F.round(F.col("length") / 8 * BINS[2])]
-    histogram = measured.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(cells)], "key").agg(
+    histogram = rest.groupBy(*[c.alias(f"c{i}") for i, c in enumerate(cells)], "good").agg(
         F.avg("difference").alias("d"), F.avg("ratio").alias("r"), F.avg("length").alias("l"), F.count(F.lit(1)).alias("n"),
     ).collect()  # a row per cell and label
     if not histogram:
-        return Model(*dictionaries, (0.0,) * 7, (1.0,) * 7, (0.0,) * 8)
+        return Model(good, bad, (0.0,) * 7, (1.0,) * 7, (0.0,) * 8), rows
     x = terms(np.array([(c["d"], c["r"], c["l"]) for c in histogram]))
     n = np.array([c["n"] for c in histogram], float)
     mean = (x * n[:, None]).sum(axis=0) / n.sum()
     scale = np.sqrt(((x - mean) ** 2 * n[:, None]).sum(axis=0) / n.sum()) + 1e-9
-    good = np.array([c["key"] for c in histogram]) * n
-    weights = logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), good, n)
-    return Model(*dictionaries, tuple(mean.tolist()), tuple(scale.tolist()), tuple(weights.tolist()))
+    labelled = np.array([c["good"] for c in histogram]) * n
+    weights = logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), labelled, n)
+    return Model(good, bad, tuple(mean.tolist()), tuple(scale.tolist()), tuple(weights.tolist())), rows
 
 
-def _scored(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([measure(t, model.good, model.bad) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(model.score(found)), pa.array(found[:, 0])], ["key", "score", "difference"])
-
-    return run
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(key, score, difference) from measured rows."""
+    d, r, n = F.col("difference"), F.col("ratio"), F.col("length")
+    sum_ = F.lit(model.weights[0])
+    for term, mean, scale, weight in zip((d, r, d * d, r * r, d * r, n, d * n), model.mean, model.scale, model.weights[1:]):
+        sum_ = sum_ + (term - mean) / scale * weight
+    bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum_))
+    return rows.select("key", (1 / (1 + F.exp(-bounded))).alias("score"), "difference")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,6 +191,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts have difference 0 and the score that goes with it. Rows that repeat a key are scored each.
     Without labels every text gets the score 0.5. Other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), whole(F.col(text)).cast("binary").alias("text")).mapInArrow(
-        _scored(model), f"key {kind}, score double, difference double")
+    return scored(measured(docs, model.good, model.bad, key, text), model)

@@ -121,11 +121,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with how likely its text is of good quality."""
-    from tagloom.llm.quality import fit, score
+    from tagloom.llm.quality import fit, scored
 
-    docs = table(spark, sf_dir, "documents")
-    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
-    return score(docs, model).select(
+    model, measured = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return scored(measured, model).select(
         F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -57,8 +57,9 @@ def test_quality(spark, odd, empty):
     texts = [(i, t if i not in bad else "".join(w.upper() + rnd.choice("#$%") * 3 + " | " for w in t.split()), lang) for i, t, lang in rows]
     docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, *_ in rows], "doc_id long, quality int, toxic int")
-    model = quality.fit(docs, labels, ~held_out(F.col("doc_id")))
-    got = quality.score(docs, model).filter(held_out(F.col("key"))).collect()
+    model, measured = quality.fit(docs, labels, ~held_out(F.col("doc_id")))
+    got = quality.scored(measured, model).filter(held_out(F.col("key"))).collect()
+    assert {(r.key, r.score) for r in quality.score(docs, model).filter(held_out(F.col("key"))).collect()} == {(r.key, r.score) for r in got}
     assert sum((r.score >= 0.7) == (r.key not in bad) for r in got) > 0.98 * len(got)
     scores = quality.score(odd, model).collect()
     assert len(scores) == 10 and all(0 <= r.score <= 1 for r in scores)
@@ -68,7 +69,7 @@ def test_quality(spark, odd, empty):
 
 def test_quality_without_labels(odd):
     none = odd.sparkSession.createDataFrame([], "doc_id long, quality int")
-    model = quality.fit(odd, none, ~held_out(F.col("doc_id")))
+    model, _ = quality.fit(odd, none, ~held_out(F.col("doc_id")))
     assert {r.score for r in quality.score(odd, model).collect()} == {0.5}
 
 
