@@ -27,10 +27,10 @@ SETTINGS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Apply the runtime settings to a session somebody else built, and send it this package."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
-    return spark
+    return ship(spark)
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:

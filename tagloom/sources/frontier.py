@@ -24,10 +24,10 @@ def kafka_options(servers: str, topics=FRONTIER_TOPICS, per_trigger: int = 5_000
     }
 
 
-def from_kafka(rows: DataFrame) -> DataFrame:
+def from_kafka(rows: DataFrame, topics=FRONTIER_TOPICS) -> DataFrame:
     """Kafka's own columns in the common shape. An offset is unique only in its partition, so the id holds all
     three: offset, then place of the topic in the subscription (16 at most), then partition (65,536 at most)."""
-    place = F.array_position(F.lit(list(FRONTIER_TOPICS)), F.col("topic"))
+    place = F.array_position(F.lit(list(topics)), F.col("topic"))
     return rows.select(
         (F.shiftleft("offset", 20) + F.shiftleft(place.cast("long"), 16) + F.col("partition")).alias("event_id"),
         F.col("timestamp").cast("timestamp_ntz").alias("ts"),
@@ -49,4 +49,4 @@ def stream_log(spark: SparkSession, path: str, fmt: str = "parquet", files_per_t
 
 def stream_kafka(spark: SparkSession, servers: str, topics=FRONTIER_TOPICS) -> DataFrame:
     """Needs the Kafka connector on the classpath."""
-    return from_kafka(spark.readStream.format("kafka").options(**kafka_options(servers, topics)).load())
+    return from_kafka(spark.readStream.format("kafka").options(**kafka_options(servers, topics)).load(), topics)
