@@ -13,8 +13,11 @@ from functools import cache
 
 import numpy as np
 
-PIECES = 800_000  # pieces a worker remembers, some 130 MB
+PIECES = 600_000  # pieces a worker remembers, some 120 MB
 MARK = "␞"  # stands between pieces that are encoded together
+CLOSING = ".,!?;:#$%&*|"  # marks after a Latin letter are a piece of their own for the pre-tokenizers
+LATIN_END = "\u0100"  # beyond it a letter may turn into a letter and a mark when lower-cased
+EMPTY = np.zeros(0, np.uint32)
 
 
 @cache
@@ -52,10 +55,11 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known = Pieces()
-        self.start = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int32)
         self.count = np.zeros(1 << 12, np.int32)
         self.open = np.zeros(1 << 12, bool)  # ends in white space: not to be cut before a further piece
         self.flat = np.zeros(1 << 14, np.uint32)
+        self.tails: dict[str, np.ndarray] = {}
         self.used = self.missed = 0
 
     def _plain(self, text: str) -> np.ndarray:
@@ -77,11 +81,27 @@ class Encoder:
         return [self._plain(" " + p) if MARK in p else next(found) for p in pieces]
 
     def _learn(self) -> None:
-        pieces = self.known.waiting
-        if not pieces:
+        """Encode what waits. A word with closing punctuation is the word and the punctuation, each known or encoded once."""
+        waiting = self.known.waiting
+        if not waiting:
             return
-        ids = self._encode(pieces)
-        first, end = len(self.known) - len(pieces), len(self.known)
+        first = len(self.known) - len(waiting)
+        whole, parted = [], []
+        for at, piece in enumerate(waiting):  # grows while it is walked over: a new word waits too
+            word = piece.rstrip(CLOSING)
+            if word != piece and word and word[-1] < LATIN_END and word[-1].isalpha():
+                parted.append((at, self.known[word], piece[len(word):]))
+            else:
+                whole.append(at)
+        ids: list[np.ndarray] = [EMPTY] * len(waiting)
+        for at, found in zip(whole, self._encode([waiting[at] for at in whole])):
+            ids[at] = found
+        for at, word, tail in parted:
+            if tail not in self.tails:
+                self.tails[tail] = self._plain(tail)
+            head = ids[word - first] if word >= first else self.flat[self.start[word]:self.start[word] + self.count[word]]
+            ids[at] = np.concatenate([head, self.tails[tail]])
+        end = len(self.known)
         while end > len(self.start):
             self.start, self.count, self.open = (
                 np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count, self.open))
@@ -92,7 +112,7 @@ class Encoder:
         self.flat[self.used:self.used + len(new)] = new
         self.start[first:end] = self.used + np.cumsum(counts) - counts
         self.count[first:end] = counts
-        self.open[first:end] = [not p or p[-1].isspace() for p in pieces]
+        self.open[first:end] = [not p or p[-1].isspace() for p in waiting]
         self.used += len(new)
 
     def _trim(self) -> None:
@@ -114,7 +134,7 @@ class Encoder:
         """Ids of each text; what the texts have of new pieces is encoded together."""
         look = self.known.__getitem__
         cut = [t.split(" ") for t in texts]
-        numbers = [np.array(list(map(look, pieces[1:])), np.int64) for pieces in cut]
+        numbers = [np.array(list(map(look, pieces[1:])), np.int32) for pieces in cut]
         self._learn()
         out = [self._gather(*each) for each in zip(texts, cut, numbers)]
         self._trim()
@@ -125,8 +145,8 @@ class Encoder:
         if len(pieces) == 1 or head and head[-1].isspace() or self.open[at[:-1]].any():
             return self._plain(text)
         counts = self.count[at]
-        ends = np.cumsum(counts, dtype=np.int64)
-        tail = self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - counts), counts)]
+        ends = np.cumsum(counts, dtype=np.int32)
+        tail = self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[at] - (ends - counts), counts)]
         return np.concatenate([self._plain(head), tail]) if head else tail
 
 

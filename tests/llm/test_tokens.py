@@ -11,11 +11,11 @@ from tagloom.llm.tokens import Encoder, public_path
 from tagloom.session import fresh_dir
 
 HARD = ["a", "B", "é", " ", "  ", "\n", " \n", "\n ", "'s", "1", "23", "!", "…", "　", "\t", "İ", "Σ", "<|endoftext|>", "é",
-        "漢", "😀", "\r\n", "\x85", " '", " 's", "’s", "␞", " ␞", "word", " word."]
+        "漢", "😀", "\r\n", "\x85", " '", " 's", "’s", "␞", " ␞", "word", " word.", "Word,!", "é!!", "漢.", "ǆ|", "'s.", "a̓.", "3."]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@pytest.mark.parametrize("pieces", [40, 800_000])
+@pytest.mark.parametrize("pieces", [40, 600_000])
 def test_encoder_gives_the_tokenizers_ids(name, pieces):
     rnd = random.Random(pieces)
     texts = ["".join(rnd.choice(HARD) for _ in range(rnd.randint(0, 12))) for _ in range(6000)] + ["", " ", "x " * 3000]
@@ -59,7 +59,7 @@ def test_token_files(spark, odd, empty):
         ids = ids_of("word_bpe_49k.json", texts[r.key])
         assert (r.start, r.n_tokens, r.ids_crc32, r.ids) == (at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
         at += len(ids)
-    assert token_files.blocks(spark, path).count() > 1
+    assert spark.read.parquet(path).count() > 1
     assert token_files.written(empty, public_path("word_bpe_49k.json")).count() == 0
 
 
