@@ -12,10 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+import tagloom
 from tagloom.functions import calendar as cal
 from tagloom.operators.keys import split_join
 from tagloom.operators.routing import counted, counts, tag_messages
@@ -135,9 +137,14 @@ def report_times(reports: DataFrame, delay: str = DELAY) -> DataFrame:
 
 def transitions(events: DataFrame, instant: bool, reason: str | None = None) -> DataFrame:
     """State changes of every unit, in the order of its rows' moments. The rows carry a watermark on ``ts``."""
-    return events.groupBy("unit").transformWithStateInPandas(
-        statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime"
-    )
+    # Spark starts the processor on the driver first, in a process that does not see the files sent to the workers,
+    # so this code goes along by value
+    cloudpickle.register_pickle_by_value(tagloom)
+    try:
+        return events.groupBy("unit").transformWithStateInPandas(
+            statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime")
+    finally:
+        cloudpickle.unregister_pickle_by_value(tagloom)
 
 
 def need_units(needs: DataFrame, required: DataFrame) -> DataFrame:
