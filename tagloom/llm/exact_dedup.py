@@ -97,9 +97,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     kept = groups.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"))
     columns = docs.columns
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(key).alias("key"),
-                        F.unhex(digest(F.col(text))).alias("own"), F.length(whole(F.col(text))).alias("n_points"))
+                        F.unhex(digest(F.col(text))).alias("own"))
     met = named.join(kept.withColumnRenamed("key", "kept_key"),
                      F.col("key").eqNullSafe(F.col("kept_key")) & (F.col("own") == F.col("digest")))
-    repeated = met.filter("n > 1").groupBy("key", "own").agg(F.max_by("row", "n_points").alias("row"))
+    # the longer text is looked up in the row, so that both ways read one and the same exchange
+    repeated = met.filter("n > 1").groupBy("key", "own").agg(
+        F.max_by("row", F.length(whole(F.col("row").getField(text)))).alias("row"))
     return met.filter("n = 1").select("row").unionByName(repeated.select("row")).select(
         *[F.col("row").getField(c).alias(c) for c in columns])
