@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
+from tagloom.llm.near_copies import copy_groups
 from tagloom.llm.texts import whole
 from tagloom.session import stable
 
@@ -245,8 +246,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key names their component, all columns kept; of repeated rows one stays."""
-    kept = near_groups(docs, key, text).filter(F.col("key").eqNullSafe(F.col("component")))
+    """The rows of ``docs`` whose key names their component of near copies, all columns kept; of repeated rows one stays.
+
+    Near copies share 4/5 of their shingles of five words or more; fingerprints of two bits lose most of them.
+    """
+    kept = copy_groups(docs, key, text).filter(F.col("key").eqNullSafe(F.col("component")))
     keys = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "kept_key")
     columns = docs.columns
     met = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(key).alias("own")).join(
