@@ -4,8 +4,10 @@ Documents are tokenised and cut into pieces of ``CAPACITY`` tokens at most. What
 histogram of 1024 lengths, whatever the corpus. Over it the configuration program (one variable per way to
 fill a sequence) is solved by multiplicative weights: each round prices all configurations at once by a
 knapsack dynamic program under the present weights, buys the best one, and lowers the weights of the lengths
-that it covers. The bought fractions are rounded down, and what is left is filled by largest fit, again
-over the histogram. The plan is a list of (configuration, times); a piece finds its place from its length and
+that it covers. Every round's weights bound the program from below, and what is bought, scaled to cover all, from
+above; rounds end when both meet, or after ``ROUNDS``. The bought fractions are rounded down, and what is left is filled by largest fit,
+again over the histogram. Two plans come first, as they are quick and mostly meet the bound: largest fit alone, and
+configurations bought by size. The best of the three is kept. The plan is a list of (configuration, times); a piece finds its place from its length and
 its rank among the pieces of that length, which comes from counts per chunk and no sort of the corpus.
 """
 
@@ -29,7 +31,9 @@ END = 2  # closes every document
 ROUNDS = 600  # of multiplicative weights at most, hence configurations before rounding
 STEP = 0.5  # share of a length's demand that one round may cover
 GROWTH = 1.1  # a long piece is worth more than its share: it is harder to place later
-BEND = 0.02  # how strongly cover lowers a weight
+BEND = 0.02  # how strongly cover lowers a weight when configurations are bought by size
+EPSILON = 0.1  # of the multiplicative weights: a length that is covered once is worth so much less
+GAP = 0.002  # between the program's bounds that ends the rounds, and between a plan and its bound that is good enough
 
 PIECES = "key {key}, piece int, start long, length int, ids_crc32 long, chunk int, rank long"
 
@@ -72,7 +76,12 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
 
 def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack: how many of each length fill ``capacity`` with the most weight.
+    """Knapsack: how many of each length fill ``capacity`` with the most weight."""
+    return _knapsack(weights, lengths, limits, capacity)[0]
+
+
+def _knapsack(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """The filling, and the most weight that one without limits has.
 
     ``best[c]`` is the most weight in capacity c, each length usable at will; copies above a limit are dropped
     on the way back, and the room goes to the next choice.
@@ -95,7 +104,41 @@ def price(weights: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity
             continue
         taken[choice[c]] += 1
         c -= lengths[choice[c]]
-    return taken
+    return taken, float(best[capacity])
+
+
+def covering(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(configuration, times) that cover all pieces, and a lower bound of the program's value.
+
+    A round buys the best configuration as often as covers one of its lengths once, and multiplies the weight of
+    each length by exp(-EPSILON * what it covers of it). Weights divided by the most that a configuration holds
+    of them are a dual solution. What was bought while the weights were still far off is left out again: after
+    a cover is whole the count starts anew, each time over twice the rounds at least, and the best cover stays. None
+    is found when the lengths are too many for the rounds.
+    """
+    lengths = np.flatnonzero(counts)
+    need = counts[lengths].astype(float)
+    log = np.log(lengths / capacity) * GROWTH
+    bound = float((need * lengths).sum()) / capacity
+    best, found, covered, least, anew = [], {}, np.zeros(len(lengths)), np.inf, 4
+    for turn in range(1, rounds + 1):
+        weights = np.exp(log - log.max())
+        taken, most = _knapsack(weights, lengths, counts[lengths], capacity)
+        bound = max(bound, float(need @ weights) / most)
+        used = taken > 0
+        times = float((need[used] / taken[used]).min())
+        covered += taken * times / need
+        log -= EPSILON * taken * times / need
+        found.setdefault(taken.tobytes(), [taken, 0.0])[1] += times
+        if covered.min() > 0:
+            value = sum(x for _, x in found.values()) / covered.min()
+            if value < least:
+                least, best = value, [(t, x / covered.min()) for t, x in found.values()]
+            if least <= bound * (1 + gap):
+                break
+            if turn >= anew:
+                found, covered, anew = {}, np.zeros(len(lengths)), 2 * turn
+    return best, bound
 
 
 def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
@@ -139,20 +182,33 @@ def fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> Iterator[tuple
         yield taken, times
 
 
+def rounded(bought: list[tuple[np.ndarray, float]], left: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Whole times of the bought configurations, as the counts allow, and largest fit for the rest."""
+    left, out = left.copy(), []
+    for taken, times in sorted(bought, key=lambda x: -x[1]):
+        used = taken > 0
+        whole_times = min(int(times + 1e-9), int((left[used] // taken[used]).min()))
+        if whole_times:
+            left -= taken * whole_times
+            out.append((taken, whole_times))
+    return out + list(fill(left, lengths, capacity))
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(lengths, copies, times): configurations that hold every piece of the histogram exactly once."""
     lengths = np.flatnonzero(counts)
     if not len(lengths):
         return []
     left = counts[lengths].astype(np.int64)
-    out = []
-    for taken, times in sorted(fractional(counts, capacity, rounds), key=lambda x: -x[1]):
-        used = taken > 0
-        whole_times = min(int(times), int((left[used] // taken[used]).min()))
-        if whole_times:
-            left -= taken * whole_times
-            out.append((taken, whole_times))
-    out += fill(left, lengths, capacity)
+    bound = int((left * lengths).sum()) / capacity
+
+    def sequences_of(out: list[tuple[np.ndarray, int]]) -> int:
+        return sum(times for _, times in out)
+
+    out = min(rounded([], left, lengths, capacity), rounded(fractional(counts, capacity, rounds), left, lengths, capacity),
+              key=sequences_of)
+    if sequences_of(out) > max(np.ceil(bound), bound * (1 + GAP)):
+        out = min(out, rounded(covering(counts, capacity, rounds)[0], left, lengths, capacity), key=sequences_of)
     return [(lengths[t > 0], t[t > 0], n) for t, n in out]
 
 

@@ -103,6 +103,29 @@ def test_plan_is_close_to_the_bound():
     assert sum(times for *_, times in out) <= least * 1.002 + 1
 
 
+def test_plan_of_spiked_lengths():
+    """A copied text holds much of the rows: a plan by size alone buys 4 x 256 first and takes 1250."""
+    counts = np.zeros(1025, np.int64)
+    counts[[256, 600]] = 1000
+    out = packing.plan(counts)
+    check_plan(counts, out, 1024)
+    assert sum(times for *_, times in out) == 1000
+    bought, bound = packing.covering(counts, 1024)
+    assert 1000 * (1 - packing.GAP) <= bound <= 1000 * (1 + 1e-9)
+    assert sum(times for _, times in bought) <= bound * (1 + packing.GAP) * (1 + 1e-9)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_plan_is_never_worse_than_largest_fit(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.bincount(rng.integers(1, 1025, 400), minlength=1025)
+    counts[rng.integers(150, 700, 3)] += rng.integers(300, 3000, 3)
+    lengths = np.flatnonzero(counts)
+    out = packing.plan(counts)
+    check_plan(counts, out, 1024)
+    assert sum(times for *_, times in out) <= sum(times for _, times in packing.fill(counts[lengths], lengths, 1024))
+
+
 def test_knapsack_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(20):
