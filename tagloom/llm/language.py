@@ -6,8 +6,9 @@ has several centroids from spherical k-means, so a language may have several sty
 cosine names the language; a text that is further from it than any text of its length was in training is
 rejected.
 
-The model is fitted on a bounded sample: ``SAMPLE`` texts per language, chosen by a hash of the key, whole
-texts each; their vectors are made by the tasks. All else covers every row.
+Every labelled language is learned. The model is fitted on a bounded sample: ``SAMPLE`` texts per language, fewer
+texts and centroids each when there are more than ``FULL`` languages, chosen by a hash of the key, whole texts each;
+their vectors are made by the tasks. All else covers every row.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 SAMPLE = 800  # texts per language
-LANGUAGES = 64  # the commonest languages; bounds the model
 CLUSTERS = 4  # centroids per language
+FULL = 64  # languages that get SAMPLE and CLUSTERS; more share the texts and centroids of so many
+FEWEST = 20  # texts per language, however many share
 PASSES = 10
 MARGIN = 0.12  # of cosine, below the lowest seen in training
 BIN_ROWS = 20  # texts of a length that make its lowest cosine a bound
@@ -107,6 +109,37 @@ def k_means(v: np.ndarray, k: int, passes: int = PASSES, seed: int = 7) -> np.nd
     return c
 
 
+def apart(v: np.ndarray) -> np.ndarray:
+    """The cosine of each row to the mean of the others: few rows are near the centroids that they make."""
+    rest = v.sum(axis=0) - v
+    norm = np.linalg.norm(rest, axis=1)
+    return (v * rest).sum(axis=1) / np.where(norm > 0, norm, 1)
+
+
+def bounds(best: np.ndarray, bins: np.ndarray, n_bins: int = 40) -> np.ndarray:
+    """Per length bin the lowest cosine that is not rejected, from the cosines of a language's sampled texts.
+
+    A bin of ``BIN_ROWS`` texts has its own. Longer texts have the one of the next shorter such bin, as cosines
+    grow with length; shorter texts have the one of the shortest such bin, less by the root of two for each halving
+    of the length, and never more than a text of the bin has. Without such a bin all texts make one.
+    """
+    floors = np.zeros(n_bins)
+    filled = [b for b in range(n_bins) if (bins == b).sum() >= BIN_ROWS]
+    own = {b: max(0.0, float(best[bins == b].min()) - MARGIN) for b in filled}
+    if not filled:
+        filled = [int(bins.min())]
+        own = {filled[0]: max(0.0, float(best.min()) - MARGIN)}
+    for b in range(n_bins):
+        if b < filled[0]:
+            seen = bins == b
+            floors[b] = own[filled[0]] * 0.5 ** ((filled[0] - b) / 2)
+            if seen.any():
+                floors[b] = min(floors[b], max(0.0, float(best[seen].min()) - MARGIN))
+        else:
+            floors[b] = own.get(b, floors[b - 1])
+    return floors
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [counts(t) for t in batch.column(2).to_pylist()]
@@ -125,12 +158,16 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     share per language that gives ``sample`` rows, of which no more than that are used.
     """
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
+    sizes = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Model([], np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS, np.float32), np.zeros((0, 40)))
     place = F.pmod(F.xxhash64(F.lit("language sample"), F.col(key)), F.lit(1 << 30))
-    share = F.coalesce(*[F.when(F.col(lang) == r[lang], F.lit(int(min(1.0, 1.3 * sample / r["n"]) * (1 << 30)))) for r in sizes])
-    chosen = rows.filter(place < share).select(F.col(lang).alias("lang"), place.alias("h"), F.col(text).alias("text"))
+    sample = min(sample, max(FEWEST, sample * FULL // len(sizes)))
+    clusters = max(1, min(CLUSTERS, CLUSTERS * FULL // len(sizes)))
+    shares = docs.sparkSession.createDataFrame(
+        [(r["lang"], int(min(1.0, 1.3 * sample / r["n"]) * (1 << 30))) for r in sizes], "lang string, share long")
+    chosen = rows.select(F.col(lang).alias("lang"), place.alias("h"), F.col(text).alias("text")).join(
+        F.broadcast(shares), "lang").filter("h < share").select("lang", "h", "text")
     got = chosen.mapInArrow(_sparse, "lang string, h long, grams binary, n binary").collect()
     by: dict[str, list] = {}
     for row in sorted(got, key=lambda r: (r["lang"], r["h"], r["grams"])):
@@ -147,17 +184,9 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
         for i, r in enumerate(rows_):
             raw[i, np.frombuffer(r["grams"], "<u2")] = np.frombuffer(r["n"], "<f4")
         v = model.vectors(raw)
-        centres = k_means(v, CLUSTERS)
-        cosine = v @ centres.T
+        centres = k_means(v, clusters)
         bins = np.array([length_bin(n) for n in raw.sum(axis=1)])
-        best = cosine.max(axis=1)
-        floors = np.zeros((len(centres), 40))
-        for b in range(40):
-            seen = bins == b
-            if seen.sum() >= BIN_ROWS:  # of the language, whichever centroid
-                floors[:, b] = max(0.0, best[seen].min() - MARGIN)
-            elif b:  # cosines grow with length, so what bounds shorter texts bounds these
-                floors[:, b] = floors[:, b - 1]
+        floors = np.repeat(bounds((v @ centres.T).max(axis=1) if len(v) >= BIN_ROWS else apart(v), bins)[None], len(centres), axis=0)
         model.languages += [name] * len(centres)
         model.centroids = np.concatenate([model.centroids, centres])
         model.floors = np.concatenate([model.floors, floors])

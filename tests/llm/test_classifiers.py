@@ -38,6 +38,25 @@ def test_language_without_labels(odd, empty):
     assert {r.doc_id for r in language.accepted(odd, model).collect()} == {None, 1, 2, 6, 7}
 
 
+def test_more_than_64_languages_are_learned(spark):
+    rnd = random.Random(2)
+    stems = {f"l{i:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for i in range(70)}
+    rows = [(i, " ".join(rnd.choice(stems[lang]) for _ in range(40)), lang) for i, lang in enumerate(sorted(stems) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, ~held_out(F.col("doc_id")))
+    assert set(model.languages) == set(stems) and len(model.centroids) <= language.CLUSTERS * language.FULL
+    got = {r.key: r for r in language.identify(docs, model).collect()}
+    assert sum(got[key].lang_pred == lang for key, _, lang in rows) > 0.98 * len(rows)
+    assert sum(r.rejected for r in got.values()) < 0.02 * len(rows)
+
+
+def test_few_texts_and_short_texts_have_floors():
+    few = language.bounds(np.full(5, 0.6), np.full(5, 8))
+    assert np.allclose(few[8:], 0.48) and np.allclose(few[6], 0.24) and (few > 0).all()
+    rows = language.bounds(np.array([0.2] + [0.7] * 20), np.array([5] + [8] * 20))
+    assert np.isclose(rows[8], 0.58) and np.isclose(rows[5], 0.08) and rows[7] > 0
+
+
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame(corpus(300), "doc_id long, text string, lang string")
     model = language.fit(docs, F.lit(True), sample=20)
