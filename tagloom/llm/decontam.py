@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import NOT_WORD, LOWER, UPPER, whole, word_list
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 WINDOW = 10
@@ -92,6 +93,7 @@ def _posted(vocabulary: dict[bytes, int] | None, segment_words: int, key: pa.Dat
             pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
         ], ["segment", "keys", "starts", "n_words", "terms", "offsets", "positions"])
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, total = 0, 0
         keys, counts, places, terms = [], [], [], []
@@ -176,6 +178,7 @@ def _segments(batches: Iterator[pa.RecordBatch]):
 
 
 def _searched(asked: Windows, orders: list[list[int]], key: pa.DataType, item: pa.DataType):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, keys, starts, n_words, post in _segments(batches):
             span = int(starts[-1] + n_words[-1]) + 1
@@ -207,6 +210,7 @@ def _searched(asked: Windows, orders: list[list[int]], key: pa.DataType, item: p
 
 
 def _near(asked: Windows, orders: list[list[int]], slack: int, key: pa.DataType, item: pa.DataType):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, starts, _, post in _segments(batches):
             out: list[tuple] = []
@@ -304,7 +308,15 @@ def n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, all columns kept."""
-    hit = contamination(docs, benchmark, key, text).filter(F.size("spans") > 0).select(F.col("key").alias("hit_key"))
-    return docs.join(hit.distinct(), docs[key].eqNullSafe(hit["hit_key"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, all columns kept.
+
+    Rows are told apart by their texts, so of rows that share a key, or have none, each is judged on its own.
+    """
+    def digest(column: Column) -> Column:
+        return F.md5(whole(column).cast("binary"))
+
+    texts = docs.select(digest(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    hit = contamination(texts, benchmark, "digest", "text").filter(F.size("spans") > 0)
+    found = hit.select(F.col("key").alias("hit_digest")).distinct()
+    return docs.join(found, digest(docs[text]) == found["hit_digest"], "left_anti")

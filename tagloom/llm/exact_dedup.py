@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import SPACE, whole
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 COUNTERS = 1024  # k; the broadcast holds that many digests at most, some 100 KB
@@ -35,6 +36,7 @@ def shrink(counts: dict[bytes, int], k: int) -> dict[bytes, int]:
 
 
 def _summarise(k: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
         for batch in batches:

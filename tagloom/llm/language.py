@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.workers import task
+
 DIMENSIONS = 4096
 SAMPLE = 800  # texts per language
 CLUSTERS = 4  # centroids per language
@@ -140,6 +142,7 @@ def bounds(best: np.ndarray, bins: np.ndarray, n_bins: int = 40) -> np.ndarray:
     return floors
 
 
+@task
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [counts(t) for t in batch.column(2).to_pylist()]
@@ -194,6 +197,7 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
 
 
 def _predicted(model: Model):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.predict(batch.column(batch.schema.names.index("_text")).to_pylist())

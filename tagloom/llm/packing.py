@@ -6,8 +6,7 @@ fill a sequence) is solved by multiplicative weights: each round prices all conf
 knapsack dynamic program under the present weights, buys the best one, and lowers the weights of the lengths
 that it covers. Every round's weights bound the program from below, and what is bought, scaled to cover all, from
 above; rounds end when both meet, or after ``ROUNDS``. The bought fractions are rounded down, and what is left is filled by largest fit,
-again over the histogram. Two plans come first, as they are quick and mostly meet the bound: largest fit alone, and
-configurations bought by size. The best of the three is kept. The plan is a list of (configuration, times); a piece finds its place from its length and
+again over the histogram. Where the rounds find no cover in time, or a worse one, the plan is largest fit's. The plan is a list of (configuration, times); a piece finds its place from its length and
 its rank among the pieces of that length, which comes from counts per chunk and no sort of the corpus.
 """
 
@@ -24,16 +23,15 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.texts import whole
 from tagloom.llm.tokens import encoder
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 CAPACITY = 1024
 END = 2  # closes every document
 ROUNDS = 600  # of multiplicative weights at most, hence configurations before rounding
-STEP = 0.5  # share of a length's demand that one round may cover
 GROWTH = 1.1  # a long piece is worth more than its share: it is harder to place later
-BEND = 0.02  # how strongly cover lowers a weight when configurations are bought by size
 EPSILON = 0.1  # of the multiplicative weights: a length that is covered once is worth so much less
-GAP = 0.002  # between the program's bounds that ends the rounds, and between a plan and its bound that is good enough
+GAP = 0.002  # between the program's bounds that ends the rounds
 
 PIECES = "key {key}, piece int, start long, length int, ids_crc32 long, chunk int, rank long"
 
@@ -46,20 +44,32 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, capacity: int, end: int | None):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         tail = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
-            keys, out = batch.column(0).to_pylist(), []
-            for key, ids in zip(keys, encoder(path).batch(batch.column(1).to_pylist())):
+            row, places, crc = [], [], []
+            for i, ids in enumerate(encoder(path).batch(batch.column(1))):
                 raw = np.concatenate([ids, tail]).astype("<u4")
-                for piece, (start, length) in enumerate(cuts(len(raw), capacity)):
-                    out.append((key, piece, start, length, zlib.crc32(raw[start:start + length]), chunk, int(seen[length])))
-                    seen[length] += 1
-            names = ["key", "piece", "start", "length", "ids_crc32", "chunk", "rank"]
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
+                cut = cuts(len(raw), capacity)
+                row += [i] * len(cut)
+                places += cut
+                crc += [zlib.crc32(raw[start:start + length]) for start, length in cut]
+            row, (start, length) = np.array(row, np.int64), np.array(places, np.int64).reshape(-1, 2).T
+            # the rank among the pieces of one length: those of the task before, and the earlier ones of the batch
+            order = np.argsort(length, kind="stable")
+            first = np.searchsorted(length[order], length)
+            rank = np.empty(len(length), np.int64)
+            rank[order] = np.arange(len(length))
+            rank += seen[length] - first
+            seen += np.bincount(length, minlength=capacity + 1)
+            piece = np.arange(len(row)) - np.searchsorted(row, row)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()),
+                 pa.array(crc, pa.int64()), pa.array(np.full(len(row), chunk, np.int32)), pa.array(rank)],
+                ["key", "piece", "start", "length", "ids_crc32", "chunk", "rank"])
 
     return run
 
@@ -141,31 +151,6 @@ def covering(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float
     return best, bound
 
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
-    """(configuration, times) of the linear program. ``counts[l]`` pieces have length l.
-
-    A length weighs what a piece of it should cost, a little more than its share of a sequence, times
-    exp(-BEND * covered share / step): cover lowers the weight. Each round prices the best configuration under these weights and buys as much of
-    it as covers ``step`` of the demand of one of its lengths. Lengths that are covered drop out.
-    """
-    lengths = np.flatnonzero(counts)
-    need = counts[lengths].astype(float)
-    covered = np.zeros(len(lengths))
-    size = (lengths / capacity) ** GROWTH
-    found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        open_ = covered < need * (1 - 1e-9)
-        if not open_.any():
-            break
-        weights = np.where(open_, size * np.exp(-covered / need / step * BEND), 0.0)
-        taken = price(weights, lengths, np.where(open_, np.ceil(need - covered), 0).astype(np.int64), capacity)
-        used = taken > 0
-        times = min(float((step * need[used] / taken[used]).min()), float(((need - covered)[used] / taken[used]).min()))
-        covered += taken * times
-        found.setdefault(taken.tobytes(), [taken, 0.0])[1] += times
-    return [(taken, times) for taken, times in found.values()]
-
-
 def fill(left: np.ndarray, lengths: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, int]]:
     """Pack what is left: the largest length first, then always the largest that fits; one configuration as often
     as the counts allow. Each turn uses up a length, so the turns are bounded by the number of lengths."""
@@ -200,15 +185,13 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
     if not len(lengths):
         return []
     left = counts[lengths].astype(np.int64)
-    bound = int((left * lengths).sum()) / capacity
 
     def sequences_of(out: list[tuple[np.ndarray, int]]) -> int:
         return sum(times for _, times in out)
 
-    out = min(rounded([], left, lengths, capacity), rounded(fractional(counts, capacity, rounds), left, lengths, capacity),
+    # the program's plan unless largest fit alone needs fewer sequences
+    out = min(rounded(covering(counts, capacity, rounds)[0], left, lengths, capacity), rounded([], left, lengths, capacity),
               key=sequences_of)
-    if sequences_of(out) > max(np.ceil(bound), bound * (1 + GAP)):
-        out = min(out, rounded(covering(counts, capacity, rounds)[0], left, lengths, capacity), key=sequences_of)
     return [(lengths[t > 0], t[t > 0], n) for t, n in out]
 
 
@@ -229,6 +212,7 @@ def slots(configurations: list[tuple[np.ndarray, np.ndarray, int]]) -> dict[int,
 
 
 def _placed(where: dict[int, np.ndarray]):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import whole
+from tagloom.llm.workers import task
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 20_000
@@ -204,17 +207,24 @@ class Field:
 
     def spans(self, text: str, base: list[Span]) -> list[Span]:
         """The rules' spans and those that the field finds beside them."""
-        taken = sorted((a, b) for a, b, _ in base)
+        starts, ends = ordered(base)
         added = []
         for start, end in windows(text):
             for a, b, kind in self.best(text[start:end]):
                 a, b = a + start, b + start
                 # windows end between tokens of a longer run only when that run has no trigger
-                if not any(a < y and x < b for x, y in taken if y > start and x < end):
+                before = bisect_left(starts, b)
+                if not before or ends[before - 1] <= a:
                     added.append((a, b, kind))
         return in_order(base + added)
 
 
+def ordered(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """The starts of spans in order, and for each the largest end so far."""
+    by_start = sorted((a, b) for a, b, _ in spans)
+    return [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+
+
 def loosened(text: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
     """Copies of a window with one span in a looser form."""
     for n, (start, end, kind) in enumerate(spans):
@@ -271,14 +281,17 @@ def train(examples: list[tuple[str, list[Span]]], turns: int = TURNS) -> Field:
     return Field(tuple(map(tuple, w.tolist())))
 
 
+@task
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            base = base_spans(text)
+            base = sorted(base_spans(text))
+            starts, ends = ordered(base)
             for start, end in windows(text):
-                inside = [(a - start, b - start, k) for a, b, k in base if start <= a and b <= end]
-                whole_ = not any(a < end and start < b and not (start <= a and b <= end) for a, b, _ in base)
+                first, last = bisect_left(starts, start), bisect_left(starts, end)
+                inside = [(a - start, b - start, k) for a, b, k in base[first:last] if b <= end]
+                whole_ = len(inside) == last - first and (not first or ends[first - 1] <= start)
                 if whole_ and end - start <= 20 * AROUND:  # a longer stretch of numbers teaches nothing new
                     out.append((place, start, text[start:end], listed(inside)))
         yield pa.RecordBatch.from_arrays(
@@ -292,11 +305,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
     place = F.pmod(F.xxhash64(F.lit("pii sample"), F.col(key)), F.lit(1 << 30))
     share = F.lit(int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30)))
     sampled = docs.filter((place < share) & F.col(text).isNotNull()).select(place.alias("place"), F.col(text).alias("text"))
-    # least hash first, half of the windows with a span and half without; the sample size is the parameter
+    # least hash first, half of the windows with a span, the same number for each kind, and half without; the sample
+    # size is the parameter
     found = sampled.mapInArrow(_examples, "place long, start int, window string, spans string")
+    found = found.withColumn("kinds", F.array_distinct(F.regexp_extract_all("spans", F.lit("([a-z]+):"), F.lit(1))))
+    order = [F.xxhash64("place", "start"), "window"]
+    chosen = {}
+    for kind in KINDS:
+        part = found.filter(F.array_contains("kinds", kind)).orderBy(*order).limit(WINDOWS // 2 // len(KINDS))
+        chosen.update({(r["place"], r["start"], r["window"]): r for r in part.collect()})  # a window may show several kinds
+    plain = found.filter("spans = ''").orderBy(*order).limit(WINDOWS // 2).collect()
     examples = []
-    for part in (found.filter("spans <> ''"), found.filter("spans = ''")):
-        for r in part.orderBy("place", "start", "window").limit(WINDOWS // 2).collect():
+    for part in (chosen.values(), plain):
+        for r in part:
             spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)]
             examples.append((r["window"], spans))
             examples += loosened(r["window"], spans)
@@ -304,6 +325,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
 
 
 def _found(field: Field):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans = [], []

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import whole
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 BLOCK = 1024  # bytes
@@ -102,6 +103,7 @@ def logistic(x: np.ndarray, good: np.ndarray, rows: np.ndarray, turns: int = 40)
 
 
 def _measured(good: bytes, bad: bytes):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([measure(t, good, bad) for t in batch.column(2).to_pylist()]).reshape(-1, 3)
@@ -121,10 +123,11 @@ def measured(docs: DataFrame, good: bytes, bad: bytes, key: str = "doc_id", text
         _measured(good, bad), f"key {kind}, learn boolean, difference double, ratio double, length double")
 
 
-def _marked(labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
-    """(key, good, place, seen): labelled rows; those seen, some ``sample`` of each class by a hash, go into the
+def _marked(labels: DataFrame, keys: DataFrame, key: str, label: str, sample: int) -> DataFrame:
+    """(key, good, place, seen): labelled rows of ``keys``, the rows to learn from; those seen, some ``sample`` of each class by a hash, go into the
     dictionaries, all others calibrate."""
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("good"))
+    known = stable(known.join(keys, "key", "left_semi"), "known")
     sizes = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit("quality sample"), F.col("key")), F.lit(1 << 30))
     share = F.lit(0)
@@ -156,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     ``labels`` has the key and a label 0 or 1. Every text is compressed once: the measures, a few numbers per row, are
     what meets the labels and what is scored, so no text is shuffled.
     """
-    marked = _marked(labels, key, label, sample)
+    marked = _marked(labels, docs.filter(learn).select(F.col(key).alias("key")), key, label, sample)
     good, bad = _dictionaries(docs, marked, learn, key, text, sample)
     rows = stable(measured(docs, good, bad, key, text, learn), "measured")
     rest = rows.filter("learn").join(marked.filter("NOT seen").select(F.col("key"), "good"), "key")

@@ -248,9 +248,9 @@ s AS MATERIALIZED (SELECT x.id, floor(t.w / len(c)::DOUBLE)::BIGINT AS score FRO
 h AS (SELECT score, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r FROM x JOIN s USING (id)
       WHERE said IS NOT NULL AND held GROUP BY score),
 e AS (SELECT score, coalesce(sum(a) OVER w, 0) * sum(r) OVER () + (sum(r) OVER () - coalesce(sum(r) OVER w, 0)) * sum(a) OVER () AS errors,
-             coalesce(floor((lag(score) OVER (ORDER BY score) + score + 1) / 2.0)::BIGINT, score) AS at
+             coalesce(floor((lag(score) OVER (ORDER BY score) + score + 1) / 2.0)::BIGINT, score) AS edge
       FROM h WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-least AS (SELECT arg_min(at, (errors, score)) AS threshold FROM e)
+least AS (SELECT arg_min(edge, (errors, score)) AS threshold FROM e)
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score < threshold THEN 'block' ELSE 'allow' END) AS verdict, score
 FROM x LEFT JOIN s USING (id), least
 """

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm.texts import NOT_WORD, whole
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 BUCKETS = 10_000
@@ -127,6 +128,7 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
 
 
 def _counted(buckets: int, length: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
@@ -155,6 +157,7 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def _weighed(gain: np.ndarray, length: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, n in slices(batch.column(1)):
@@ -167,6 +170,7 @@ def _weighed(gain: np.ndarray, length: int):
     return run
 
 
+@task
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = 0
     for batch in batches:

@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.components import components
-from tagloom.llm.near_copies import copy_groups
+from tagloom.llm.near_copies import copy_classes
 from tagloom.llm.texts import whole
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 RADIUS = 2
@@ -51,6 +52,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+@task
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
@@ -165,6 +167,7 @@ def _spread_large(labels: np.ndarray, values: np.ndarray, start: int, size: int)
     return labels
 
 
+@task
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; whole buckets are compared, the last one waits for its rest."""
     held: list[np.ndarray] = []
@@ -246,16 +249,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key names their component of near copies, all columns kept; of repeated rows one stays.
+    """Of each component of near copies the row with the smallest key (null last, then by digest of the text), all columns kept.
 
-    Near copies share 4/5 of their shingles of five words or more; fingerprints of two bits lose most of them.
+    Rows are told apart by key and text: different texts of one key, or without one, are judged each, and of rows
+    that repeat both one stays. Near copies share 4/5 of their shingles of five words or more; fingerprints of two bits lose
+    most of them.
     """
-    kept = copy_groups(docs, key, text).filter(F.col("key").eqNullSafe(F.col("component")))
-    keys = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "kept_key")
+    first = F.min(F.struct(F.col("key").isNull(), "key", "digest")).alias("first")
+    kept = copy_classes(docs, key, text).groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).select(
+        F.col("first.key").alias("kept_key"), F.col("first.digest").alias("kept_digest"), "n")
     columns = docs.columns
-    met = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(key).alias("own")).join(
-        keys, F.col("own").eqNullSafe(F.col("kept_key")))
-    repeated = met.filter("n > 1").groupBy("own").agg(
+    met = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(key).alias("own"),
+                      F.md5(whole(F.col(text)).cast("binary")).alias("digest")).join(
+        kept, F.col("own").eqNullSafe(F.col("kept_key")) & (F.col("digest") == F.col("kept_digest")))
+    repeated = met.filter("n > 1").groupBy("own", "digest").agg(
         F.max_by("row", F.length(whole(F.col("row").getField(text)))).alias("row"))
     return met.filter("n = 1").select("row").unionByName(repeated.select("row")).select(
         *[F.col("row").getField(c).alias(c) for c in columns])

@@ -32,14 +32,18 @@ class Block:
 def _steps(bits: np.ndarray) -> np.ndarray:
     """Selector that a word starting at each id takes: the first whose ids all fit. No id has over 15 bits."""
     chosen = np.full(len(bits), 12, np.uint8)  # four of 15 bits always fit
-    at = np.arange(len(bits))
+    widest = [bits]  # most bits of the 2^k ids from each on
+    while 2 << len(widest) - 1 <= min(COUNT.max(), len(bits)):
+        half = widest[-1]
+        widest.append(np.maximum(half[:-(1 << len(widest) - 1)], half[1 << len(widest) - 1:]))
     for selector in range(11, -1, -1):
-        at = at[bits[at] <= WIDTH[selector]]
-        if not len(at):
+        n = int(COUNT[selector])
+        if n > len(bits):
             break
-        last = np.flatnonzero(np.append(np.diff(at) != 1, True))
-        run = np.repeat(at[last], np.diff(last, prepend=-1)) - at + 1
-        chosen[at[run >= COUNT[selector]]] = selector
+        power = n.bit_length() - 1
+        first, n_starts = widest[power], len(bits) - n + 1
+        fits = np.maximum(first[:n_starts], first[n - (1 << power):n - (1 << power) + n_starts]) <= WIDTH[selector]
+        chosen[:n_starts][fits] = selector
     return chosen
 
 
@@ -48,10 +52,11 @@ def encode(ids: np.ndarray) -> Block:
     escaped = ids >= ESCAPE
     small = np.concatenate([np.where(escaped, np.uint32(ESCAPE), ids), np.zeros(COUNT.max(), np.uint32)])
     chosen = _steps(BITS[small])
-    step = COUNT[chosen].tolist()
+    step = COUNT[chosen].astype(np.uint8).tobytes()
     starts, i, n = [], 0, len(ids)
+    add = starts.append
     while i < n:
-        starts.append(i)
+        add(i)
         i += step[i]
     first = np.array(starts, np.int64)
     selectors = chosen[first]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.simple8b import Block, decode, encode
 from tagloom.llm.texts import whole
 from tagloom.llm.tokens import encoder
+from tagloom.llm.workers import task
 from tagloom.session import fresh_dir
 
 END = 2
@@ -38,10 +39,11 @@ def ranges(docs: DataFrame, key: str) -> list:
 
 
 def _encoded(path: str, end: int | None, ends: list):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([] if end is None else [end], np.uint32)
         for batch in batches:
-            ids = [np.concatenate([i, tail]) for i in encoder(path).batch(batch.column(1).to_pylist())]
+            ids = [np.concatenate([i, tail]) for i in encoder(path).batch(batch.column(1))]
             raw = [i.astype("<u2" if not len(i) or i.max() < 1 << 16 else "<u4").tobytes() for i in ids]
             shards = [0 if k is None else bisect_left(ends, k) for k in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -65,6 +67,7 @@ def _blocked(size: int):
             pa.array([[len(i) for i in ids]], pa.list_(pa.int64())), *[pa.array([p.tobytes()], pa.binary()) for p in parts],
         ], ["shard", "block", "before", "n_ids", "keys", "counts", "words", "wide", "offsets", "wide_before"])
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, before, held = -1, 0, 0, 0
         keys, ids = [], []
@@ -110,6 +113,7 @@ def as_block(row: dict) -> Block:
 
 
 def _documents(with_ids: bool):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("keys").type.value_type

@@ -1,23 +1,29 @@
 """Token ids of whole texts by a public tokenizer, with a memo of word pieces.
 
 Byte-pair encoding never merges across the borders that the pre-tokenizer draws, and a space between two
-other characters that are not white space always begins a new piece. So a text is cut at its spaces, each
-distinct piece goes through the tokenizer once per worker, and the ids are gathered by piece. A text in which
-white space comes before a space is encoded as a whole.
+other characters that are not white space always begins a new piece. So a batch is cut at its spaces and dictionary
+encoded, each distinct piece that the worker does not know goes through the tokenizer, and the ids are gathered by
+piece. A text in which white space comes before a space is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECES = 600_000  # pieces a worker remembers, some 120 MB
-MARK = "␞"  # stands between pieces that are encoded together
+from tagloom.llm.workers import held_by_worker
+
+PIECES = 400_000  # pieces a worker remembers during a stage, some 80 MB
+MARKS = "\u00a7\u00b6\u00b0\u00a9\u00ae\u00b1\u241e"  # one stands between pieces that are encoded together: one id if there is such a mark
 CLOSING = ".,!?;:#$%&*|"  # marks after a Latin letter are a piece of their own for the pre-tokenizers
-LATIN_END = "\u0100"  # beyond it a letter may turn into a letter and a mark when lower-cased
-EMPTY = np.zeros(0, np.uint32)
+LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"  # beyond, a letter may turn into a letter and a mark when lower-cased
+LETTERS = [c for c in map(chr, range(256)) if c.isalpha()]
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"  # white space of any tokenizer
 
 
 @cache
@@ -27,17 +33,9 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Pieces(dict):
-    """Numbers of pieces after a space; a new piece gets the next number and waits to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.waiting: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.waiting.append(piece)
-        return number
+def strings(texts: pa.Array) -> list[str]:
+    """The texts of an array without nulls; much quicker than element by element."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -49,15 +47,45 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark = self._plain(" " + MARK)
+        self.mark = min(MARKS, key=lambda m: len(self._plain(" " + m)))
+        self.mark_ids = self._plain(" " + self.mark)
         self.limit = pieces
+        self._read_model()
         self._forget()
 
+    def _read_model(self) -> None:
+        """What the tokenizer's model is given for a word of Latin letters: one text, each letter replaced by itself.
+        Where that does not hold, ``letters`` stays empty."""
+        self.model, self.letters = self.tokenizer.model, {}
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the memo asks for no word twice
+        rule, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        if cut is None:
+            return
+
+        def given(text: str) -> str:
+            return "".join(part for part, _ in cut.pre_tokenize_str(rule.normalize_str(text) if rule else text))
+
+        self.lead = given(" a")[:-1]
+        table = {ord(c): given(" " + c)[len(self.lead):] for c in LETTERS}
+        every = "".join(LETTERS)
+        if given(" " + every) == self.lead + every.translate(table):
+            self.letters = table
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of Latin letters with a space before them, and how many each has, from the tokenizer's model."""
+        tokenize, lead, table = self.model.tokenize, self.lead, self.letters
+        ids, counts = array("I"), []
+        for word in words:
+            found = tokenize(lead + word.translate(table))
+            ids.extend([t.id for t in found])
+            counts.append(len(found))
+        return np.frombuffer(ids, np.uint32), np.array(counts, np.int64)
+
     def _forget(self) -> None:
-        self.known = Pieces()
+        self.known: dict[str, int] = {}  # numbers of pieces after a space
         self.start = np.zeros(1 << 12, np.int32)
         self.count = np.zeros(1 << 12, np.int32)
-        self.open = np.zeros(1 << 12, bool)  # ends in white space: not to be cut before a further piece
         self.flat = np.zeros(1 << 14, np.uint32)
         self.tails: dict[str, np.ndarray] = {}
         self.used = self.missed = 0
@@ -65,92 +93,125 @@ class Encoder:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of every piece with a space before it: in one text, cut again at the marks."""
-        clean = [p for p in pieces if MARK not in p]
-        ids = self._plain("".join([f" {p} {MARK}" for p in clean]))
-        n = len(self.mark)
-        hit = np.ones(max(0, len(ids) - n + 1), bool)
-        for i, m in enumerate(self.mark):
-            hit &= ids[i:len(ids) - n + 1 + i] == m
-        at = np.flatnonzero(hit)
-        if len(at) != len(clean):  # a tokenizer that does not keep the mark apart
-            return [self._plain(" " + p) for p in pieces]
-        starts = np.concatenate([[0], at[:-1] + n]) if len(at) else at
-        found = iter([ids[a:b] for a, b in zip(starts.tolist(), at.tolist())])
-        return [self._plain(" " + p) if MARK in p else next(found) for p in pieces]
-
-    def _learn(self) -> None:
-        """Encode what waits. A word with closing punctuation is the word and the punctuation, each known or encoded once."""
-        waiting = self.known.waiting
-        if not waiting:
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces with a space before them, and how many each has: in one text, cut again at the marks."""
+        joined = f" {self.mark} ".join(pieces)
+        if pieces and joined.count(self.mark) == len(pieces) - 1:
+            ids = self._plain(f" {joined} {self.mark}")
+            n = len(self.mark_ids)
+            hit = np.ones(max(0, len(ids) - n + 1), bool)
+            for i, m in enumerate(self.mark_ids):
+                hit &= ids[i:len(ids) - n + 1 + i] == m
+            at = np.flatnonzero(hit)
+            if len(at) == len(pieces):
+                kept = np.ones(len(ids), bool)
+                kept[(at[:, None] + np.arange(n)).reshape(-1)] = False
+                return ids[kept], np.diff(at, prepend=-n) - n
+        # a piece that holds the mark, or a tokenizer that does not keep it apart
+        each = [self._plain(" " + p) for p in pieces]
+        return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(e) for e in each], np.int64)
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encode new pieces. A word with closing punctuation is the word and the punctuation, each known or encoded once."""
+        words = pc.utf8_rtrim(pieces, characters=CLOSING)
+        parted = pc.and_(pc.not_equal(words, pieces), pc.match_substring_regex(words, f"{LATIN}$"))
+        ends = strings(pieces.filter(parted))
+        heads = strings(words.filter(parted))
+        fresh = dict.fromkeys(strings(pieces.filter(pc.invert(parted))))
+        fresh.update(dict.fromkeys(w for w in heads if w not in self.known))
+        whole = pa.array(list(fresh), pa.string())
+        words = pc.match_substring_regex(whole, f"^{LATIN}+$") if self.letters else pc.equal(whole, "")
+        rest = whole.filter(pc.invert(words))
+        marked = pc.match_substring(rest, self.mark)
+        for way, group in ((self._words, whole.filter(words)), (self._encode, rest.filter(pc.invert(marked))),
+                           (self._encode, rest.filter(marked))):
+            if len(group):
+                group = strings(group)
+                self._add(group, *way(group))
+        if not ends:
             return
-        first = len(self.known) - len(waiting)
-        whole, parted = [], []
-        for at, piece in enumerate(waiting):  # grows while it is walked over: a new word waits too
-            word = piece.rstrip(CLOSING)
-            if word != piece and word and word[-1] < LATIN_END and word[-1].isalpha():
-                parted.append((at, self.known[word], piece[len(word):]))
-            else:
-                whole.append(at)
-        ids: list[np.ndarray] = [EMPTY] * len(waiting)
-        for at, found in zip(whole, self._encode([waiting[at] for at in whole])):
-            ids[at] = found
-        for at, word, tail in parted:
-            if tail not in self.tails:
-                self.tails[tail] = self._plain(tail)
-            head = ids[word - first] if word >= first else self.flat[self.start[word]:self.start[word] + self.count[word]]
-            ids[at] = np.concatenate([head, self.tails[tail]])
-        end = len(self.known)
-        while end > len(self.start):
-            self.start, self.count, self.open = (
-                np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count, self.open))
-        counts = np.array([len(i) for i in ids], np.int64)
-        new = np.concatenate(ids)
-        while self.used + len(new) > len(self.flat):
+        at = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(heads))
+        tails = [e[len(w):] for e, w in zip(ends, heads)]
+        for tail in set(tails) - self.tails.keys():
+            self.tails[tail] = self._plain(tail)
+        lasts = [self.tails[t] for t in tails]
+        n_head, n_tail = self.count[at].astype(np.int64), np.array([len(t) for t in lasts])
+        ids = np.zeros(int((n_head + n_tail).sum()), np.uint32)
+        in_tail = np.repeat(np.tile([False, True], len(at)), np.stack([n_head, n_tail], axis=1).reshape(-1))
+        ids[in_tail] = np.concatenate(lasts)
+        ids[~in_tail] = self._ids(at)
+        self._add(ends, ids, n_head + n_tail)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
+        while len(self.known) > len(self.start):
+            self.start, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.count))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used:self.used + len(new)] = new
-        self.start[first:end] = self.used + np.cumsum(counts) - counts
-        self.count[first:end] = counts
-        self.open[first:end] = [not p or p[-1].isspace() for p in waiting]
-        self.used += len(new)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.start[first:len(self.known)] = self.used + np.cumsum(counts) - counts
+        self.count[first:len(self.known)] = counts
+        self.used += len(ids)
 
-    def _trim(self) -> None:
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after another."""
+        counts = self.count[at]
+        ends = np.cumsum(counts, dtype=np.int32)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.start[at] - (ends - counts), counts)]
+
+    def _trim(self, before: int) -> None:
         """A full memo keeps its oldest pieces, the frequent ones, until what it lacks is several times as much."""
-        fresh = self.known.waiting
-        self.known.waiting = []
         if len(self.known) <= self.limit:
             return
-        self.missed += len(fresh)
+        self.missed += len(self.known) - before
         if self.missed > 4 * self.limit:
             self._forget()
             return
-        for piece in fresh[max(0, self.limit - len(self.known) + len(fresh)):]:
-            del self.known[piece]
+        while len(self.known) > max(before, self.limit):
+            self.known.popitem()  # the youngest
         last = len(self.known) - 1
         self.used = int(self.start[last] + self.count[last]) if last >= 0 else 0
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; what the texts have of new pieces is encoded together."""
-        look = self.known.__getitem__
-        cut = [t.split(" ") for t in texts]
-        numbers = [np.array(list(map(look, pieces[1:])), np.int32) for pieces in cut]
-        self._learn()
-        out = [self._gather(*each) for each in zip(texts, cut, numbers)]
-        self._trim()
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text (none is null); what the texts have of new pieces is encoded together."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        before = len(self.known)
+        cut = pc.split_pattern(texts, " ")
+        coded = pc.list_flatten(cut).dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        # the first piece of a text has no space before it, and a piece that ends in white space is not to be cut from the next one
+        first = np.zeros(len(place), bool)
+        first[ends[:-1]] = True
+        first[:1] = True
+        blank = pc.or_(pc.equal(coded.dictionary, ""), pc.match_substring_regex(coded.dictionary, f"{BLANK}$"))
+        blank = blank.to_numpy(zero_copy_only=False)
+        used = np.zeros(len(coded.dictionary), bool)
+        used[place[~first]] = True
+        names = strings(coded.dictionary)
+        numbers = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))
+        new = np.flatnonzero((numbers < 0) & used & ~blank)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)))
+            numbers[new] = [self.known[names[i]] for i in new.tolist()]
+        out, start, plain = [], 0, [texts[i].as_py() if e - s < 2 else None for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends))]
+        for i, end in enumerate(ends.tolist()):
+            at = place[start:end]
+            if plain[i] is not None or blank[at].any() and (not blank[at[0]] or names[at[0]] or blank[at[1:]].any()):
+                out.append(self._plain(texts[i].as_py()))
+            else:
+                tail = self._ids(numbers[at[1:]])
+                out.append(np.concatenate([self._plain(names[at[0]]), tail]) if names[at[0]] else tail)
+            start = end
+        self._trim(before)
         return out
 
-    def _gather(self, text: str, pieces: list[str], at: np.ndarray) -> np.ndarray:
-        head = pieces[0]
-        if len(pieces) == 1 or head and head[-1].isspace() or self.open[at[:-1]].any():
-            return self._plain(text)
-        counts = self.count[at]
-        ends = np.cumsum(counts, dtype=np.int32)
-        tail = self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[at] - (ends - counts), counts)]
-        return np.concatenate([self._plain(head), tail]) if head else tail
-
 
 @cache
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker; its memo lives as long as the worker does."""
-    return Encoder(path)
+    """The encoder of this worker; its memo is given back when a task of another stage begins."""
+    found = Encoder(path)
+    held_by_worker(found._forget)
+    return found

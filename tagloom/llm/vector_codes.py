@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.llm.workers import task
 from tagloom.session import stable
 
 SCALE = 4096
@@ -67,6 +68,7 @@ def _block(keys: list, labels: list, rows: list[np.ndarray], key: pa.DataType, l
 
 
 def _blocked(width: int, size: int):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, labels, rows, held, kinds = [], [], [], 0, None
         for batch in batches:
@@ -112,6 +114,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _summed(entries: np.ndarray):
     parts, n_entries, width = entries.shape
 
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, times = np.zeros(entries.shape, np.int64), np.zeros((parts, n_entries), np.int64)
         for values, codes in _block_rows(batches):
@@ -135,13 +138,14 @@ def _summed(entries: np.ndarray):
 
 def started(whole: DataFrame, parts: int = PARTS, entries: int = ENTRIES) -> Codebooks | None:
     """The parts of the vectors with the smallest keys, null keys last; ties go by the components."""
-    first = whole.orderBy(F.col("key").asc_nulls_last(), "whole").limit(entries).collect()
+    order = F.col("key").asc_nulls_last(), "whole"
+    first = whole.orderBy(*order).first()
     if not first:
         return None
-    width = len(first[0]["whole"])
+    width = len(first["whole"])
     if width % parts:
         raise ValueError(f"{width} components cannot be cut into {parts} equal parts")
-    rows = [r["whole"] for r in first if len(r["whole"]) == width]
+    rows = [r["whole"] for r in whole.filter(F.size("whole") == width).orderBy(*order).limit(entries).collect()]
     return Codebooks(np.array(rows, np.int64).reshape(len(rows), parts, -1).transpose(1, 0, 2).copy())
 
 
@@ -164,6 +168,7 @@ def fit(cut: DataFrame, start: Codebooks, rounds: int = ROUNDS) -> Codebooks:
 
 
 def _coded(entries: np.ndarray):
+    @task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

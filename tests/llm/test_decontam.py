@@ -65,3 +65,12 @@ def test_clean_keeps_columns(spark, odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 6, 7, 8]
     assert decontam.clean(empty, bench).count() == 0
     assert decontam.clean(odd, bench.filter("1 = 0")).count() == odd.count()
+
+
+def test_clean_rows_of_one_key_and_of_none_stay(spark):
+    item = "a b c d e f g h i j k l"
+    rows = [(1, item), (1, "clean text"), (None, item), (None, "other clean"), (2, None)]
+    docs = spark.createDataFrame([(*r, "d") for r in rows], "doc_id long, text string, hit_digest string")
+    kept = decontam.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == [(1, "clean text"), (2, None), (None, "other clean")]

@@ -87,3 +87,33 @@ def test_pipeline_drops_near_copies(spark):
     want = [key for key, own in plain_groups(docs).items() if key == own]
     got = sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, now, "/root/testdata/sf0.001").collect())
     assert got == want and len(want) < len(docs)
+
+
+def test_rows_of_one_key_and_of_none_are_told_apart(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    schema = "doc_id long, text string, digest string, root string"
+
+    def kept(*rows):
+        return sorted((tuple(r)[:2] for r in simhash.near_dedup(spark.createDataFrame([(*r, "d", "r") for r in rows], schema)).collect()), key=repr)
+
+    assert kept((1, a), (1, b)) == [(1, a), (1, b)]
+    assert kept((0, b), (1, a), (1, b)) == [(0, b), (1, a)]
+    assert kept((None, a), (None, b), (None, b)) == [(None, a), (None, b)]
+    assert kept((1, a), (1, a), (2, a.upper())) == [(1, a)]
+    assert kept((3, None), (3, ""), (2, " ")) == [(2, " ")]
+
+
+def test_texts_of_one_template_make_no_pairs(spark, monkeypatch):
+    """81 of 96 shingles in common: not similar, and never all met pair by pair."""
+    made = []
+    pairs = near_copies._pairs
+    monkeypatch.setattr(near_copies, "_pairs", lambda open_: made.append(pairs(open_)) or made[-1])
+    frame = [" ".join(f"t{i}" for i in range(85))]
+    counts = []
+    for n in (100, 200):
+        made.clear()
+        texts = [(i, frame[0] + " " + " ".join(f"x{i}-{j}" for j in range(15))) for i in range(n)]
+        groups = near_copies.copy_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert all(r["key"] == r["component"] for r in groups)
+        counts.append(sum(m.count() for m in made))
+    assert counts[1] <= 2 * counts[0] + 200

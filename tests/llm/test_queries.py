@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagloom.llm import language, queries, simhash
+from test_near_copies import plain_groups
+
+from tagloom.llm import language, queries
 from tagloom.llm.texts import held_out
 from tagloom.llm.tokens import Encoder, public_path
 
@@ -27,6 +29,9 @@ COLUMNS = {
     "op9": ["doc_id bigint", "n_words bigint", "n_base bigint", "first_word bigint", "last_word bigint", "base_labels string",
             "labels string", "score double"],
     "op10": ["doc_id bigint", "n_words bigint", "n_hit bigint", "n_items bigint", "items_sha256 string", "contaminated boolean"],
+    "op11": ["doc_id bigint", "n_features bigint", "weight bigint", "score bigint", "rank bigint"],
+    "op12": ["page_id bigint", "host string", "path string", "rule string", "verdict string"],
+    "op13": ["vec_id bigint", "code string", "error bigint", "label_error bigint", "codebooks_sha256 string"],
 }
 
 
@@ -80,17 +85,9 @@ def distinct(docs):
 
 
 def representatives(docs):
-    prints = [simhash.fingerprint((t or "").encode()) for _, t in docs]
-    label = list(range(len(docs)))
-    moved = True
-    while moved:
-        moved = False
-        for i in range(len(docs)):
-            for j in range(i):
-                if (prints[i] ^ prints[j]).bit_count() <= 2 and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-                    moved = True
-    return [d for i, d in enumerate(docs) if label[i] == i]
+    """Of each group of near copies, five words and a similarity of 0.8, the one with the smallest id."""
+    label = plain_groups(docs)
+    return [d for d in docs if label[d[0]] == d[0]]
 
 
 def test_pipeline_stage_by_stage(spark, duck):
