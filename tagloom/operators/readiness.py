@@ -78,7 +78,22 @@ def ready_needs(arrivals: DataFrame, needs: DataFrame, schedule: cal.Schedule =
 
 def ready_tags(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = cal.DEFAULT,
                guard: bool = True) -> DataFrame:
-    """Readiness of the sets handed to their tags: (tag_id, update_frequency, cycle, ready_ts, target_month).
+    """Readiness of the sets handed to their tags: (tag_id, update_frequency, cycle, ready_ts, target_month)."""
+    timed = timed_needs(ready, schedule, guard)
+    tags = required.select("tag_id", "update_frequency", "need_id")
+    return split_join(tags, timed, ["need_id", "update_frequency"], ["tag_id"], ["cycle"], right_rows=CYCLES).select(
+        "tag_id", "update_frequency", "cycle", "ready_ts", "target_month"
+    )
+
+
+def ready_counts(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = cal.DEFAULT, guard: bool = True) -> DataFrame:
+    """(update_frequency, ready_ts, n): how many tags become ready with a set, without a row per tag."""
+    sizes = required.groupBy("need_id", "update_frequency").agg(F.count(F.lit(1)).alias("n"))
+    return timed_needs(ready, schedule, guard).join(sizes, ["need_id", "update_frequency"]).select("update_frequency", "ready_ts", "n")
+
+
+def timed_needs(ready: DataFrame, schedule: cal.Schedule = cal.DEFAULT, guard: bool = True) -> DataFrame:
+    """When tags of either frequency become ready with a set: (need_id, target_month, update_frequency, cycle, ready_ts).
 
     With ``guard`` a monthly tag is ready once per target month. The guard is applied per set (a set is
     ready once a day at most, so a group here has some 31 rows), before the fan-out to tags.
@@ -95,11 +110,7 @@ def ready_tags(ready: DataFrame, required: DataFrame, schedule: cal.Schedule = c
 
     first = F.array(F.array_min("all")) if guard else F.col("all")
     rows = F.explode(F.concat(as_rows(DAILY, F.col("all")), as_rows(MONTHLY, first))).alias("r")
-    timed = per_month.select("need_id", "target_month", rows).select("need_id", "target_month", "r.*")
-    tags = required.select("tag_id", "update_frequency", "need_id")
-    return split_join(tags, timed, ["need_id", "update_frequency"], ["tag_id"], ["cycle"], right_rows=CYCLES).select(
-        "tag_id", "update_frequency", "cycle", "ready_ts", "target_month"
-    )
+    return per_month.select("need_id", "target_month", rows).select("need_id", "target_month", "r.*")
 
 
 def flags_at(moment: Column, dependencies: DataFrame, messages: DataFrame,

@@ -117,15 +117,17 @@ def give_ups(reports: DataFrame, slice_width: int = 100_000) -> DataFrame:
 
 
 def schedule_batches(requests: DataFrame, key: str, gap_seconds: int = DEBOUNCE_SECONDS,
-                     slice_seconds: int = 600) -> DataFrame:
-    """Requests submitted together: a batch closes when no request came for the gap.
+                     slice_seconds: int = 600, times: str | None = None) -> DataFrame:
+    """Requests submitted together: a batch closes when no request came for the gap. A row stands for one request, or for
+    as many as its column ``times`` says.
 
     There are few keys, so a key's requests are counted per moment and cut into slices of time. Sessions inside a slice that
     touch neither its first nor its last request are final; only the two outer ones of each slice are
     looked at again across slices.
     """
     gap, width = gap_seconds * 1_000_000, slice_seconds * 1_000_000
-    moments = requests.groupBy(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    moments = requests.groupBy(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(
+        (F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     rows = moments.withColumn("slice", F.floor(F.col("us") / width))
     inside = Window.partitionBy(key, "slice").orderBy("us")
     opens = (F.col("us") - F.lag("us").over(inside) >= gap).cast("int")
@@ -203,16 +205,18 @@ def start_messages(reports: DataFrame, required: DataFrame) -> DataFrame:
 def received_lists(held: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
     """(need_id, run_day, received): per requirement set and day it became ready the messages that its run held.
 
-    In order of arrival, repeated ones included, as one list: that is the form of the message. ``held`` comes from
-    ``received_until_ready``. Lists are made per set, not per tag.
+    Equal messages are one entry, in order of first arrival, so a list is bounded by the set's keys and the finish times
+    they came with. ``held`` comes from ``received_until_ready``. Lists are made per set, not per tag.
     """
     entry = F.struct(
         F.col("topic").alias("kafkaTopic"), F.col("freq").alias("update_frequency"), F.col("dbt").alias("value"),
         F.col("part").alias("partition_fields"), F.col("pvalue").alias("partition_values"), "finish_time",
     )
-    listed = F.sort_array(F.collect_list(F.struct("ts", "event_id", entry.alias("entry"))))
-    return held.withColumn("run_day", cal.cycle_day(F.col("ready_ts"), schedule)).groupBy("need_id", "run_day").agg(
-        F.transform(listed, lambda m: m["entry"]).alias("received"))
+    first = F.min(F.struct("ts", "event_id")).alias("first")
+    once = held.select("need_id", cal.cycle_day(F.col("ready_ts"), schedule).alias("run_day"), entry.alias("entry"), "ts", "event_id").groupBy(
+        "need_id", "run_day", "entry").agg(first)
+    listed = F.sort_array(F.collect_list(F.struct("first", "entry")))
+    return once.groupBy("need_id", "run_day").agg(F.transform(listed, lambda m: m["entry"]).alias("received"))
 
 
 def finish_messages(reports: DataFrame, registered: DataFrame, required: DataFrame, received: DataFrame,

@@ -2,8 +2,8 @@
 
 Messages of one tag come over several partitions and out of order, and what a tag does depends on the order. So
 rows wait in the state until the watermark has passed them and are then worked off in order of time, whichever
-micro-batch brought them; rows later than the watermark are dropped by Spark. The result does not depend on how
-the log is cut into micro-batches. A source that falls silent holds its last rows back for the delay; a message
+micro-batch brought them. A row that comes behind the watermark comes out with the reason ``late`` and moves nothing, so the
+rows in time give the same result however the log is cut into micro-batches. A source that falls silent holds its last rows back for the delay; a message
 of any table, such as a heartbeat, moves the watermark on.
 """
 
@@ -32,18 +32,25 @@ STATE = """state string, daily array<int>, monthly array<int>, day string, month
 EVENT_STATE = """us long, event_id long, cycle string, status string, update_frequency string, freq string, key_no int,
     counts boolean, n_daily int, n_monthly int, day string, month string, target_month string, run_day string"""
 DELAY = "1 hour"  # how late a message may come
+LATE = "late"
 BATCH_ROWS = 100_000  # messages of one key that a micro-batch may bring; shapes slices only
 MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["unit", "ts", "event_id", "seq", "cycle", "from_state", "to_state", "reason"])
+    frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+    return frame
+
+
 class TagMachine(StatefulProcessor):
     """Keeps a ``Tag`` per unit and the rows that wait for it; emits its transitions, all of them or those of one reason.
 
     Rows go into the state chunk by chunk. What waits is bounded by the delay and one micro-batch.
     """
 
-    def __init__(self, instant: bool, reason: str | None = None):
-        self.instant, self.reason = instant, reason
+    def __init__(self, instant: bool, reasons: tuple[str, ...] | None = None):
+        self.instant, self.reasons = instant, reasons
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,15 +58,20 @@ class TagMachine(StatefulProcessor):
         self.waiting = handle.getListState("waiting", EVENT_STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        latest, late = None, []
+        watermark = timerValues.getCurrentWatermarkInMs()
         for chunk in rows:
-            us = chunk["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            columns = [chunk[name].to_numpy().tolist() for name in ("event_id", "cycle", *Event._fields)]
-            self.waiting.appendList(list(zip(us, *columns)))
-            latest = max(us + ([] if latest is None else [latest]))
+            every = list(zip(*[chunk[name].to_numpy().tolist() for name in ("us", "event_id", "cycle", *Event._fields)]))
+            late += [(key[0], *row[:2], 0, row[2], None, None, LATE) for row in every if row[0] <= watermark * 1000]
+            fresh = [row for row in every if row[0] > watermark * 1000]
+            if fresh:
+                self.waiting.appendList(fresh)
+                latest = max([row[0] for row in fresh] + ([] if latest is None else [latest]))
         if latest is not None:
             self.handle.registerTimer(latest // 1000 + 1)
-        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
+        if late and (self.reasons is None or LATE in self.reasons):
+            yield _frame(late)
+        yield from self._due(key, watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._due(key, timerValues.getCurrentWatermarkInMs())
@@ -81,14 +93,12 @@ class TagMachine(StatefulProcessor):
         out = []
         for us, event_id, cycle, *fields in sorted(due, key=lambda row: row[:2]):
             for seq, step in enumerate(advance(tag, Event(*fields), self.instant)):
-                if self.reason in (None, step.reason):
+                if self.reasons is None or step.reason in self.reasons:
                     out.append((key[0], us, event_id, seq, cycle, *step))
         self.kept.update((tag.state, sorted(tag.daily), sorted(tag.monthly), tag.day, tag.month, tag.run_month,
                           tag.failures, tag.run_day))
         if out:
-            frame = pd.DataFrame(out, columns=["unit", "ts", "event_id", "seq", "cycle", "from_state", "to_state", "reason"])
-            frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
-            yield frame
+            yield _frame(out)
 
     def close(self) -> None:
         pass
@@ -135,14 +145,18 @@ def report_times(reports: DataFrame, delay: str = DELAY) -> DataFrame:
     return reports.withColumn("ts", F.timestamp_seconds("finish_time")).withWatermark("ts", delay)
 
 
-def transitions(events: DataFrame, instant: bool, reason: str | None = None) -> DataFrame:
-    """State changes of every unit, in the order of its rows' moments. The rows carry a watermark on ``ts``."""
+def transitions(events: DataFrame, instant: bool, reasons: tuple[str, ...] | None = None) -> DataFrame:
+    """State changes of every unit, in the order of its rows' moments, and its late rows. The rows carry a watermark on ``ts``.
+
+    The moment goes in as a plain number, as Spark would drop rows of a marked column behind the watermark unseen.
+    """
+    rows = events.withColumn("us", F.unix_micros("ts")).select("us", *[n for n in MESSAGE_FIELDS if n != "ts"])
     # Spark starts the processor on the driver first, in a process that does not see the files sent to the workers,
     # so this code goes along by value
     cloudpickle.register_pickle_by_value(tagloom)
     try:
-        return events.groupBy("unit").transformWithStateInPandas(
-            statefulProcessor=TagMachine(instant, reason), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime")
+        return rows.groupBy("unit").transformWithStateInPandas(
+            statefulProcessor=TagMachine(instant, reasons), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime")
     finally:
         cloudpickle.unregister_pickle_by_value(tagloom)
 
@@ -160,14 +174,30 @@ def tag_units(required: DataFrame, needs: DataFrame) -> DataFrame:
 
 def readiness_stream(log: DataFrame, frequencies: DataFrame, needs: DataFrame, required: DataFrame,
                      schedule: cal.Schedule = cal.DEFAULT, delay: str = DELAY) -> DataFrame:
-    """Ready tags from a message stream: (tag_id, update_frequency, cycle, ready_ts, event_id).
+    """Ready tags from a message stream: (tag_id, update_frequency, cycle, ready_ts, event_id)."""
+    return ready_rows(readiness_actions(log, frequencies, needs, required, schedule, delay), required)
+
+
+def readiness_actions(log: DataFrame, frequencies: DataFrame, needs: DataFrame, required: DataFrame,
+                      schedule: cal.Schedule = cal.DEFAULT, delay: str = DELAY) -> DataFrame:
+    """What becomes ready and what comes too late, per requirement set and frequency.
 
     The mapping, the requirement sets and the tags are tables. Messages that do not count can only wake a tag,
     which nobody sees here, so they are dropped before the fan-out.
     """
     hits = counted(tag_messages(timed(log, delay), frequencies, schedule), schedule)
     events = message_events(hits, need_units(needs, required), schedule)
-    ready = transitions(events, instant=True, reason="ready")
+    return transitions(events, instant=True, reasons=("ready", LATE))
+
+
+def late_messages(actions: DataFrame) -> DataFrame:
+    """(event_id, ts) of the messages that some unit got too late; of a written table of actions."""
+    return actions.filter(F.col("reason") == LATE).select("event_id", "ts").distinct()
+
+
+def ready_rows(actions: DataFrame, required: DataFrame) -> DataFrame:
+    """Readiness handed on to the tags."""
+    ready = actions.filter(F.col("reason") == "ready")
     tags = required.select("tag_id", "update_frequency", F.concat_ws(":", "update_frequency", "need_id").alias("unit"))
     return ready.join(tags, "unit").select(
         "tag_id", "update_frequency", "cycle", F.col("ts").alias("ready_ts"), "event_id"

@@ -290,13 +290,14 @@ _cte("starts", """
 select tag_id, seq, cast(to_json({'hippo_name': 'batchetl.tagging', 'job_name': tag_id, 'job_id': tag_id || '_' || start_time,
   'need_msgs': need, 'start_time': start_time}) as varchar) message
 from reports join needed using (tag_id) where status='Start'""")
-_cte("held_list", """
-select r.tag_id, r.as_of run_day, list({'kafkaTopic': c.topic, 'update_frequency': c.freq, 'value': c.dbt, 'partition_fields': c.part,
-  'partition_values': c.pvalue, 'finish_time': c.finish_time} order by c.ts, c.event_id) received
+_cte("held_once", """
+select r.tag_id, r.as_of run_day, {'kafkaTopic': c.topic, 'update_frequency': c.freq, 'value': c.dbt, 'partition_fields': c.part,
+  'partition_values': c.pvalue, 'finish_time': c.finish_time} entry, min({'ts': c.ts, 'id': c.event_id}) first_place
 from ready_m r join deps t on t.tag_id = r.tag_id
 join counted c on t.freq=c.freq and t.dbt=c.dbt and t.part is not distinct from c.part and c.ts <= r.ready_ts
   and case when c.freq='D' then c.d = r.as_of else c.lm = r.target_month end
-group by r.tag_id, r.as_of""")
+group by all""")
+_cte("held_list", "select tag_id, run_day, list(entry order by first_place) received from held_once group by all")
 _cte("finishes", f"""
 select r.tag_id, seq, cast(to_json({{'hippo_name': 'batchetl.tagging', 'job_name': r.tag_id, 'job_id': r.tag_id || '_' || start_time,
   'update_frequency': upper(d.update_frequency), 'execute_time': {iso('cast(to_timestamp(finish_time) at time zone ' + "'UTC'" + ' as date)')},
@@ -701,3 +702,11 @@ from (select *, {w_end('update_frequency', 's', 'traced')} e from (
   select g.*, d.sql raw, started, traced, {w_start('g.update_frequency', 'g.as_of', 'started')} s,
     case when not contains(d.sql, '$') then 'plain' when started is null or traced is null then 'error' else 'dated' end status
   from guarded g join dict d using (tag_id)))""")
+
+ORACLE["live_transitions"] = ORACLE["transition_log"]
+ORACLE["live_runs"] = f"select tag_id, event_id, reason, us from ({ORACLE['transition_log']}) where reason in ('ready', 'retry')"
+_oracle("live_late", """select event_id, 'message' source, us, watermark_us from (
+  select event_id, epoch_us(ts) us, cast(max(greatest_us) over (order by file range between unbounded preceding and 1 preceding) as bigint) top,
+    top // 1000 * 1000 - 3600000000 watermark_us
+  from (select event_id, ts, epoch_us(ts) greatest_us, epoch_us(ts) // 259200000000 + case when event_id % 50 = 0 then event_id % 2 + 1 else 0 end file
+        from log where topic = 'frontier-adw')) join (select event_id from msgs) using (event_id) where us <= watermark_us""")

@@ -22,11 +22,12 @@ from tagloom.operators import readiness as rd
 from tagloom.operators import rounds, runs
 from tagloom.operators import routing as rt
 from tagloom.operators.keys import split_join
-from tagloom.plans import status_flow, tag_change
+from tagloom.plans import live_status, status_flow, tag_change
 from tagloom.plans import status_stream as status_stream_plan
 from tagloom.schemas import FINISH, FRONTIER, KEY
 from tagloom.session import fresh_dir, stable, tune
 from tagloom.sources import frontier, sinks, tables
+from tagloom.streaming import live
 from tagloom.streaming import readiness as sr
 from workload import fixtures as fx
 
@@ -649,6 +650,55 @@ def status_stream(x):
         "tag_id", "update_frequency", "cycle", "event_id", "status", "sql", "start_date", "end_date")
 
 
+SLICES = 8
+
+
+def _live(x, log: DataFrame, with_reports: bool = True) -> str:
+    """The live tags over a log and the run reports; gives the folder of what was written."""
+    inputs = live.message_input(log, stable(x.frequencies))
+    if with_reports:
+        path = fresh_dir(x.spark, "reports")
+        x.recent_reports.write.parquet(path)
+        inputs = inputs.unionByName(live.report_input(x.spark.readStream.schema(x.recent_reports.schema).parquet(path)))
+    target = fresh_dir(x.spark, "live")
+    query = live_status.start(inputs, stable(live.registry_state(x.required)), stable(status_flow.registered(x.dictionary)),
+                              target, fresh_dir(x.spark, "live-state"), available_now=True, slices=SLICES)
+    query.awaitTermination()
+    return target
+
+
+@query
+def live_transitions(x):
+    """The tags of a stream that gets messages and run reports: every change of state."""
+    acts = live_status.written(x.spark, _live(x, _streamed_log(x)), "actions").filter(F.col("kind") == "transition")
+    return acts.select("tag_id", us("ts").alias("us"), "event_id", "seq", "from_state", "to_state", "reason")
+
+
+@query
+def live_runs(x):
+    """What that stream launches: first and repeated attempts."""
+    rows = live_status.written(x.spark, _live(x, _streamed_log(x)), "runs")
+    return rows.select("tag_id", "event_id", "reason", us("ts").alias("us"))
+
+
+def _late_log(x) -> DataFrame:
+    """The log in files of three days, one to a micro-batch; every fiftieth message comes one or two files later."""
+    path = fresh_dir(x.spark, "log")
+    place = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (72 * 3_600_000_000))
+    behind = F.when(F.col("event_id") % 50 == 0, F.col("event_id") % 2 + 1).otherwise(0)
+    rows = stable(x.frontier.withColumn("file", place + behind))
+    for (number,) in sorted(rows.select("file").distinct().collect()):  # a file per three days, in the order of arrival
+        rows.filter(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(path)
+    return frontier.stream_log(x.spark, path, files_per_trigger=1)
+
+
+@query
+def live_late(x):
+    """Messages that came behind the watermark of a stream, with the watermark that had passed them."""
+    rows = live_status.written(x.spark, _live(x, _late_log(x), with_reports=False), "late")
+    return rows.select("event_id", "source", us("ts").alias("us"), us("watermark").alias("watermark_us"))
+
+
 # ---- runs ----
 
 @query
@@ -707,8 +757,8 @@ def retry_accounting(x):
 
 @query
 def schedule_batches(x):
-    requests = rd.ready_tags(rd.ready_needs(x.arrivals, x.needs), x.required)
-    return runs.schedule_batches(requests.withColumnRenamed("ready_ts", "ts"), "update_frequency")
+    requests = rd.ready_counts(rd.ready_needs(x.arrivals, x.needs), x.required)
+    return runs.schedule_batches(requests.withColumnRenamed("ready_ts", "ts"), "update_frequency", times="n")
 
 
 @query
