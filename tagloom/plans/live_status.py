@@ -3,6 +3,8 @@ and finish messages, transitions and late rows out, as tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,11 +24,13 @@ LATE = "watermark long, row string"
 
 
 def to_launch(acts: DataFrame, definitions: DataFrame, schedule: cal.Schedule = cal.DEFAULT) -> DataFrame:
-    """The composed run of every readiness and of every new attempt; the as-of day is that of the row that caused it."""
+    """The composed run of every readiness and of every new attempt; the as-of day is that of the row that caused it. A tag
+    without a definition keeps its row, with the status ``undefined``."""
     due = acts.filter((F.col("kind") == "transition") & F.col("reason").isin("ready", "retry"))
     rows = due.select("tag_id", "update_frequency", "cycle", "reason", "event_id", "ts").join(
-        definitions.select("tag_id", "sql", "started", "traced"), "tag_id")
-    return composed(rows, F.to_date("ts"), schedule)
+        definitions.select("tag_id", "sql", "started", "traced"), "tag_id", "left").withColumn("unknown", F.col("sql").isNull())
+    return composed(rows, F.to_date("ts"), schedule).withColumn(
+        "status", F.when(F.col("unknown"), "undefined").otherwise(F.col("status"))).drop("unknown")
 
 
 def _said(acts: DataFrame, kind: str, fields: str) -> DataFrame:
@@ -57,12 +61,13 @@ def late_rows(acts: DataFrame) -> DataFrame:
 TABLES = ("actions", "runs", "start", "finish", "late")
 
 
-def start(inputs: DataFrame, initial: DataFrame, definitions: DataFrame, target: str, checkpoint: str,
+def start(inputs: DataFrame, initial: DataFrame, definitions: Callable[[], DataFrame], target: str, checkpoint: str,
           schedule: cal.Schedule = cal.DEFAULT, available_now: bool = False, slices: int = live.SLICES) -> StreamingQuery:
     """Run the tags and write five tables below ``target``.
 
     A micro-batch owns one partition of each and replaces it when it is repeated after a failure, so every row is
-    written once. What the batch did is written first and read back for the others.
+    written once. What the batch did is written first and read back for the others. ``definitions`` is asked in each
+    batch, so that a run is launched with the dictionary's present text.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -72,7 +77,7 @@ def start(inputs: DataFrame, initial: DataFrame, definitions: DataFrame, target:
 
         put(batch, "actions")
         acts = spark.read.schema(batch.schema).parquet(f"{target}/actions/batch={batch_id}")
-        put(to_launch(acts, definitions, schedule), "runs")
+        put(to_launch(acts, definitions(), schedule), "runs")
         put(sinks.start_rows(start_messages(acts), F.col("message")), "start")
         put(sinks.finish_rows(finish_messages(acts), F.col("message")), "finish")
         put(late_rows(acts), "late")

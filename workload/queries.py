@@ -661,8 +661,9 @@ def _live(x, log: DataFrame, with_reports: bool = True) -> str:
         x.recent_reports.write.parquet(path)
         inputs = inputs.unionByName(live.report_input(x.spark.readStream.schema(x.recent_reports.schema).parquet(path)))
     target = fresh_dir(x.spark, "live")
-    query = live_status.start(inputs, stable(live.registry_state(x.required)), stable(status_flow.registered(x.dictionary)),
-                              target, fresh_dir(x.spark, "live-state"), available_now=True, slices=SLICES)
+    definitions = stable(status_flow.registered(x.dictionary))
+    query = live_status.start(inputs, stable(live.registry_state(x.required)), lambda: definitions, target,
+                              fresh_dir(x.spark, "live-state"), available_now=True, slices=SLICES)
     query.awaitTermination()
     return target
 
