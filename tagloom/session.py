@@ -93,12 +93,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def discard(spark: SparkSession) -> int:
-    """Delete the written intermediate tables of this session; call it when nothing that reads them is in use."""
+def written_tables() -> int:
+    """How many intermediate tables there are: a mark for ``discard``."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the written intermediate tables of this session, or those since a mark but the last ``keep``; call it when
+    nothing that reads them is in use."""
     gone = 0
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in _made[since:len(_made) - keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:len(_made) - keep]
     return gone
 
 
