@@ -7,6 +7,7 @@ the clock.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,3 +125,23 @@ def cycle_month(ts: Column, schedule: Schedule = DEFAULT) -> Column:
 def cycle(freq: Column, ts: Column, schedule: Schedule = DEFAULT) -> Column:
     """Name of the cycle a flag of this frequency lives in."""
     return F.when(freq == "D", day_text(cycle_day(ts, schedule))).otherwise(cycle_month(ts, schedule))
+
+
+# ---- the same rules for one moment at a time, for state that timers wake ----
+
+DAY_US = 86_400_000_000
+
+
+def cutoff_us(schedule: Schedule = DEFAULT) -> int:
+    """The cutoff as microseconds of the day."""
+    hours, minutes, seconds = map(int, schedule.cutoff.split(":"))
+    return (hours * 3600 + minutes * 60 + seconds) * 1_000_000
+
+
+def cycles_at(us: int, schedule: Schedule = DEFAULT) -> tuple[str, str]:
+    """(``cycle_day``, ``cycle_month``) of a moment in microseconds, as texts."""
+    day = datetime.fromtimestamp((us - cutoff_us(schedule)) // DAY_US * 86_400, timezone.utc)
+    kept = schedule.reset_day < 10 and day.day == schedule.reset_day
+    shifted = day if kept else day + timedelta(days=schedule.daily)
+    months = shifted.year * 12 + shifted.month - 1 + schedule.monthly
+    return day.date().isoformat(), f"{months // 12:04d}{months % 12 + 1:02d}"

@@ -1,5 +1,5 @@
 """The main path as a stream with everything in it: messages, run reports and changed definitions in; runs to launch, start
-and finish messages, transitions and late rows out, as tables."""
+and finish messages, transitions, reports of unfinished tags and late rows out, as tables."""
 
 from __future__ import annotations
 
@@ -58,12 +58,19 @@ def late_rows(acts: DataFrame) -> DataFrame:
                        F.timestamp_micros("b.watermark").alias("watermark"), F.col("b.row").alias("row"))
 
 
-TABLES = ("actions", "runs", "start", "finish", "late")
+def unfinished_rows(acts: DataFrame) -> DataFrame:
+    """Shortly before each cutoff: awake tags and the tables that they still wait for. A report's number is its day's."""
+    return acts.filter(F.col("kind") == "unfinished").select(
+        "tag_id", F.date_from_unix_date(F.col("event_id").cast("int")).alias("report_day"), F.col("ts").alias("report_ts"),
+        F.array_join(F.from_json("body", "array<string>"), ",").alias("missing"))
+
+
+TABLES = ("actions", "runs", "start", "finish", "late", "unfinished")
 
 
 def start(inputs: DataFrame, initial: DataFrame, definitions: Callable[[], DataFrame], target: str, checkpoint: str,
           schedule: cal.Schedule = cal.DEFAULT, available_now: bool = False, slices: int = live.SLICES) -> StreamingQuery:
-    """Run the tags and write five tables below ``target``.
+    """Run the tags and write six tables below ``target``.
 
     A micro-batch owns one partition of each and replaces it when it is repeated after a failure, so every row is
     written once. What the batch did is written first and read back for the others. ``definitions`` is asked in each
@@ -81,6 +88,7 @@ def start(inputs: DataFrame, initial: DataFrame, definitions: Callable[[], DataF
         put(sinks.start_rows(start_messages(acts), F.col("message")), "start")
         put(sinks.finish_rows(finish_messages(acts), F.col("message")), "finish")
         put(late_rows(acts), "late")
+        put(unfinished_rows(acts), "unfinished")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{DEBOUNCE_SECONDS} seconds"}
     spark = inputs.sparkSession
@@ -89,7 +97,7 @@ def start(inputs: DataFrame, initial: DataFrame, definitions: Callable[[], DataF
     spark.conf.set(name, value)  # a query keeps the settings that it was started with
     try:
         return (
-            live.actions(inputs, initial, slices).writeStream.outputMode("append")
+            live.actions(inputs, initial, slices, schedule).writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
         )
     finally:

@@ -8,6 +8,9 @@ Rows wait, minute by minute, until the watermark has passed them and are then wo
 the minutes that are due and no others. A row that arrives behind the watermark comes out as a row of kind ``late`` and
 moves nothing: what the stream did is what a batch over the log without the late rows does. The watermark is that of the
 source that is ahead (``AHEAD``), so a source that falls silent holds nothing back.
+
+Some minutes before each cutoff a slice says which of its awake tags still miss inputs, and which. The moment stands in the
+order of time like a row does, and a timer brings it up when no row does.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ SLICES = 64
 MINUTE = 60_000_000
 AHEAD = ("spark.sql.streaming.multipleWatermarkPolicy", "max")
 CHANGE, MESSAGE, REPORT = 0, 1, 2  # order of rows of one moment
+LEAD_MINUTES = 2  # from the report of unfinished tags to the cutoff
+ASLEEP_AFTER = 64 * cal.DAY_US  # without a row no tag is awake that long: a monthly cycle has 31 days
 
 TAGS = """state string, update_frequency string, need array<string>, daily array<string>, monthly array<string>, day string,
     month string, run_month string, failures int, run_day string, held array<string>"""
@@ -61,6 +66,18 @@ class Entry:
             flags = self.tag.daily | self.tag.monthly
             self.held = [m for m in self.held if json.loads(m)["key"] in flags]
 
+    def missing_at(self, day: str, month: str) -> list[str]:
+        """The tables that a tag still waits for in these cycles; none if it is asleep, or running since this day. Cutoffs that
+        no row has brought to the machine yet count as past."""
+        tag = self.tag
+        if tag.state == WAITING or (tag.day >= day and tag.state == RUNNING):
+            return []
+        daily = tag.daily if tag.day >= day else set()
+        monthly = tag.monthly if tag.day >= day or tag.month == month else set()
+        if tag.day < day and not monthly:
+            return []
+        return sorted({json.loads(k)["dbt"] for k in set(self.need) - daily - monthly})
+
     def row(self) -> tuple:
         t = self.tag
         return (t.state, self.update_frequency, self.need, sorted(t.daily), sorted(t.monthly), t.day, t.month, t.run_month,
@@ -106,11 +123,15 @@ def moved(entry: Entry, body: dict) -> list[tuple]:
 class LiveTags(StatefulProcessor):
     """The tags of one slice."""
 
+    def __init__(self, schedule: cal.Schedule = cal.DEFAULT, lead_minutes: int = LEAD_MINUTES):
+        self.schedule, self.lead = schedule, lead_minutes * MINUTE
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.tags = handle.getMapState("tags", "tag_id string", TAGS)
         self.subscribers = handle.getMapState("subscribers", "key string", "tags array<string>")
         self.waiting = handle.getMapState("waiting", "minute long", "rows array<string>")
+        self.reported = handle.getValueState("reported", "us long")  # up to when reports have been made
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         needs: dict[str, list[str]] = {}
@@ -163,14 +184,19 @@ class LiveTags(StatefulProcessor):
             else:
                 self.waiting.updateValue((minute,), ([r for r in rows if json.loads(r)[0] > watermark],))
             due += now
-        out, touched = [], {}
+        out, touched, moved_tags = [], {}, set()
 
         def entry(tag_id: str) -> Entry | None:
+            moved_tags.add(tag_id)
             if tag_id not in touched:
                 touched[tag_id] = Entry.of(self.tags.getValue((tag_id,))) if self.tags.containsKey((tag_id,)) else None
             return touched[tag_id]
 
+        clock = began = self.reported.get()[0] if self.reported.exists() else None
         for us, sort, event_id, text in sorted(due):
+            clock = us - 1 if clock is None else clock
+            out += self._unfinished(clock, us - 1, touched)
+            clock = max(clock, us - 1)
             body = json.loads(text)
             if sort == CHANGE:
                 out.append(self._change(us, event_id, body, entry(body["tag_id"]), touched))
@@ -183,9 +209,39 @@ class LiveTags(StatefulProcessor):
                 for seq, (kind, step, said) in enumerate(moved(found, body)):
                     out.append((kind, tag_id, us, event_id, seq, cycle, found.update_frequency, *(step or (None, None, None)),
                                 None if said is None else json.dumps(said)))
-        for tag_id, found in touched.items():
-            if found is not None:
-                self.tags.updateValue((tag_id,), found.row())
+        if clock is not None:
+            out += self._unfinished(clock, watermark, touched)
+            clock = max(clock, watermark)
+            if clock != began:
+                self.reported.update((clock,))
+                self.handle.registerTimer(self._next_report(clock) // 1000)
+        for tag_id in moved_tags:
+            if touched[tag_id] is not None:
+                self.tags.updateValue((tag_id,), touched[tag_id].row())
+        return out
+
+    def _next_report(self, us: int) -> int:
+        """The first moment of a report after ``us``."""
+        offset = cal.cutoff_us(self.schedule) - self.lead
+        return ((us - offset) // cal.DAY_US + 1) * cal.DAY_US + offset
+
+    def _unfinished(self, after: int, until: int, touched: dict) -> list[tuple]:
+        """Reports of the moments behind ``after`` up to ``until``. Between them lies no row, so the tags stand still."""
+        out, moment = [], self._next_report(after)
+        until = min(until, after + ASLEEP_AFTER)
+        if moment > until:
+            return out
+        for (tag_id,), row in list(self.tags.iterator()):  # once a day: the tags of one slice
+            touched.setdefault(tag_id, Entry.of(row))
+        while moment <= until:
+            day, month = cal.cycles_at(moment, self.schedule)
+            report_day = (moment - cal.cutoff_us(self.schedule) + self.lead) // cal.DAY_US
+            for tag_id, found in touched.items():
+                missing = found.missing_at(day, month) if found is not None else []
+                if missing:
+                    out.append(("unfinished", tag_id, moment, report_day, 0, day, found.update_frequency, None, None, None,
+                                json.dumps(missing)))
+            moment += cal.DAY_US
         return out
 
     def _change(self, us: int, event_id: int, body: dict, found: Entry | None, touched: dict) -> tuple:
@@ -287,7 +343,8 @@ def revived_state(required: DataFrame, flags: DataFrame, remembered: DataFrame,
             cal.cycle_month(moment, schedule).alias("month"), F.coalesce("run_month", F.lit("")).alias("run_month"))).alias("body"))
 
 
-def actions(inputs: DataFrame, initial: DataFrame, slices: int = SLICES) -> DataFrame:
+def actions(inputs: DataFrame, initial: DataFrame, slices: int = SLICES, schedule: cal.Schedule = cal.DEFAULT,
+            lead_minutes: int = LEAD_MINUTES) -> DataFrame:
     """What the tags do. ``inputs`` is the union of message, report and change rows; ``initial`` the state at the start.
 
     The moment goes in as a plain number, as Spark would drop rows of a marked column behind the watermark unseen.
@@ -300,7 +357,7 @@ def actions(inputs: DataFrame, initial: DataFrame, slices: int = SLICES) -> Data
     cloudpickle.register_pickle_by_value(tagloom)  # Spark starts the processor on the driver, without the files sent to the workers
     try:
         return rows.groupBy("slice").transformWithStateInPandas(
-            statefulProcessor=LiveTags(), outputStructType=ACTIONS, outputMode="Append", timeMode="EventTime", initialState=state)
+            statefulProcessor=LiveTags(schedule, lead_minutes), outputStructType=ACTIONS, outputMode="Append", timeMode="EventTime", initialState=state)
     finally:
         cloudpickle.unregister_pickle_by_value(tagloom)
 

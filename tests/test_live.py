@@ -202,3 +202,34 @@ def test_readiness_stream_and_its_late_messages_are_the_log(spark, inputs):
     columns = ["tag_id", "update_frequency", "cycle", "event_id"]
     expected = rounds.tag_rounds(in_time, inputs.required, inputs.needs).filter(F.col("ready_ts").cast("timestamp") <= F.lit(last))
     assert rows(sr.ready_rows(acts, required), *columns) == rows(expected, *columns)
+
+
+def test_cycles_of_one_moment_are_those_of_the_columns(spark):
+    from tagloom.functions import calendar as cal
+
+    days = [datetime(2018, m, d, h, n) for m in (1, 2, 3, 12) for d in (1, 2, 3, 28) for h, n in ((0, 0), (5, 59), (6, 0), (23, 59))]
+    frame = spark.createDataFrame([(d,) for d in days], "ts timestamp_ntz")
+    for schedule in (cal.DEFAULT, cal.Schedule(cutoff="06:00:00"), cal.Schedule(daily=-12, monthly=-2, cutoff="06:00:00")):
+        got = frame.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), cal.day_text(cal.cycle_day(F.col("ts"), schedule)).alias("d"),
+                           cal.cycle_month(F.col("ts"), schedule).alias("m")).collect()
+        for r in got:
+            assert cal.cycles_at(r["us"], schedule) == (r["d"], r["m"])
+
+
+def test_reports_before_the_cutoff_come_from_rows_and_from_timers(spark):
+    """A woken tag is reported with what it misses; one that runs, one asleep and one without a message are not."""
+    s = Stream(spark, [("waits", "D", need("a", "b", "c")), ("runs", "D", need("a")), ("asleep", "D", need("c"))])
+    day = 24 * 60
+    s.add([(0, "a"), (5, "b"), (60, "x")])
+    s.run()
+    assert s.table("unfinished").count() == 0  # the cutoff is far
+    s.add([(2 * day, "x")])  # no row of these tags: a timer brings the report up
+    s.run()
+    first = [("waits", "2018-09-23", "d.c")]
+    listed = lambda: rows(s.table("unfinished").select("tag_id", F.col("report_day").cast("string"), "missing"))
+    assert listed() == first
+    assert {str(r["report_ts"]) for r in s.table("unfinished").collect()} == {"2018-09-22 23:58:00"}
+    s.add([(2 * day + 30, "b"), (5 * day, "x")])  # rows and report in one micro-batch; the flag of a is of a past day
+    s.run()
+    s.run()
+    assert listed() == first + [("waits", "2018-09-25", "d.a,d.c")]

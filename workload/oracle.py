@@ -704,6 +704,13 @@ from (select *, {w_end('update_frequency', 's', 'traced')} e from (
   from guarded g join dict d using (tag_id)))""")
 
 ORACLE["live_transitions"] = ORACLE["transition_log"]
+ORACLE["messages_ignored_stream"] = ORACLE["messages_ignored"]
+ORACLE["submit_batches_stream"] = f"""select update_frequency, min(us) first_us, max(us) last_us, cast(sum(c) as bigint) n, max(us) + 20000000 submit_us from (
+  select update_frequency, us, c, sum(o) over (partition by update_frequency order by us rows unbounded preceding) b from (
+    select update_frequency, us, c, case when us - lag(us) over (partition by update_frequency order by us) >= 20000000 then 1 else 0 end o
+    from (select update_frequency, ready_us us, count(*) c from ({_rounds_sql}) group by all)))
+group by update_frequency, b"""
+ORACLE["live_unfinished"] = ORACLE["unfinished_report"]
 ORACLE["live_runs"] = f"select tag_id, event_id, reason, us from ({ORACLE['transition_log']}) where reason in ('ready', 'retry')"
 _oracle("live_late", """select event_id, 'message' source, us, watermark_us from (
   select event_id, epoch_us(ts) us, cast(max(greatest_us) over (order by file range between unbounded preceding and 1 preceding) as bigint) top,

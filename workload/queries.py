@@ -27,7 +27,7 @@ from tagloom.plans import status_stream as status_stream_plan
 from tagloom.schemas import FINISH, FRONTIER, KEY
 from tagloom.session import fresh_dir, stable, tune
 from tagloom.sources import frontier, sinks, tables
-from tagloom.streaming import live
+from tagloom.streaming import live, windows
 from tagloom.streaming import readiness as sr
 from workload import fixtures as fx
 
@@ -653,9 +653,9 @@ def status_stream(x):
 SLICES = 8
 
 
-def _live(x, log: DataFrame, with_reports: bool = True) -> str:
+def _live(x, log: DataFrame, with_reports: bool = True, schedule: cal.Schedule = cal.DEFAULT) -> str:
     """The live tags over a log and the run reports; gives the folder of what was written."""
-    inputs = live.message_input(log, stable(x.frequencies))
+    inputs = live.message_input(log, stable(x.frequencies), schedule)
     if with_reports:
         path = fresh_dir(x.spark, "reports")
         x.recent_reports.write.parquet(path)
@@ -663,7 +663,7 @@ def _live(x, log: DataFrame, with_reports: bool = True) -> str:
     target = fresh_dir(x.spark, "live")
     definitions = stable(status_flow.registered(x.dictionary))
     query = live_status.start(inputs, stable(live.registry_state(x.required)), lambda: definitions, target,
-                              fresh_dir(x.spark, "live-state"), available_now=True, slices=SLICES)
+                              fresh_dir(x.spark, "live-state"), schedule, available_now=True, slices=SLICES)
     query.awaitTermination()
     return target
 
@@ -700,6 +700,14 @@ def live_late(x):
     return rows.select("event_id", "source", us("ts").alias("us"), us("watermark").alias("watermark_us"))
 
 
+@query
+def live_unfinished(x):
+    """What that stream reports before each cutoff, up to the log's last day."""
+    rows = live_status.written(x.spark, _live(x, _streamed_log(x), with_reports=False, schedule=CUTOFF), "unfinished")
+    last = x.messages.agg(F.to_date(F.max("ts"))).scalar()
+    return day_columns(rows.filter(F.col("report_day") <= last).select("tag_id", "report_day", "missing"), "report_day")
+
+
 # ---- runs ----
 
 @query
@@ -762,6 +770,28 @@ def schedule_batches(x):
     return runs.schedule_batches(requests.withColumnRenamed("ready_ts", "ts"), "update_frequency", times="n")
 
 
+@query
+def submit_batches_stream(x):
+    """The batches in which a stream's ready tags are submitted: the table that one stream writes is the next one's input."""
+    required, needs = _tag_tables(x)
+    ready = sr.drain(sr.readiness_stream(_streamed_log(x), stable(x.frequencies), needs, required)).withColumnRenamed("ready_ts", "ts")
+    closing = ready.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(F.lit(None).cast("string").alias("update_frequency"), "ts")
+    path = fresh_dir(x.spark, "requests")
+    ready.select("update_frequency", "ts").unionByName(closing).write.parquet(path)
+    stream = x.spark.readStream.schema("update_frequency string, ts timestamp").parquet(path)
+    return sr.drain(windows.submit_batches(stream, "update_frequency"))
+
+
+@query
+def messages_ignored_stream(x):
+    """The same messages from a stream of messages and one of run reports."""
+    path = fresh_dir(x.spark, "reports")
+    x.recent_reports.filter(F.col("status") != "Start").write.parquet(path)
+    reports = x.spark.readStream.schema(x.recent_reports.schema).parquet(path)
+    messages = rt.tag_messages(_streamed_log(x), stable(x.frequencies))
+    return sr.drain(windows.ignored_messages(messages, stable(x.deps), reports)).select("event_id", "tag_id").distinct()
+
+
 @query
 def messages_ignored(x):
     busy = x.recent_reports.filter(F.col("status") != "Start")
