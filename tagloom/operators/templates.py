@@ -61,4 +61,12 @@ def together(spark: SparkSession, runs: Sequence[Row], names: Sequence[str], out
         value, typed = f"{VALUES}.v{i}", DATE.search(asked)
         asked = (f"{asked[:typed.start()]}CAST({value} AS DATE)" if typed else asked + value) + piece
     kept = ", ".join(f"{VALUES}.{c}" for c in names)
-    return spark.sql(f"SELECT {kept}, {output} FROM VALUES {rows} AS {VALUES}({', '.join(columns)}), LATERAL ({asked}\n)")
+    frame = spark.sql(f"SELECT {kept}, {output} FROM VALUES {rows} AS {VALUES}({', '.join(columns)}), LATERAL ({asked}\n)")
+    if _fixed_length(frame):
+        raise ValueError("a CHAR column pads the literals it is compared with, and no values")
+    return frame
+
+
+def _fixed_length(frame: DataFrame) -> bool:
+    """Whether the plan pads columns of type CHAR."""
+    return "readSidePadding" in frame._jdf.queryExecution().optimizedPlan().toJSON()
