@@ -24,7 +24,7 @@ from tagloom.llm.components import components
 from tagloom.llm.near_copies import copy_classes
 from tagloom.llm.texts import whole
 from tagloom.llm.workers import task
-from tagloom.session import stable
+from tagloom.session import discard, stable, written_tables
 
 RADIUS = 2
 WORDS = 3  # words of a shingle
@@ -232,6 +232,19 @@ def print_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a long, b long").distinct()
 
 
+def print_pairs(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): pairs of nodes that span the nodes of each fingerprint and the fingerprints that ``print_links`` links; ``prints``
+    has (node, print), a row per node."""
+    leads = prints.groupBy("print").agg(F.min("node").alias("lead"))
+    same = prints.join(leads, "print").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    mark = written_tables()
+    links = print_links(leads, bucket)
+    ends = [leads.select(F.col("print").alias(p), F.col("lead").alias(n)) for p, n in (("x", "a"), ("y", "b"))]
+    far = stable(links.select(F.col("a").alias("x"), F.col("b").alias("y")).join(ends[0], "x").join(ends[1], "y").select("a", "b"), "linked")
+    discard(prints.sparkSession, mark, keep=1)
+    return same.unionByName(far)
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(key, print, component) of every row; the component is the smallest key that steps of two bits reach.
 
@@ -252,11 +265,12 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """Of each component of near copies the row with the smallest key (null last, then by digest of the text), all columns kept.
 
     Rows are told apart by key and text: different texts of one key, or without one, are judged each, and of rows
-    that repeat both one stays. Near copies share 4/5 of their shingles of five words or more; fingerprints of two bits lose
-    most of them.
+    that repeat both one stays. Near copies share 4/5 of their shingles of five words or more. Fingerprints of these shingles
+    that differ in ``RADIUS`` bits at most name the first candidates; an exact check follows, and finds the pairs that lie
+    further apart by their prefixes.
     """
     first = F.min(F.struct(F.col("key").isNull(), "key", "digest")).alias("first")
-    kept = copy_classes(docs, key, text).groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).select(
+    kept = copy_classes(docs, key, text, known=print_pairs).groupBy("root").agg(first, F.count(F.lit(1)).alias("n")).select(
         F.col("first.key").alias("kept_key"), F.col("first.digest").alias("kept_digest"), "n")
     columns = docs.columns
     met = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(key).alias("own"),

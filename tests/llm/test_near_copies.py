@@ -117,3 +117,30 @@ def test_texts_of_one_template_make_no_pairs(spark, monkeypatch):
         assert all(r["key"] == r["component"] for r in groups)
         counts.append(sum(m.count() for m in made))
     assert counts[1] <= 2 * counts[0] + 200
+
+
+def test_candidates_come_from_fingerprints_first(spark, monkeypatch):
+    """Copies a word apart in long texts have near fingerprints; the exact check drops pairs that are only near."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(6):
+        text = [f"w{x}" for x in rng.integers(0, 500, 900)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-1], "other"]))]
+    asked, pairs = [], simhash.print_pairs
+    monkeypatch.setattr(simhash, "print_pairs", lambda prints: asked.append(pairs(prints)) or asked[-1])
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 12, 2))
+    near = {frozenset(p) for p in asked[0].collect()}
+    nodes = [near_copies.node(near_copies.shingles(t.encode())) for _, t in rows]
+    assert sum(frozenset(nodes[i:i + 2]) in near for i in range(0, 12, 2)) >= 3
+
+
+def test_parities_and_fingerprints_of_sets():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 9, 400):
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        other = np.unique(np.append(own[n // 5:], rng.integers(0, 1 << 63, n // 5).astype(np.uint64)))
+        apart = sum(int(a ^ b).bit_count() for a, b in zip(near_copies.parity(own), near_copies.parity(other)))
+        assert apart <= len(np.setxor1d(own, other))
+        bits = [2 * sum(int(h) >> b & 1 for h in own) > n for b in range(64)]
+        assert (near_copies.simhash(own) & (1 << 64) - 1).bit_count() == sum(bits)
