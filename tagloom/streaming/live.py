@@ -4,8 +4,9 @@ The state is kept per slice of the tags, which a hash of the tag id deals out ev
 a table lands once a day) and hands each to its own tags that need it, so the routing itself is state and a changed
 definition takes effect where it stands in the order of time. Reports and changes go to the slice of their tag.
 
-Rows wait, minute by minute, until the watermark has passed them and are then worked off in order of time; a batch reads
-the minutes that are due and no others. A row that arrives behind the watermark comes out as a row of kind ``late`` and
+Rows wait, hour by hour, until the watermark has passed them and are then worked off in order of time; a batch reads
+the hours that are due and no others, one at a time. A slice holds its tags, one hour of rows and a bounded number of
+rows on their way into the state or out of it, however many a batch brings. A row that arrives behind the watermark comes out as a row of kind ``late`` and
 moves nothing: what the stream did is what a batch over the log without the late rows does. The watermark is that of the
 source that is ahead (``AHEAD``), so a source that falls silent holds nothing back.
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -33,9 +36,13 @@ from tagloom.streaming.readiness import DELAY, dated, report_times, timed
 
 SLICES = 64
 MINUTE = 60_000_000
+HOUR = 60 * MINUTE  # of rows that wait; every call of the state takes its time, so not by the minute
 AHEAD = ("spark.sql.streaming.multipleWatermarkPolicy", "max")
 CHANGE, MESSAGE, REPORT = 0, 1, 2  # order of rows of one moment
 LEAD_MINUTES = 2  # from the report of unfinished tags to the cutoff
+HOLD = 100_000  # rows that a slice gathers before they go into the state
+SINGLE = 200  # tags or keys that a batch reads one by one, before it reads all of its slice
+OUT = 20_000  # rows of one frame that comes out
 ASLEEP_AFTER = 64 * cal.DAY_US  # without a row no tag is awake that long: a monthly cycle has 31 days
 
 TAGS = """state string, update_frequency string, need array<string>, daily array<string>, monthly array<string>, day string,
@@ -45,6 +52,18 @@ ACTIONS = """kind string, tag_id string, ts timestamp, event_id long, seq int, c
 INPUT = ["slice", "us", "sort", "event_id", "body"]
 
 
+@lru_cache(1 << 16)
+def _freq_and_table(key: str) -> tuple[str, str]:
+    read = json.loads(key)
+    return read["freq"], read["dbt"]
+
+
+@lru_cache(1 << 16)
+def _key_of(message: str) -> str:
+    """The key of a held message."""
+    return json.loads(message)["key"]
+
+
 class Entry:
     """A registered tag: what it needs, the machine's state, and the messages it holds."""
 
@@ -54,7 +73,7 @@ class Entry:
 
     def require(self, need: list[str]) -> None:
         self.need = list(need)
-        self.n_daily = sum(json.loads(k)["freq"] == DAILY for k in self.need)
+        self.n_daily = sum(_freq_and_table(k)[0] == DAILY for k in self.need)
         self.n_monthly = len(self.need) - self.n_daily
 
     def settle(self) -> None:
@@ -64,7 +83,7 @@ class Entry:
             self.tag.daily &= needed
             self.tag.monthly &= needed
             flags = self.tag.daily | self.tag.monthly
-            self.held = [m for m in self.held if json.loads(m)["key"] in flags]
+            self.held = [m for m in self.held if _key_of(m) in flags]
 
     def missing_at(self, day: str, month: str) -> list[str]:
         """The tables that a tag still waits for in these cycles; none if it is asleep, or running since this day. Cutoffs that
@@ -76,7 +95,7 @@ class Entry:
         monthly = tag.monthly if tag.day >= day or tag.month == month else set()
         if tag.day < day and not monthly:
             return []
-        return sorted({json.loads(k)["dbt"] for k in set(self.need) - daily - monthly})
+        return sorted({_freq_and_table(k)[1] for k in set(self.need) - daily - monthly})
 
     def row(self) -> tuple:
         t = self.tag
@@ -90,8 +109,13 @@ class Entry:
         return Entry(update_frequency, list(need or ()), tag, list(held or ()))
 
 
-def moved(entry: Entry, body: dict) -> list[tuple]:
-    """What a message or report does to a tag: (kind, step, body) rows. The entry changes."""
+def held_text(body: dict) -> str:
+    return json.dumps({"key": body["key"], "message": body["message"]}, sort_keys=True)
+
+
+def moved(entry: Entry, body: dict, text: str | None = None) -> list[tuple]:
+    """What a message or report does to a tag: (kind, step, body) rows. The entry changes. ``text`` is the message as it is
+    held, which all its tags share."""
     before, held = entry.tag.state, list(entry.held)
     cycle = {n: body[n] for n in ("day", "month", "target_month")}
     report = "status" in body
@@ -110,10 +134,10 @@ def moved(entry: Entry, body: dict) -> list[tuple]:
                     "received": [json.loads(m)["message"] for m in held]}))
     elif event.counts and (before != RUNNING or any(s.reason == "cutoff" for s in steps)):
         if body["key"] in (entry.tag.daily if body["freq"] == DAILY else entry.tag.monthly):
-            text = json.dumps({"key": body["key"], "message": body["message"]}, sort_keys=True)
+            text = text or held_text(body)
             if any(s.reason == "cutoff" for s in steps):  # what the cutoff has wiped goes first
                 flags = (entry.tag.daily | entry.tag.monthly) - {body["key"]}
-                entry.held = [m for m in entry.held if json.loads(m)["key"] in flags]
+                entry.held = [m for m in entry.held if _key_of(m) in flags]
             if text not in entry.held:  # equal messages are one
                 entry.held.append(text)
     entry.settle()
@@ -130,7 +154,7 @@ class LiveTags(StatefulProcessor):
         self.handle = handle
         self.tags = handle.getMapState("tags", "tag_id string", TAGS)
         self.subscribers = handle.getMapState("subscribers", "key string", "tags array<string>")
-        self.waiting = handle.getMapState("waiting", "minute long", "rows array<string>")
+        self.waiting = handle.getMapState("waiting", "hour long, part int", "rows array<string>")
         self.reported = handle.getValueState("reported", "us long")  # up to when reports have been made
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
@@ -153,8 +177,10 @@ class LiveTags(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         fresh: dict[int, list[str]] = {}
-        late, latest = [], None
+        parts: dict[int, int] = {}
+        held, latest = 0, None
         for chunk in rows:
+            late = []
             for us, sort, event_id, body in zip(*[chunk[c].tolist() for c in INPUT[1:]]):
                 if us <= watermark:
                     if sort != MESSAGE or key[0] == 0:  # all slices see a message late, one says so
@@ -162,53 +188,85 @@ class LiveTags(StatefulProcessor):
                         late.append(("late", tag_id, us, event_id, 0, None, None, None, None,
                                      ("change", "message", "report")[sort], json.dumps({"watermark": watermark, "row": body})))
                 else:
-                    fresh.setdefault(us // MINUTE, []).append(json.dumps([us, sort, event_id, body]))
-                    latest = max(us, latest or us)
-        for minute, some in fresh.items():
-            old = self.waiting.getValue((minute,))[0] if self.waiting.containsKey((minute,)) else []
-            self.waiting.updateValue((minute,), ([*old, *some],))
+                    fresh.setdefault(us // HOUR, []).append(json.dumps([us, sort, event_id, body]))
+                    held, latest = held + 1, max(us, latest or us)
+            yield from self._out(late)
+            if held >= HOLD:
+                self._wait(fresh, parts)
+                fresh, held = {}, 0
+        self._wait(fresh, parts)
         if latest is not None:
             self.handle.registerTimer(latest // 1000 + 1)
-        yield from self._out(late + self._due(watermark))
+        yield from self._due(watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._out(self._due(timerValues.getCurrentWatermarkInMs() * 1000))
-
-    def _due(self, watermark: int) -> list[tuple]:
-        due = []
-        for (minute,) in sorted(k for k in self.waiting.keys() if k[0] <= watermark // MINUTE):
-            rows = self.waiting.getValue((minute,))[0]
-            now = [r for r in map(json.loads, rows) if r[0] <= watermark]
-            if len(now) == len(rows):
-                self.waiting.removeKey((minute,))
-            else:
-                self.waiting.updateValue((minute,), ([r for r in rows if json.loads(r)[0] > watermark],))
-            due += now
+        yield from self._due(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _wait(self, fresh: dict[int, list[str]], parts: dict[int, int]) -> None:
+        """Rows go into the state as further parts of their hours; ``parts`` are the numbers of those that this batch wrote next."""
+        for hour, some in fresh.items():
+            part = parts.get(hour, 0)
+            while hour not in parts and self.waiting.containsKey((hour, part)):
+                part += 1
+            self.waiting.updateValue((hour, part), (some,))
+            parts[hour] = part + 1
+
+    def _taken(self, watermark: int) -> Iterator[list]:
+        """Rows that are due, in order of time; an hour is read when the one before it is done."""
+        keys = sorted(k for k in self.waiting.keys() if k[0] <= watermark // HOUR)
+        for hour, same in groupby(keys, key=lambda k: k[0]):
+            rows = []
+            for part in same:
+                rows += map(json.loads, self.waiting.getValue(part)[0])
+                self.waiting.removeKey(part)
+            later = [r for r in rows if r[0] > watermark]
+            if later:
+                self.waiting.updateValue((hour, 0), ([json.dumps(r) for r in later],))
+            yield from sorted(r for r in rows if r[0] <= watermark)
+
+    def _due(self, watermark: int) -> Iterator[pd.DataFrame]:
         out, touched, moved_tags = [], {}, set()
+        subscribed: dict[str, list[str]] = {}
+        self.all_read = False  # ``touched`` has all tags of the slice
 
         def entry(tag_id: str) -> Entry | None:
             moved_tags.add(tag_id)
             if tag_id not in touched:
-                touched[tag_id] = Entry.of(self.tags.getValue((tag_id,))) if self.tags.containsKey((tag_id,)) else None
+                if len(touched) >= SINGLE:
+                    self._read_all(touched)
+                known = not self.all_read and self.tags.containsKey((tag_id,))
+                touched.setdefault(tag_id, Entry.of(self.tags.getValue((tag_id,))) if known else None)
             return touched[tag_id]
 
         clock = began = self.reported.get()[0] if self.reported.exists() else None
-        for us, sort, event_id, text in sorted(due):
+        for us, sort, event_id, text in self._taken(watermark):
             clock = us - 1 if clock is None else clock
             out += self._unfinished(clock, us - 1, touched)
             clock = max(clock, us - 1)
             body = json.loads(text)
             if sort == CHANGE:
                 out.append(self._change(us, event_id, body, entry(body["tag_id"]), touched))
+                subscribed.clear()
                 continue
-            for tag_id in self._subscribed(body["key"]) if sort == MESSAGE else [body["tag_id"]]:
+            if sort == MESSAGE:
+                if body["key"] not in subscribed:
+                    if len(subscribed) == SINGLE:
+                        subscribed.update((k, list(ids)) for (k,), (ids,) in list(self.subscribers.iterator()))
+                    subscribed.setdefault(body["key"], [] if len(subscribed) > SINGLE else self._subscribed(body["key"]))
+                ids, held = subscribed[body["key"]], held_text(body)
+            else:
+                ids, held = [body["tag_id"]], None
+            for tag_id in ids:
                 found = entry(tag_id)
                 if found is None:
                     continue  # a report of a tag that is not registered
                 cycle = body["day"] if found.n_daily or sort == REPORT else body["month"]
-                for seq, (kind, step, said) in enumerate(moved(found, body)):
+                for seq, (kind, step, said) in enumerate(moved(found, body, held)):
                     out.append((kind, tag_id, us, event_id, seq, cycle, found.update_frequency, *(step or (None, None, None)),
                                 None if said is None else json.dumps(said)))
+            if len(out) >= OUT:
+                yield from self._out(out)
+                out = []
         if clock is not None:
             out += self._unfinished(clock, watermark, touched)
             clock = max(clock, watermark)
@@ -218,7 +276,7 @@ class LiveTags(StatefulProcessor):
         for tag_id in moved_tags:
             if touched[tag_id] is not None:
                 self.tags.updateValue((tag_id,), touched[tag_id].row())
-        return out
+        yield from self._out(out)
 
     def _next_report(self, us: int) -> int:
         """The first moment of a report after ``us``."""
@@ -231,8 +289,7 @@ class LiveTags(StatefulProcessor):
         until = min(until, after + ASLEEP_AFTER)
         if moment > until:
             return out
-        for (tag_id,), row in list(self.tags.iterator()):  # once a day: the tags of one slice
-            touched.setdefault(tag_id, Entry.of(row))
+        self._read_all(touched)
         while moment <= until:
             day, month = cal.cycles_at(moment, self.schedule)
             report_day = (moment - cal.cutoff_us(self.schedule) + self.lead) // cal.DAY_US
@@ -244,6 +301,14 @@ class LiveTags(StatefulProcessor):
             moment += cal.DAY_US
         return out
 
+    def _read_all(self, touched: dict) -> None:
+        """All tags of the slice at one go, once a batch."""
+        if not self.all_read:
+            for (tag_id,), row in list(self.tags.iterator()):
+                if tag_id not in touched:
+                    touched[tag_id] = Entry.of(row)
+            self.all_read = True
+
     def _change(self, us: int, event_id: int, body: dict, found: Entry | None, touched: dict) -> tuple:
         """A tag's new definition: flags of keys it still needs stay, and a run under way ends as it began."""
         tag_id, need = body["tag_id"], sorted(set(body["need"]))

@@ -233,3 +233,22 @@ def test_reports_before_the_cutoff_come_from_rows_and_from_timers(spark):
     s.run()
     s.run()
     assert listed() == first + [("waits", "2018-09-25", "d.a,d.c")]
+
+
+def test_a_slice_reads_and_writes_its_state_in_bulk(spark, monkeypatch):
+    """Rows wait by the hour and in parts, tags and keys are read together, and the rows that come out are the same."""
+    tags = [(f"t{i}", "D", need("a", "b") if i % 2 else need("b", "c")) for i in range(12)]
+    messages = [(m, "abc"[m % 3]) for m in range(0, 200, 7)] + [(900, "x")]
+
+    def run():
+        s = Stream(spark, tags)
+        s.add(messages)
+        s.run()
+        stored = spark.read.format("statestore").option("stateVarName", "waiting").load(s.state)
+        return rows(s.table("actions").select("kind", "tag_id", "ts", "event_id", "seq", "reason")), stored
+
+    whole, stored = run()
+    assert stored.columns and "hour" in stored.select("user_map_key.*").columns
+    for name, value in (("SINGLE", 1), ("HOLD", 2), ("OUT", 1)):
+        monkeypatch.setattr(live, name, value)
+    assert run()[0] == whole and len(whole) > 12
