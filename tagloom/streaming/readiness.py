@@ -5,12 +5,20 @@ rows wait in the state until the watermark has passed them and are then worked o
 micro-batch brought them. A row that comes behind the watermark comes out with the reason ``late`` and moves nothing, so the
 rows in time give the same result however the log is cut into micro-batches. A source that falls silent holds its last rows back for the delay; a message
 of any table, such as a heartbeat, moves the watermark on.
+
+The state is kept per slice of the units, in bulk, so its calls do not grow with the units. Checkpoints of an earlier version
+have other state and cannot be continued.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -27,14 +35,17 @@ from tagloom.streaming.machine import Event, Tag, advance
 
 TRANSITION = """unit string, ts timestamp, event_id long, seq int, cycle string, from_state string,
     to_state string, reason string"""
-STATE = """state string, daily array<int>, monthly array<int>, day string, month string, run_month string,
-    failures int, run_day string"""
-EVENT_STATE = """us long, event_id long, cycle string, status string, update_frequency string, freq string, key_no int,
-    counts boolean, n_daily int, n_monthly int, day string, month string, target_month string, run_day string"""
 DELAY = "1 hour"  # how late a message may come
 LATE = "late"
 BATCH_ROWS = 100_000  # messages of one key that a micro-batch may bring; shapes slices only
 MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
+WAITS = ["us", "event_id", "unit", "cycle", *Event._fields]
+MOMENT = itemgetter(0, 1)  # the order of waiting rows: time, then event
+SLICES = 64  # groups of units that share keyed state; a checkpoint keeps them
+PARTS = 64  # groups of the tags of a slice that are read and written together
+HOUR = 3_600_000_000  # of rows that wait
+HOLD = 100_000  # rows that a slice gathers before they go into the state
+OUT = 20_000  # rows of one frame that comes out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -44,9 +55,11 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 class TagMachine(StatefulProcessor):
-    """Keeps a ``Tag`` per unit and the rows that wait for it; emits its transitions, all of them or those of one reason.
+    """Keeps a ``Tag`` per unit of its slice and the rows that wait for it; emits its transitions, all of them or those of one reason.
 
-    Rows go into the state chunk by chunk. What waits is bounded by the delay and one micro-batch.
+    A call of the state takes its time, so rows and tags go into it in bulk: rows by the hour in which they are due, tags by a
+    hash of the unit. Hours are worked off one after another, so a slice holds its tags that move, an hour of rows and a
+    bounded number of rows on their way in or out.
     """
 
     def __init__(self, instant: bool, reasons: tuple[str, ...] | None = None):
@@ -54,49 +67,99 @@ class TagMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("tag", STATE)
-        self.waiting = handle.getListState("waiting", EVENT_STATE)
+        self.kept = handle.getMapState("tags", "part int", "tags binary")
+        self.waiting = handle.getMapState("waiting", "hour long, part int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest, late = None, []
-        watermark = timerValues.getCurrentWatermarkInMs()
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        held, n, latest, parts = [], 0, None, {}
         for chunk in rows:
-            every = list(zip(*[chunk[name].to_numpy().tolist() for name in ("us", "event_id", "cycle", *Event._fields)]))
-            late += [(key[0], *row[:2], 0, row[2], None, None, LATE) for row in every if row[0] <= watermark * 1000]
-            fresh = [row for row in every if row[0] > watermark * 1000]
-            if fresh:
-                self.waiting.appendList(fresh)
-                latest = max([row[0] for row in fresh] + ([] if latest is None else [latest]))
+            us = chunk["us"]
+            late = chunk[us <= watermark]
+            if len(late) and (self.reasons is None or LATE in self.reasons):
+                yield _frame([(unit, moment, event_id, 0, cycle, None, None, LATE) for unit, moment, event_id, cycle in zip(
+                    *[late[name].tolist() for name in ("unit", "us", "event_id", "cycle")])])
+            fresh = chunk if not len(late) and us.notna().all() else chunk[us > watermark]
+            if not len(fresh):
+                continue
+            latest = max(int(fresh["us"].max()), latest or 0)
+            held.append(fresh)
+            n += len(fresh)
+            if n >= HOLD:
+                self._wait(held, parts)
+                held, n = [], 0
+        if held:
+            self._wait(held, parts)
         if latest is not None:
             self.handle.registerTimer(latest // 1000 + 1)
-        if late and (self.reasons is None or LATE in self.reasons):
-            yield _frame(late)
-        yield from self._due(key, watermark)
+        yield from self._due(watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._due(key, timerValues.getCurrentWatermarkInMs())
-
-    def _due(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        due, later = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            (due if row[0] <= watermark * 1000 else later).append(tuple(row))
-        if not due:
+        yield from self._due(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _wait(self, frames: list[pd.DataFrame], parts: dict[int, int]) -> None:
+        """Rows go into the state as further parts of their hours; ``parts`` are the numbers of those that this batch wrote next."""
+        rows = pd.concat(frames, ignore_index=True)
+        hours = rows["us"].to_numpy().astype("int64") // HOUR
+        order = hours.argsort(kind="stable")
+        columns = [rows[name].take(order).tolist() for name in WAITS]
+        hours = hours[order]
+        ends = [*(np.flatnonzero(hours[1:] != hours[:-1]) + 1).tolist(), len(hours)]
+        begin = 0
+        for end in ends:
+            hour = int(hours[begin])
+            part = parts.get(hour, 0)
+            while hour not in parts and self.waiting.containsKey((hour, part)):
+                part += 1
+            self.waiting.updateValue((hour, part), (pickle.dumps([c[begin:end] for c in columns]),))
+            parts[hour], begin = part + 1, end
+
+    def _taken(self, watermark: int) -> Iterator[tuple]:
+        """Rows that are due, in order of time; an hour is read when the one before it is done."""
+        last = watermark // HOUR
+        if last <= 0:
             return
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        tag = Tag()
-        if self.kept.exists():
-            state, daily, monthly, *rest = self.kept.get()
-            tag = Tag(state, set(daily or []), set(monthly or []), *rest)
-        out = []
-        for us, event_id, cycle, *fields in sorted(due, key=lambda row: row[:2]):
-            for seq, step in enumerate(advance(tag, Event(*fields), self.instant)):
-                if self.reasons is None or step.reason in self.reasons:
-                    out.append((key[0], us, event_id, seq, cycle, *step))
-        self.kept.update((tag.state, sorted(tag.daily), sorted(tag.monthly), tag.day, tag.month, tag.run_month,
-                          tag.failures, tag.run_day))
+        keys = sorted(k for k in map(tuple, self.waiting.keys()) if k[0] <= last)
+        for hour, same in groupby(keys, key=lambda k: k[0]):
+            rows = []
+            for part in same:
+                rows += zip(*pickle.loads(self.waiting.getValue(part)[0]))
+                self.waiting.removeKey(part)
+            if hour == last:
+                later = [row for row in rows if row[0] > watermark]
+                if later:
+                    self.waiting.updateValue((hour, 0), (pickle.dumps(list(map(list, zip(*later)))),))
+                    rows = [row for row in rows if row[0] <= watermark]
+            rows.sort(key=MOMENT)
+            yield from rows
+
+    def _tags(self, part: int) -> dict[str, Tag]:
+        found = self.kept.getValue((part,)) if self.kept.containsKey((part,)) else None
+        return {unit: Tag(state, set(daily), set(monthly), *rest)
+                for unit, (state, daily, monthly, *rest) in (pickle.loads(found[0]) if found else {}).items()}
+
+    def _due(self, watermark: int) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        parts: dict[int, dict[str, Tag]] = {}
+        place: dict[str, Tag] = {}  # the tags that have moved
+        instant, reasons = self.instant, self.reasons
+        for us, event_id, unit, cycle, *fields in self._taken(watermark):
+            tag = place.get(unit)
+            if tag is None:
+                part = crc32((unit or "").encode()) % PARTS
+                if part not in parts:
+                    parts[part] = self._tags(part)
+                tag = place[unit] = parts[part].setdefault(unit, Tag())
+            for seq, step in enumerate(advance(tag, Event(*fields), instant)):
+                if reasons is None or step.reason in reasons:
+                    out.append((unit, us, event_id, seq, cycle, *step))
+            if len(out) >= OUT:
+                yield _frame(out)
+                out = []
+        for part, tags in parts.items():
+            self.kept.updateValue((part,), (pickle.dumps({
+                unit: (t.state, sorted(t.daily), sorted(t.monthly), t.day, t.month, t.run_month, t.failures, t.run_day)
+                for unit, t in tags.items()}),))
         if out:
             yield _frame(out)
 
@@ -145,17 +208,19 @@ def report_times(reports: DataFrame, delay: str = DELAY) -> DataFrame:
     return reports.withColumn("ts", F.timestamp_seconds("finish_time")).withWatermark("ts", delay)
 
 
-def transitions(events: DataFrame, instant: bool, reasons: tuple[str, ...] | None = None) -> DataFrame:
+def transitions(events: DataFrame, instant: bool, reasons: tuple[str, ...] | None = None, slices: int = SLICES) -> DataFrame:
     """State changes of every unit, in the order of its rows' moments, and its late rows. The rows carry a watermark on ``ts``.
 
+    Units are dealt into ``slices`` by a hash; a slice's state is one key, and all rows of a unit meet there.
     The moment goes in as a plain number, as Spark would drop rows of a marked column behind the watermark unseen.
     """
-    rows = events.withColumn("us", F.unix_micros("ts")).select("us", *[n for n in MESSAGE_FIELDS if n != "ts"])
+    slice_of = F.pmod(F.xxhash64(F.lit("slice"), F.col("unit")), F.lit(slices)).cast("int").alias("slice")
+    rows = events.withColumn("us", F.unix_micros("ts")).select(slice_of, *WAITS)
     # Spark starts the processor on the driver first, in a process that does not see the files sent to the workers,
     # so this code goes along by value
     cloudpickle.register_pickle_by_value(tagloom)
     try:
-        return rows.groupBy("unit").transformWithStateInPandas(
+        return rows.groupBy("slice").transformWithStateInPandas(
             statefulProcessor=TagMachine(instant, reasons), outputStructType=TRANSITION, outputMode="Append", timeMode="EventTime")
     finally:
         cloudpickle.unregister_pickle_by_value(tagloom)

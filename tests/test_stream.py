@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tagloom.operators import rounds
@@ -187,3 +188,86 @@ def test_transition_log_matches_a_row_by_row_run(spark, inputs):
     got = REGISTRY["transition_log"](spark, SMALL)
     assert rows(got, "tag_id", "event_id", "seq", "from_state", "to_state", "reason") == sorted(expected, key=repr)
     assert {"ready", "finished", "retry", "stopped", "monthly_held", "cutoff", "first_message", "other_run"} <= {r[-1] for r in expected}
+
+
+class Kept:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.held[key]
+
+    def keys(self):
+        self.calls += 1
+        return iter(list(self.held))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timer = {}, None
+
+    def getMapState(self, name, key, value):
+        return self.states.setdefault(name, Kept())
+
+    def registerTimer(self, ms):
+        self.timer = ms
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_calls_of_the_state_do_not_grow_with_the_units():
+    """Rows of 3000 units in five hours, out of order, a restart between: what each unit does, and some hundred calls."""
+    start = 1_537_600_000_000_000 // sr.HOUR * sr.HOUR
+    body = dict(zip(Event._fields, event(nd=2)))
+    frame = pd.DataFrame([
+        {"slice": 0, "us": start + h * sr.HOUR + n, "event_id": h * 3000 + n, "unit": f"u{n}", "cycle": "c", **body, "key_no": h % 2}
+        for n in range(3000) for h in range(4)])
+    frame = frame.sample(frac=1, random_state=1)
+    handle, out = Handle(), []
+
+    def call(rows, watermark):
+        machine = sr.TagMachine(instant=False)
+        machine.init(handle)
+        out.extend(machine.handleInputRows((0,), iter(rows), Clock(watermark // 1000)))
+
+    call([frame[:7000], frame[7000:]], 0)
+    assert handle.timer == frame["us"].max() // 1000 + 1
+    call([], start + 2 * sr.HOUR + 1_000_000)
+    late = frame[:1].assign(unit="late", us=start, event_id=-1)
+    call([late], start + 2 * sr.HOUR + 1_000_000)
+    machine = sr.TagMachine(instant=False)
+    machine.init(handle)
+    out.extend(machine.handleExpiredTimer((0,), Clock(start // 1000 + 4 * 3_600_000), None))
+    assert sum(s.calls for s in handle.states.values()) < 500
+    found = pd.concat(out)
+    assert found[found["reason"] == "late"]["event_id"].tolist() == [-1]
+    expected = []
+    for n in range(3000):
+        tag = Tag()
+        for h in range(4):
+            for seq, step in enumerate(advance(tag, event(nd=2, key=h % 2), False)):
+                expected.append((f"u{n}", h * 3000 + n, seq, step.reason))
+    got = found[found["reason"] != "late"]
+    assert sorted(zip(got["unit"], got["event_id"], got["seq"], got["reason"])) == sorted(expected)
+    assert not handle.states["waiting"].held
