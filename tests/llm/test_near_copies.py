@@ -144,3 +144,23 @@ def test_parities_and_fingerprints_of_sets():
         assert apart <= len(np.setxor1d(own, other))
         bits = [2 * sum(int(h) >> b & 1 for h in own) > n for b in range(64)]
         assert (near_copies.simhash(own) & (1 << 64) - 1).bit_count() == sum(bits)
+
+
+def test_shingles_of_the_same_texts_meet_once_and_narrow_ones_are_done(spark, monkeypatch):
+    """A passage in common makes pairs once and not for each of its shingles; the next turn reads the wide shingles only."""
+    read, made = [], []
+    open_, pairs = near_copies._open, near_copies._pairs
+    monkeypatch.setattr(near_copies, "LINEAR", 4)
+    monkeypatch.setattr(near_copies, "_open", lambda shared, roots: read.append(shared.count()) or open_(shared, roots))
+    monkeypatch.setattr(near_copies, "_pairs", lambda rows: made.append(pairs(rows)) or made[-1])
+    # groups of four texts that have 71 of 96 shingles in common, of similarity 0.59; one of 40 texts
+    texts = []
+    for g, n in [(g, 4) for g in range(30)] + [(99, 40)]:
+        texts += [" ".join([f"g{g}-{i}" for i in range(75)] + [f"x{g}-{t}-{i}" for i in range(25)]) for t in range(n)]
+    # parities that are wrong on purpose: all pairs of one shingle come out
+    monkeypatch.setattr(near_copies, "FEW", "true")
+    groups = near_copies.copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample=0).collect()
+    assert all(r["key"] == r["component"] for r in groups)
+    assert len(read) > 1 and read[1] < read[0] / 2
+    rows = sum(m.count() for m in made)
+    assert rows <= 3 * (30 * 6 + 40 * 39 // 2)
