@@ -4,13 +4,18 @@ Byte-pair encoding never merges across the borders that the pre-tokenizer draws,
 other characters that are not white space always begins a new piece. So a batch is cut at its spaces and dictionary
 encoded, each distinct piece that the worker does not know goes through the tokenizer, and the ids are gathered by
 piece. A text in which white space comes before a space is encoded as a whole.
+
+Where a tokenizer lowers letters and drops white space, as its own rules show on examples, capitals are lowered and white space
+becomes spaces before the cut, and marks after a letter are cut off, so that many forms of a word are one piece.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Callable
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,9 @@ CLOSING = ".,!?;:#$%&*|"  # marks after a Latin letter are a piece of their own
 LATIN = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"  # beyond, a letter may turn into a letter and a mark when lower-cased
 LETTERS = [c for c in map(chr, range(256)) if c.isalpha()]
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"  # white space of any tokenizer
+COMBINING = r"\p{M}"  # may compose with a small letter and not with its capital
+GATHERED = 1 << 16  # pieces whose ids are gathered at a time
+CAPITALS = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 @cache
@@ -56,7 +64,7 @@ class Encoder:
     def _read_model(self) -> None:
         """What the tokenizer's model is given for a word of Latin letters: one text, each letter replaced by itself.
         Where that does not hold, ``letters`` stays empty."""
-        self.model, self.letters = self.tokenizer.model, {}
+        self.model, self.letters, self.folds = self.tokenizer.model, {}, False
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # the memo asks for no word twice
         rule, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -71,6 +79,20 @@ class Encoder:
         every = "".join(LETTERS)
         if given(" " + every) == self.lead + every.translate(table):
             self.letters = table
+        self._read_folding(lambda text: [part for part, _ in cut.pre_tokenize_str(rule.normalize_str(text) if rule else text)])
+
+    def _read_folding(self, parts: Callable[[str], list[str]]) -> None:
+        """Whether capitals count as small letters, white space only parts words, and closing marks after a letter stand apart."""
+        capitals = "".join(map(chr, CAPITALS))
+        blanks = [c for c in "\t\n\v\f\r" if parts(f"a{c}b.{c}{c} {c}.") == parts("a b. .")]
+        alone = [c for c in CLOSING if all(parts(f"a{c}{e}") == parts("a") + parts(c + e) for e in ("", "a", "é", "1", "'s", *CLOSING))]
+        self.folds = (
+            bool(self.letters) and parts("  a  b ") == parts("a") + parts("b") and parts(" ") == []
+            and all(parts(c) == parts(c.lower()) for c in [*capitals, capitals, *(f"'{c}" for c in capitals)])
+            and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values()))
+        fold = {**CAPITALS, **dict.fromkeys(map(ord, blanks), ord(" "))}
+        self.fold = bytes(fold.get(c, c) for c in range(256))
+        self.closes = np.isin(np.arange(256), [ord(c) for c in alone])
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of Latin letters with a space before them, and how many each has, from the tokenizer's model."""
@@ -82,6 +104,20 @@ class Encoder:
             counts.append(len(found))
         return np.frombuffer(ids, np.uint32), np.array(counts, np.int64)
 
+    def _folded(self, texts: pa.Array) -> pa.Array:
+        """The texts with small letters for capitals, spaces for white space, and a space before marks that close a word."""
+        if not len(texts):
+            return texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        first, last = offsets[[0, -1]].tolist()
+        held = np.frombuffer(texts.buffers()[2][first:last].to_pybytes().translate(self.fold) if last > first else b"", np.uint8)
+        offsets = offsets - first
+        letter = held - np.uint8(97) < 26
+        cuts = np.flatnonzero(letter[:-1] & self.closes[held[1:]]) + 1
+        held = np.insert(held, cuts, 32)
+        offsets = (offsets + np.searchsorted(cuts, offsets)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(held))
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # numbers of pieces after a space
         self.start = np.zeros(1 << 12, np.int32)
@@ -177,6 +213,45 @@ class Encoder:
         """Ids of each text (none is null); what the texts have of new pieces is encoded together."""
         if isinstance(texts, list):
             texts = pa.array(texts, pa.string())
+        if not self.folds or texts.type != pa.string() or texts.nbytes > 1 << 30:  # more, cut again, might not fit the offsets
+            return self._kept(texts)
+        odd = pc.match_substring_regex(texts, COMBINING)
+        if not pc.any(odd).as_py():
+            return self._loose(texts)
+        found = [iter(self._loose(texts.filter(pc.invert(odd)))), iter(self._kept(texts.filter(odd)))]
+        return [next(found[o]) for o in odd.to_pylist()]
+
+    def _numbers(self, coded: pa.DictionaryArray, names: list[str], wanted: np.ndarray) -> np.ndarray:
+        """The numbers of a dictionary's pieces; new ones that are wanted are learned first."""
+        numbers = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero((numbers < 0) & wanted)
+        if len(new):
+            self._learn(coded.dictionary.take(pa.array(new)))
+            numbers[new] = [self.known[names[i]] for i in new.tolist()]
+        return numbers
+
+    def _loose(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts of a tokenizer that folds, without combining marks: a piece gives the same ids wherever it stands."""
+        before = len(self.known)
+        cut = pc.split_pattern(self._folded(texts), " ")
+        coded = pc.list_flatten(cut).dictionary_encode()
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        names = strings(coded.dictionary)
+        numbers = self._numbers(coded, names, np.ones(len(names), bool))
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        out, start, i = [], 0, 0
+        while i < len(ends):
+            j = max(i + 1, int(np.searchsorted(ends, start + GATHERED, "right")))
+            at = numbers[place[start:ends[j - 1]]]
+            upto = np.concatenate([[0], np.cumsum(self.count[at])])[np.concatenate([[start], ends[i:j]]) - start].tolist()
+            ids = self._ids(at)
+            out += [ids[a:b] for a, b in zip(upto[:-1], upto[1:])]
+            start, i = int(ends[j - 1]), j
+        self._trim(before)
+        return out
+
+    def _kept(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts of any tokenizer, cut at their spaces only."""
         before = len(self.known)
         cut = pc.split_pattern(texts, " ")
         coded = pc.list_flatten(cut).dictionary_encode()
@@ -191,11 +266,7 @@ class Encoder:
         used = np.zeros(len(coded.dictionary), bool)
         used[place[~first]] = True
         names = strings(coded.dictionary)
-        numbers = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))
-        new = np.flatnonzero((numbers < 0) & used & ~blank)
-        if len(new):
-            self._learn(coded.dictionary.take(pa.array(new)))
-            numbers[new] = [self.known[names[i]] for i in new.tolist()]
+        numbers = self._numbers(coded, names, used & ~blank)
         out, start, plain = [], 0, [texts[i].as_py() if e - s < 2 else None for i, (s, e) in enumerate(zip([0, *ends[:-1]], ends))]
         for i, end in enumerate(ends.tolist()):
             at = place[start:end]

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,6 +25,24 @@ def test_encoder_gives_the_tokenizers_ids(name, pieces):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_forms_of_a_word_are_one_piece():
+    encoder = Encoder(public_path("word_bpe_49k.json"))
+    texts = ["Word word, WORD.\nwoRD;", "", "\tword\r\n\nWord! ", "word" * 2 + "\vWORDword,.", " \n "]
+    plain = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.batch(texts)] == plain
+    assert set(encoder.known) == {"", "word", "wordword", ",", ".", ";", "!", ",."}
+    assert [ids.tolist() for ids in encoder.batch(pa.array(["x", None, *texts, "y"]).slice(2, len(texts)))] == plain
+    assert encoder.batch(pa.array([], pa.string())) == []
+    assert not Encoder(public_path("byte_bpe_50k.json")).folds  # capitals and white space have ids of their own there
+
+
+def test_capitals_that_marks_compose_with():
+    """H with a line below has no composed form and h has one, so lowering before composing gives other ids."""
+    encoder = Encoder(public_path("word_bpe_49k.json"))
+    texts = ["H\u0331 a", "Plain, Text", "h\u0331 A", "I\u0307I", "\u1112\u1161\u11ab A", "J\u030c,", "\u212a K\u0300"]
+    assert [ids.tolist() for ids in encoder.batch(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(deadline=None, max_examples=150)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 40_000), st.integers(0, 2**32 - 1), st.just(0)), max_size=600), st.data())
 def test_simple8b_round_trip(ids, data):
