@@ -22,7 +22,7 @@ class Step(NamedTuple):
     reason: str
 
 
-@dataclass
+@dataclass(slots=True)
 class Tag:
     state: str = WAITING
     daily: set[int] = field(default_factory=set)

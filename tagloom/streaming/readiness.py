@@ -14,8 +14,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
 from zlib import crc32
 
 import numpy as np
@@ -30,8 +28,10 @@ from tagloom.functions import calendar as cal
 from tagloom.operators.keys import split_join
 from tagloom.operators.routing import counted, counts, tag_messages
 from tagloom.schemas import DAILY, KEY, MONTHLY
-from tagloom.session import fresh_dir
+from tagloom.session import FREED, fresh_dir, settings
+from tagloom.streaming import packed
 from tagloom.streaming.machine import Event, Tag, advance
+from tagloom.streaming.packed import HOUR, NULL, Coded, Waiting
 
 TRANSITION = """unit string, ts timestamp, event_id long, seq int, cycle string, from_state string,
     to_state string, reason string"""
@@ -39,21 +39,33 @@ DELAY = "1 hour"  # how late a message may come
 LATE = "late"
 BATCH_ROWS = 100_000  # messages of one key that a micro-batch may bring; shapes slices only
 MESSAGE_FIELDS = ["unit", "ts", "event_id", "cycle", *Event._fields]
-WAITS = ["us", "event_id", "unit", "cycle", *Event._fields]
-MOMENT = itemgetter(0, 1)  # the order of waiting rows: time, then event
+NUMBERS, FORM = ["us", "event_id"], ["cycle", *Event._fields]  # of a packed row, with its unit
+MOMENT = 2  # the order of waiting rows: time, then event
 SLICES = 64  # groups of units that share keyed state; a checkpoint keeps them
 PARTS = 64  # groups of the tags of a slice that are read and written together
-HOUR = 3_600_000_000  # of rows that wait
-HOLD = 100_000  # rows that a slice gathers before they go into the state
+HOLD = 1_000_000  # rows that a slice gathers before they go into the state
 OUT = 20_000  # rows of one frame that comes out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["unit", "ts", "event_id", "seq", "cycle", "from_state", "to_state", "reason"])
     frame["ts"] = pd.to_datetime(frame["ts"], unit="us")
+    if (frame["event_id"] == NULL).any():
+        frame["event_id"] = frame["event_id"].astype("Int64").mask(frame["event_id"] == NULL)
     return frame
 
 
+def _blocks(chunk: pd.DataFrame) -> Iterator[list[packed.Column]]:
+    """The blocks of a frame of packed rows, or of one that has the rows themselves."""
+    if "rows" in chunk:
+        yield from map(packed.load, chunk["rows"])
+        return
+    chunk = chunk[chunk["us"].notna()]
+    each = np.arange(len(chunk))
+    yield [*[chunk[name].fillna(NULL).to_numpy("int64") for name in NUMBERS], Coded(each, chunk["unit"].tolist()),
+           Coded(each, list(zip(*[chunk[name].tolist() for name in FORM])))]
+
+
 class TagMachine(StatefulProcessor):
     """Keeps a ``Tag`` per unit of its slice and the rows that wait for it; emits its transitions, all of them or those of one reason.
 
@@ -72,24 +84,27 @@ class TagMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        held, n, latest, parts = [], 0, None, {}
-        for chunk in rows:
-            us = chunk["us"]
-            late = chunk[us <= watermark]
-            if len(late) and (self.reasons is None or LATE in self.reasons):
-                yield _frame([(unit, moment, event_id, 0, cycle, None, None, LATE) for unit, moment, event_id, cycle in zip(
-                    *[late[name].tolist() for name in ("unit", "us", "event_id", "cycle")])])
-            fresh = chunk if not len(late) and us.notna().all() else chunk[us > watermark]
-            if not len(fresh):
+        held, n, latest, waiting = [], 0, None, Waiting(self.waiting, MOMENT)
+        for block in (block for chunk in rows for block in _blocks(chunk)):
+            late = block[0] <= watermark
+            if late.any():
+                if self.reasons is None or LATE in self.reasons:
+                    us, event_id, units, forms = packed.take(block, late)
+                    out = [(unit, moment, event, 0, form[0], None, None, LATE) for unit, moment, event, form in zip(
+                        units.column(), us.tolist(), event_id.tolist(), forms.column())]
+                    for at in range(0, len(out), OUT):
+                        yield _frame(out[at:at + OUT])
+                block = packed.take(block, ~late)
+            if not len(block[0]):
                 continue
-            latest = max(int(fresh["us"].max()), latest or 0)
-            held.append(fresh)
-            n += len(fresh)
+            latest = max(int(block[0].max()), latest or 0)
+            held.append(block)
+            n += len(block[0])
             if n >= HOLD:
-                self._wait(held, parts)
+                waiting.put(held)
                 held, n = [], 0
         if held:
-            self._wait(held, parts)
+            waiting.put(held)
         if latest is not None:
             self.handle.registerTimer(latest // 1000 + 1)
         yield from self._due(watermark)
@@ -97,41 +112,11 @@ class TagMachine(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._due(timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def _wait(self, frames: list[pd.DataFrame], parts: dict[int, int]) -> None:
-        """Rows go into the state as further parts of their hours; ``parts`` are the numbers of those that this batch wrote next."""
-        rows = pd.concat(frames, ignore_index=True)
-        hours = rows["us"].to_numpy().astype("int64") // HOUR
-        order = hours.argsort(kind="stable")
-        columns = [rows[name].take(order).tolist() for name in WAITS]
-        hours = hours[order]
-        ends = [*(np.flatnonzero(hours[1:] != hours[:-1]) + 1).tolist(), len(hours)]
-        begin = 0
-        for end in ends:
-            hour = int(hours[begin])
-            part = parts.get(hour, 0)
-            while hour not in parts and self.waiting.containsKey((hour, part)):
-                part += 1
-            self.waiting.updateValue((hour, part), (pickle.dumps([c[begin:end] for c in columns]),))
-            parts[hour], begin = part + 1, end
-
     def _taken(self, watermark: int) -> Iterator[tuple]:
-        """Rows that are due, in order of time; an hour is read when the one before it is done."""
-        last = watermark // HOUR
-        if last <= 0:
-            return
-        keys = sorted(k for k in map(tuple, self.waiting.keys()) if k[0] <= last)
-        for hour, same in groupby(keys, key=lambda k: k[0]):
-            rows = []
-            for part in same:
-                rows += zip(*pickle.loads(self.waiting.getValue(part)[0]))
-                self.waiting.removeKey(part)
-            if hour == last:
-                later = [row for row in rows if row[0] > watermark]
-                if later:
-                    self.waiting.updateValue((hour, 0), (pickle.dumps(list(map(list, zip(*later)))),))
-                    rows = [row for row in rows if row[0] <= watermark]
-            rows.sort(key=MOMENT)
-            yield from rows
+        """(us, event, unit, cycle, event) of the rows that are due, in order of time."""
+        for us, event_id, units, forms in Waiting(self.waiting, MOMENT).taken(watermark):
+            events = [(form[0], Event(*form[1:])) for form in forms.values]
+            yield from zip(us.tolist(), event_id.tolist(), units.column(), Coded(forms.codes, events).column())
 
     def _tags(self, part: int) -> dict[str, Tag]:
         found = self.kept.getValue((part,)) if self.kept.containsKey((part,)) else None
@@ -143,14 +128,14 @@ class TagMachine(StatefulProcessor):
         parts: dict[int, dict[str, Tag]] = {}
         place: dict[str, Tag] = {}  # the tags that have moved
         instant, reasons = self.instant, self.reasons
-        for us, event_id, unit, cycle, *fields in self._taken(watermark):
+        for us, event_id, unit, (cycle, event) in self._taken(watermark):
             tag = place.get(unit)
             if tag is None:
                 part = crc32((unit or "").encode()) % PARTS
                 if part not in parts:
                     parts[part] = self._tags(part)
                 tag = place[unit] = parts[part].setdefault(unit, Tag())
-            for seq, step in enumerate(advance(tag, Event(*fields), instant)):
+            for seq, step in enumerate(advance(tag, event, instant)):
                 if reasons is None or step.reason in reasons:
                     out.append((unit, us, event_id, seq, cycle, *step))
             if len(out) >= OUT:
@@ -211,11 +196,12 @@ def report_times(reports: DataFrame, delay: str = DELAY) -> DataFrame:
 def transitions(events: DataFrame, instant: bool, reasons: tuple[str, ...] | None = None, slices: int = SLICES) -> DataFrame:
     """State changes of every unit, in the order of its rows' moments, and its late rows. The rows carry a watermark on ``ts``.
 
-    Units are dealt into ``slices`` by a hash; a slice's state is one key, and all rows of a unit meet there.
-    The moment goes in as a plain number, as Spark would drop rows of a marked column behind the watermark unseen.
+    Units are dealt into ``slices`` by a hash; a slice's state is one key, and all rows of a unit meet there, packed by the tasks
+    that make them. The moment goes in as a plain number, as Spark would drop rows of a marked column behind the watermark unseen.
     """
     slice_of = F.pmod(F.xxhash64(F.lit("slice"), F.col("unit")), F.lit(slices)).cast("int").alias("slice")
-    rows = events.withColumn("us", F.unix_micros("ts")).select(slice_of, *WAITS)
+    rows = events.withColumn("us", F.unix_micros("ts")).select(slice_of, *NUMBERS, "unit", *FORM).mapInArrow(
+        packed.packer(NUMBERS, "unit", FORM), packed.PACKED)
     # Spark starts the processor on the driver first, in a process that does not see the files sent to the workers,
     # so this code goes along by value
     cloudpickle.register_pickle_by_value(tagloom)
@@ -276,9 +262,10 @@ def drain(stream: DataFrame, checkpoint: str | None = None, target: str | None =
     """
     spark = stream.sparkSession
     target = target or fresh_dir(spark, "stream-out")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", checkpoint or fresh_dir(spark, "stream-state")).start(target)
-    )
+    with settings(spark, {FREED: "true"}):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+            .option("checkpointLocation", checkpoint or fresh_dir(spark, "stream-state")).start(target)
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
