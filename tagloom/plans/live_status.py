@@ -13,6 +13,7 @@ from tagloom.functions import calendar as cal
 from tagloom.functions import messages as msg
 from tagloom.operators.runs import composed
 from tagloom.schemas import DEBOUNCE_SECONDS, FINISH_MESSAGE
+from tagloom.session import FREED, settings
 from tagloom.sources import sinks
 from tagloom.streaming import live
 
@@ -91,17 +92,12 @@ def start(inputs: DataFrame, initial: DataFrame, definitions: Callable[[], DataF
         put(unfinished_rows(acts), "unfinished")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": f"{DEBOUNCE_SECONDS} seconds"}
-    spark = inputs.sparkSession
-    name, value = live.AHEAD
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)  # a query keeps the settings that it was started with
-    try:
+    # a slice has a partition of its own, and there are no empty ones, which would take their time in each micro-batch
+    with settings(inputs.sparkSession, dict([live.AHEAD]) | {"spark.sql.shuffle.partitions": str(slices), FREED: "true"}):
         return (
             live.actions(inputs, initial, slices, schedule).writeStream.outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(write).start()
         )
-    finally:
-        spark.conf.set(name, before)
 
 
 def written(spark: SparkSession, target: str, name: str) -> DataFrame:

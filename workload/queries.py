@@ -662,8 +662,9 @@ def _live(x, log: DataFrame, with_reports: bool = True, schedule: cal.Schedule =
         inputs = inputs.unionByName(live.report_input(x.spark.readStream.schema(x.recent_reports.schema).parquet(path)))
     target = fresh_dir(x.spark, "live")
     definitions = stable(status_flow.registered(x.dictionary))
-    query = live_status.start(inputs, stable(live.registry_state(x.required)), lambda: definitions, target,
-                              fresh_dir(x.spark, "live-state"), schedule, available_now=True, slices=SLICES)
+    tags = stable(live.registry_state(x.required))
+    query = live_status.start(inputs, tags, lambda: definitions, target, fresh_dir(x.spark, "live-state"), schedule,
+                              available_now=True, slices=live.slices_for(tags.count(), SLICES))
     query.awaitTermination()
     return target
 
@@ -687,7 +688,9 @@ def _late_log(x) -> DataFrame:
     path = fresh_dir(x.spark, "log")
     place = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (72 * 3_600_000_000))
     behind = F.when(F.col("event_id") % 50 == 0, F.col("event_id") % 2 + 1).otherwise(0)
-    rows = stable(x.frontier.withColumn("file", place + behind))
+    apart = fresh_dir(x.spark, "log-apart")
+    x.frontier.withColumn("file", place + behind).repartition("file").write.partitionBy("file").parquet(apart)
+    rows = x.spark.read.schema(f"{frontier.LOG_SCHEMA}, file long").parquet(apart)
     for (number,) in sorted(rows.select("file").distinct().collect()):  # a file per three days, in the order of arrival
         rows.filter(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(path)
     return frontier.stream_log(x.spark, path, files_per_trigger=1)
