@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 HOUR = 3_600_000_000  # of rows that wait
-PACK = 200_000  # rows that a task gathers before it deals them out
+PACK = 100_000  # rows that a task gathers before it deals them out
 PIECE = 10_000  # rows of one value at most
 NULL = int(np.iinfo(np.int64).min)  # a number that is not there
 EVERY = -1  # slice of rows that go to all of them
